@@ -77,7 +77,35 @@ def exact_median(df: DataFrame, value: str) -> Column:
     return middle.scalar()
 
 
-def top_by(df: DataFrame, order: Column, n: int, name: str = "_cut") -> DataFrame:
-    """Rows whose ``order`` value is at least the n-th largest (ties kept)."""
-    nth = df.select(order.alias(name)).orderBy(F.col(name).desc()).limit(n).agg(F.min(name)).scalar()
-    return df.filter(order >= nth)
+def running_in_blocks(
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], totals: dict[str, Column]
+) -> DataFrame:
+    """Per key, the sum of each total over the rows ordered before the row, spread over ``block``.
+
+    ``block`` must grow with ``order``. The running sums run inside (key, block); what the
+    earlier blocks of the key hold comes from one row per block.
+    """
+    keys, order = list(keys), list(order)
+    blocked = df.withColumn("_block", block)
+    per_block = blocked.groupBy(*keys, "_block").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in totals.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_block.select(*keys, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in totals])
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = blocked.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in totals.items()})
+    joined = local.join(carry, [*keys, "_block"])
+    return joined.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in totals}).drop("_block", *[f"_c_{n}" for n in totals])
+
+
+def least_from_here(df: DataFrame, position: str, value: Column, name: str, block: int = 1 << 16) -> DataFrame:
+    """Add the minimum of ``value`` over the row and all later ones in ``position`` (0, 1, 2, ...).
+
+    Blocks of ``block`` positions are scanned on their own; the minimum of the later blocks comes
+    from one row per block.
+    """
+    blocked = df.withColumns({"_block": F.floor(F.col(position) / block), "_v": value})
+    later = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    # one row per block of positions
+    carry = blocked.groupBy("_block").agg(F.min("_v").alias("_m")).select("_block", F.min("_m").over(later).alias("_after"))
+    inside = Window.partitionBy("_block").orderBy(position).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    joined = blocked.withColumn("_here", F.min("_v").over(inside)).join(carry, "_block")
+    return joined.withColumn(name, F.least("_here", "_after")).drop("_block", "_v", "_here", "_after")

@@ -6,7 +6,7 @@ import importlib
 
 from introna.plans.registry import ORACLES, QUERIES
 
-AREAS = ["reference", "source", "count"]
+AREAS = ["reference", "source", "count", "graph", "neighbor", "splice", "psi", "marker"]
 
 for _area in AREAS:
     importlib.import_module(f"introna.plans.{_area}_queries")

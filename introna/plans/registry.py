@@ -11,6 +11,7 @@ from introna.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+AREA: dict[str, str] = {}  # module of each query, for partial runs
 
 
 def query(name: str, sql: str | None = None):
@@ -23,6 +24,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         run.__doc__ = build.__doc__
         QUERIES[name] = run
+        AREA[name] = build.__module__.rsplit(".", 1)[-1].removesuffix("_queries")
         if sql is not None:
             ORACLES[name] = sql
         return build
