@@ -18,19 +18,18 @@ def retag(lines: DataFrame, allow: DataFrame | None = None, suffix: str = "", ta
     Old read groups are dropped. With ``allow`` (cell_id) lines without a barcode, or with one
     outside the list, are left out. Works line by line, so a streaming ``lines`` stays a stream.
     """
-    fields = F.split("value", "\t")
-    optional = F.slice(fields, FIELDS + 1, F.greatest(F.size(fields) - FIELDS, F.lit(0)))
-    barcodes = F.filter(optional, lambda f: f.startswith(f"{tag}:"))
-    barcode = F.regexp_extract(F.try_element_at(barcodes, F.lit(-1)), "^[^:]*:[^:]*:(.*)$", 1)
-    body = lines.filter(~F.col("value").startswith("@")).withColumn("_cell", F.nullif(barcode, F.lit("")))
+    fixed = F.substring_index("value", "\t", FIELDS)
+    optional = F.substr("value", F.length(fixed) + 1)
+    barcode = F.regexp_extract(optional, rf"^.*\t{tag}:[^:\t]*:([^\t]*)", 1)
+    # an absent barcode is the empty text here, which no allow list holds
+    body = lines.filter(~F.col("value").startswith("@")).withColumn("_cell", barcode)
     if allow is not None:
-        listed = allow.select(F.col("cell_id").alias("_cell")).distinct()
+        listed = allow.filter("cell_id <> ''").select(F.col("cell_id").alias("_cell")).distinct()
         body = body.join(listed, "_cell", "left_semi")
-    kept = F.filter(optional, lambda f: ~f.startswith(f"{group}:"))
-    parts = F.concat(F.slice(fields, 1, FIELDS), kept)
-    tagged = F.concat(parts, F.array(F.concat(F.lit(f"{group}:Z:"), "_cell", F.lit(suffix))))
-    line = F.array_join(F.when(F.col("_cell").isNull(), parts).otherwise(tagged), "\t")
-    return body.select(line.alias("value"), F.concat("_cell", F.lit(suffix)).alias("cell_id"))
+    kept = F.concat(fixed, F.regexp_replace(optional, rf"\t{group}:[^\t]*", ""))
+    named = F.concat(F.nullif("_cell", F.lit("")), F.lit(suffix))
+    line = F.coalesce(F.concat(kept, F.lit(f"\t{group}:Z:"), named), kept)
+    return body.select(line.alias("value"), named.alias("cell_id"))
 
 
 def read_group_headers(allow: DataFrame, header: DataFrame, suffix: str = "", library: str = "cells") -> DataFrame:

@@ -167,19 +167,6 @@ def _alignments(reads: DataFrame, by: Sequence[str]) -> DataFrame:
     return mapped.groupBy(*by, "chrom", "pos", "cigar").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _overlaps(reads: DataFrame, features: DataFrame, keep: Sequence[str], width: int, salts: int) -> DataFrame:
-    """Distinct (chrom, pos, cigar, keep) over all covered blocks."""
-    shapes = reads.select("chrom", "pos", "cigar").distinct().filter("chrom <> '*' AND cigar <> '*'")
-    blocks = shapes.withColumn("_b", F.explode(covered_blocks(F.col("cigar"), F.col("pos")))).select(
-        "chrom", "pos", "cigar", F.col("_b.start").alias("b_start"), F.col("_b.end").alias("b_end")
-    )
-    placed = features.select("chrom", F.col("start").alias("f_start"), F.col("end").alias("f_end"), *keep)
-    pairs = range_join(
-        blocks, placed, ["chrom"], ("b_start", "b_end"), ("f_start", "f_end"), width, salts, ("pos", "cigar")
-    )
-    return pairs.select("chrom", "pos", "cigar", *keep).distinct()
-
-
 def overlap_counts(
     reads: DataFrame, features: DataFrame, keep: Sequence[str], by: Sequence[str] = (), width: int = 1024, salts: int = 1
 ) -> DataFrame:
@@ -190,8 +177,17 @@ def overlap_counts(
     keep the exon's key and gene counts the gene's. Overlaps are found once per distinct
     alignment shape, then weighted with its number of reads.
     """
-    pairs = _overlaps(reads, features, keep, width, salts)
-    weighted = pairs.join(_alignments(reads, by), ["chrom", "pos", "cigar"])
+    shape = ["chrom", "pos", "cigar"]
+    counted = _alignments(reads, by)
+    shapes = counted.select(*shape).distinct() if by else counted
+    carried = shape if by else [*shape, "n"]
+    blocks = shapes.withColumn("_b", F.explode(covered_blocks(F.col("cigar"), F.col("pos")))).select(
+        *carried, F.col("_b.start").alias("b_start"), F.col("_b.end").alias("b_end")
+    )
+    placed = features.select("chrom", F.col("start").alias("f_start"), F.col("end").alias("f_end"), *keep)
+    pairs = range_join(blocks, placed, ["chrom"], ("b_start", "b_end"), ("f_start", "f_end"), width, salts, ("pos", "cigar"))
+    once = pairs.select(*carried, *keep).distinct()
+    weighted = once.join(counted, shape) if by else once
     return weighted.groupBy(*by, *keep).agg(F.sum("n").alias("count"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from introna.operators.scans import exact_median
+from introna.session import cut_lineage
 
 
 def n_cells(cells: DataFrame) -> Column:
@@ -67,7 +68,8 @@ def dispersion(x: DataFrame, feature: str, cells: Column, n_bins: int = 20) -> D
     stats = moments(x, feature, cells, F.expm1("value"))
     mean = F.when(F.col("mean") == 0, F.lit(1e-12)).otherwise(F.col("mean"))
     ratio = F.col("var") / mean
-    shaped = stats.select(feature, F.log1p(mean).alias("mean"), F.when(ratio > 0, F.ln(ratio)).alias("dispersion"))
+    # one row per feature, read by every step below
+    shaped = cut_lineage(stats.select(feature, F.log1p(mean).alias("mean"), F.when(ratio > 0, F.ln(ratio)).alias("dispersion")))
     low, high = shaped.agg(F.min("mean")).scalar(), shaped.agg(F.max("mean")).scalar()
     place = F.ceil((F.col("mean") - low) / ((high - low) / n_bins))
     binned = shaped.withColumn("bin", F.coalesce(F.least(F.greatest(place, F.lit(1)), F.lit(n_bins)), F.lit(1)).cast("long"))

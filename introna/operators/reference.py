@@ -132,8 +132,10 @@ def feature_annotation(exons: DataFrame, names: DataFrame) -> DataFrame:
 
 def gene_name_map(attributes: DataFrame) -> DataFrame:
     """(gene_id, gene_name): the last line that carries both."""
-    both = attributes.filter("gene_id IS NOT NULL AND gene_name IS NOT NULL")
-    return both.groupBy("gene_id").agg(F.max(F.struct("line_no", "gene_name")).getField("gene_name").alias("gene_name"))
+    # the test sits inside the aggregate: as a filter it would be pushed down and parse the line again
+    both = F.col("gene_id").isNotNull() & F.col("gene_name").isNotNull()
+    last = F.max(F.when(both, F.struct("line_no", "gene_name"))).getField("gene_name")
+    return attributes.groupBy("gene_id").agg(last.alias("gene_name")).filter("gene_name IS NOT NULL")
 
 
 def genome_to_transcript(positions: DataFrame, exons: DataFrame) -> DataFrame:

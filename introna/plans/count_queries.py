@@ -217,7 +217,7 @@ def _missing(t: Tables):
 
 @query("reads_per_sample", with_sql("b9", """SELECT barcode AS sample, count(*) AS num_seqs, barcode IN (SELECT 'BC' || (s_suppkey * 2) FROM supplier) AS in_metadata FROM b9 WHERE barcode IS NOT NULL GROUP BY ALL"""))
 def _reads_per_sample(t: Tables):
-    named = text.parse_sam(t.b9()).select(F.concat(F.lit("/x/"), F.col("tags")["CB"], F.lit(".std.Aligned.sortedByCoord.out.bam")).alias("file"))
+    named = text.parse_sam(t.b9(), ["CB"]).select(F.concat(F.lit("/x/"), "CB", F.lit(".std.Aligned.sortedByCoord.out.bam")).alias("file"))
     reads = named.filter("file IS NOT NULL").select(barcodes.clean_sample(F.col("file")).alias("sample"))
     return barcodes.matched_counts(barcodes.reads_per_sample(reads), allow_list(t))
 

@@ -10,6 +10,7 @@ from introna.operators import graph
 from introna.operators.reference import adjacency_index
 from introna.plans.bindings import Tables, with_sql
 from introna.plans.registry import query
+from introna.session import cut_lineage
 from introna.sources import tables
 
 N_TOP = 40  # variable genes kept in the queries
@@ -71,7 +72,8 @@ def compressed(t: Tables):
 
 
 def reduced(t: Tables):
-    return graph.reduce_adjacency(features(t), compressed(t))
+    """(edges, var); the compressed edges are read twice, so they are stored once."""
+    return graph.reduce_adjacency(features(t), cut_lineage(compressed(t)))
 
 
 @query("exon_features", with_sql("b2f exons", """SELECT cell_id, gene_id, exon_number, exon_pos, round("count", 6) AS value FROM b2f JOIN exons USING (gene_id, exon_number) WHERE "count" > 0"""))
@@ -239,7 +241,7 @@ def _edge_normalize(t: Tables):
 
 def indexed(t: Tables):
     """(normalised edges, raw edges, node offsets, node values), all with global node numbers."""
-    pairs, var = reduced(t)
+    pairs, var = (cut_lineage(part) for part in reduced(t))
     offsets = graph.node_offsets(var)
     raw = graph.edge_index(pairs, offsets)
     scaled = graph.edge_index(graph.edge_normalize(pairs), offsets)

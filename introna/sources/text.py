@@ -50,8 +50,16 @@ def gtf_scan(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def attribute(name: str, raw: str = "attribute") -> Column:
-    """Value of one key, quoted or bare; NULL when the key is absent."""
-    return blank_to_null(F.regexp_extract(raw, rf'(?:^|;)\s*{name}\s+"?([^";]*)"?', 1))
+    """Value of one key, quoted or bare; NULL when the key is absent.
+
+    The usual form ``; key "value"`` is cut out by plain text search; only other spellings pay
+    for a pattern match.
+    """
+    whole = F.concat(F.lit("; "), F.col(raw))
+    opening = f'; {name} "'
+    quoted = F.substring_index(F.substring_index(whole, opening, -1), '"', 1)
+    other = F.regexp_extract(raw, rf'(?:^|;)\s*{name}\s+"?([^";]*)"?', 1)
+    return blank_to_null(F.when(F.contains(whole, F.lit(opening)), quoted).when(F.contains(whole, F.lit(name)), other).otherwise(""))
 
 
 def gtf_attributes(gtf: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -101,19 +109,28 @@ def gtf_write(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     format_gtf(df).write.mode("overwrite").text(path)
 
 
-def parse_sam(lines: DataFrame) -> DataFrame:
-    """Eleven fixed fields and ``tags`` (map of tag name to value); header lines are left out."""
+def sam_tag(name: str, raw: str = "value") -> Column:
+    """Value of one optional tag of an alignment line, NULL when absent."""
+    return blank_to_null(F.regexp_extract(raw, rf"\t{name}:[^:\t]*:([^\t]*)", 1))
+
+
+def parse_sam(lines: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
+    """Eleven fixed fields and ``tags`` (map of tag name to value); header lines are left out.
+
+    Tags named in ``tags`` come as columns of their own, which is cheaper than the map.
+    """
     fields = F.split("value", "\t")
     body = lines.filter(~F.col("value").startswith("@"))
     optional = F.slice(fields, 12, F.greatest(F.size(fields) - 11, F.lit(0)))
     entries = F.transform(
-        optional, lambda f: F.struct(F.substring_index(f, ":", 1).alias("key"), F.regexp_extract(f, "^[^:]*:[^:]*:(.*)$", 1).alias("value"))
+        optional, lambda f: F.struct(F.substring_index(f, ":", 1).alias("key"), F.substr(f, F.lit(len("CB:Z:") + 1)).alias("value"))
     )
     numeric = {"flag": "int", "pos": "long", "mapq": "int", "mate_pos": "long", "length": "long"}
     rest = [c for c in lines.columns if c != "value"]
     return body.select(
         *rest,
         *[fields.getItem(i).cast(numeric.get(c, "string")).alias(c) for i, c in enumerate(SAM_COLUMNS)],
+        *[sam_tag(t).alias(t) for t in tags],
         F.map_from_entries(entries).alias("tags"),
     )
 
