@@ -170,7 +170,11 @@ def exon_junction_triples(exons: DataFrame, junctions: DataFrame) -> DataFrame:
 
 
 def exon_edges(triples: DataFrame, exons: DataFrame) -> DataFrame:
-    """Directed edges (up, down, junction) between exons, with both exons' places."""
+    """Directed edges (up, down, junction) between exons, with both exons' places.
+
+    A junction of unknown strand has each of its exons on both sides; an edge from an exon to
+    itself, which that would also give, is left out.
+    """
     up = triples.filter("direction = 'upstream'").select(F.col("exon_id").alias("up"), F.col("junction_id").alias("junction"))
     down = triples.filter("direction = 'downstream'").select(F.col("exon_id").alias("down"), F.col("junction_id").alias("junction"))
     place = exons.select("exon_id", F.struct("chrom", "start", "stop", "strand", signed_start(F.col("start"), F.col("strand")).alias("signed")).alias("p")).distinct()

@@ -53,12 +53,12 @@ def test_events_against_brute_force(spark, strand):
     directed = set()
     # exons 4 and 5 end at the same base, so a junction from one is a junction from both
     for j in junctions:
-        for a in (e for e in exons if e[3] == j[4]):
-            for b in (e for e in exons if e[2] == j[3]):
-                if strand in "+.":
-                    directed.add((a[0], b[0]))
-                if strand in "-.":
-                    directed.add((b[0], a[0]))
+        before, after = [e[0] for e in exons if e[3] == j[4]], [e[0] for e in exons if e[2] == j[3]]
+        if strand == ".":
+            # an unknown strand puts every exon at the junction on both of its sides
+            directed |= set(itertools.permutations(before + after, 2))
+        else:
+            directed |= {(a, b) if strand == "+" else (b, a) for a in before for b in after}
     place = {e[0]: e for e in exons}
     apart = lambda a, b: place[a][2] > place[b][3] or place[a][3] < place[b][2]
     signed = lambda a: -place[a][2] if strand == "-" else place[a][2]
