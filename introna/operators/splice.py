@@ -173,12 +173,13 @@ def exon_edges(triples: DataFrame, exons: DataFrame) -> DataFrame:
     """Directed edges (up, down, junction) between exons, with both exons' places.
 
     A junction of unknown strand has each of its exons on both sides; an edge from an exon to
-    itself, which that would also give, is left out.
+    itself, which that would also give, is left out. Of several junctions between two exons,
+    which only an unknown strand can give, the first by name stands for the pair.
     """
     up = triples.filter("direction = 'upstream'").select(F.col("exon_id").alias("up"), F.col("junction_id").alias("junction"))
     down = triples.filter("direction = 'downstream'").select(F.col("exon_id").alias("down"), F.col("junction_id").alias("junction"))
     place = exons.select("exon_id", F.struct("chrom", "start", "stop", "strand", signed_start(F.col("start"), F.col("strand")).alias("signed")).alias("p")).distinct()
-    edges = up.join(down, "junction").filter("up <> down")
+    edges = up.join(down, "junction").filter("up <> down").groupBy("up", "down").agg(F.min("junction").alias("junction"))
     for end in ("up", "down"):
         edges = edges.join(place.select(F.col("exon_id").alias(end), F.col("p").alias(f"{end}_at")), end)
     return edges
