@@ -145,20 +145,20 @@ def _introns(t: Tables):
     return introns.withColumn("strands", F.concat_ws(",", F.col("strands").cast("array<string>")))
 
 
-@query("gene_of_region", with_sql("b1", """,
+@query("gene_of_region", with_sql("b1", MERGED_SQL + """,
 regions AS (SELECT DISTINCT seqname AS chrom, "start" - 40 AS "start", "start" + 60 AS stop, strand FROM b1),
 named AS (SELECT *, 'exon:' || chrom || ':' || "start" || '-' || stop || ':' || strand AS region_id FROM regions),
-islands AS (SELECT gene_id, gene_name, seqname, strand, "start" AS g_start, "end" AS g_stop FROM b1 WHERE "start" < "end" AND feature = 'CDS')
+places AS (SELECT gene_id, gene_name, seqname, strand, "start" AS g_start, "end" AS g_stop FROM merged)
 SELECT region_id, string_agg(DISTINCT gene_id, ',' ORDER BY gene_id) AS gene_ids,
   coalesce(string_agg(DISTINCT gene_name, ',' ORDER BY gene_name), '') AS gene_names
-FROM named n JOIN islands i ON n.chrom = i.seqname AND n.strand = i.strand AND n."start" <= i.g_stop AND i.g_start <= n.stop GROUP BY region_id"""))
+FROM named n JOIN places i ON n.chrom = i.seqname AND n.strand = i.strand AND n."start" <= i.g_stop AND i.g_start <= n.stop GROUP BY region_id"""))
 def _gene_of_region(t: Tables):
     rows = t.b1()
     regions = rows.select(
         F.col("seqname").alias("chrom"), (F.col("start") - 40).alias("start"), (F.col("start") + 60).alias("stop"), "strand"
     ).distinct()
     regions = regions.withColumn("region_id", F.format_string("exon:%s:%d-%d:%s", "chrom", "start", "stop", "strand"))
-    genes = rows.filter("start < end AND feature = 'CDS'").select(
+    genes = merged(t).select(
         F.col("seqname").alias("chrom"), "strand", F.col("start").alias("g_start"), F.col("end").alias("g_stop"), "gene_id", "gene_name"
     )
     merged_ids = ref.gene_of_region(regions, genes, width=256)
