@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +24,30 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for file in sorted(f for f in files if f.endswith(".py")):
+                full = os.path.join(folder, file)
+                out.write(full, os.path.join(name, os.path.relpath(full, package)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 def local_session(app: str, cores: str = "8", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     spark = (
