@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from introna.llm import mixing, quality
+from introna.llm import bpe, mixing, quality, token_counts
 from introna.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 SIZE_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 
@@ -25,6 +32,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_bpe")
+def op3_bpe(spark, folder):
+    """Every document encoded and decoded again, as digests."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = bpe.decode(bpe.encode(docs, tokenizer_path(), keep_text=False), tokenizer_path())
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, folder):
+    """Totals, quantiles and truncated totals for every context limit."""
+    return token_counts.token_limits(table(spark, folder, "documents"), tokenizer_path())
+
+
 MIX_SQL = rf"""
 WITH sized AS (
     SELECT doc_id, source, {SIZE_SQL}::BIGINT AS size,
