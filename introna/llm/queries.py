@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from introna.llm import bpe, mixing, quality, token_counts
+from introna.llm import bpe, minhash, mixing, quality, token_counts
 from introna.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,12 @@ def op6_mixing(spark, folder):
     return mixing.mix_plan(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_minhash")
+def op8_minhash(spark, folder):
+    """Near-duplicate classes of all documents."""
+    return minhash.classes(table(spark, folder, "documents"), width=2, percent=80)
+
+
 def _quality_sql() -> str:
     names = list(quality.RULES)
     votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS vote_{n}" for n, (bad, good) in quality.RULES.items())
