@@ -54,8 +54,8 @@ class Tokenizer:
         self.mark_start = os.path.commonprefix(list(self.special))
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         # letters and digits that only the newer tables of the regex library know are none: other characters stand in
-        named = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))
-        newer = [c for c in named if unicodedata.category(c) == "Cn"]
+        named = regex.compile(r"[\p{L}\p{N}]")
+        newer = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and named.match(c)]
         self.newer = regex.compile("[" + "".join(newer) + "]") if newer else None
         self.hide = {ord(c): 0xF0000 + i for i, c in enumerate(newer)}
         self.show = {v: k for k, v in self.hide.items()}
@@ -73,8 +73,6 @@ class Tokenizer:
         np.minimum.at(lowest, pairs[:, 0], np.arange(len(pairs)))
         np.minimum.at(lowest, pairs[:, 1], np.arange(len(pairs)))
         self.yields = lowest[self.made] < np.arange(len(pairs))
-        names = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
-        self.names = [names.get(i) for i in range(max(names) + 1)]
 
     def words(self, chunk: str) -> list[str]:
         """Words of one chunk after the text rules; special tokens stay as they are."""
@@ -209,7 +207,7 @@ def _gather(values: np.ndarray, begins: np.ndarray, which: np.ndarray) -> tuple[
     return values[np.repeat(begins[:-1][which] - at[:-1], lengths) + np.arange(at[-1])], at
 
 
-BATCH_CHARS = 1 << 25  # texts of a batch are merged together up to so many characters
+BATCH_CHARS = 1 << 22  # texts of a batch are merged together up to so many characters
 
 
 def _parts(texts: pa.Array):
@@ -222,6 +220,13 @@ def _parts(texts: pa.Array):
             yield texts.slice(a, b - a)
 
 
+def token_names(content: bytes) -> list[str | None]:
+    """Name of each id of a tokenizer file."""
+    spec = json.loads(content)
+    names = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [names.get(i) for i in range(max(names) + 1)]
+
+
 _loaded: dict[int, Tokenizer] = {}
 
 
@@ -275,7 +280,7 @@ def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
     content = _shared(df, path)
 
     def run(batches):
-        names = _tokenizer(content.value).names
+        names = token_names(content.value)
         top = len(names)
 
         def text(ids: bytes | None) -> str:
