@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split hot join keys even where the split costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # batches of long rows to and from Python stay small
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 
