@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from introna.llm import bpe, minhash, mixing, neighbours, quality, token_counts
+from introna.llm import bpe, minhash, mixing, neighbours, quality, token_counts, toxicity
 from introna.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,12 @@ def op6_mixing(spark, folder):
     return mixing.mix_plan(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_toxicity")
+def op7_toxicity(spark, folder):
+    """Toxicity of all documents."""
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op8_minhash")
 def op8_minhash(spark, folder):
     """Near-duplicate classes of all documents."""
