@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from introna.llm import bpe, minhash, mixing, neighbours, quality, token_counts, toxicity
+from introna.llm import bpe, chat, html, minhash, mixing, neighbours, quality, surrogates, token_counts, toxicity
 from introna.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,54 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+CHAT_SQL = """
+WITH turns AS (
+    SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i,
+        '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS line,
+        CASE WHEN role = 'assistant' THEN length(replace(coalesce(text, ''), '<|', '< |')) + 11 ELSE 0 END AS trained
+    FROM conversations WHERE conv_id IS NOT NULL),
+sides AS (SELECT pair_id, max(i) FILTER (WHERE side = 0) AS n, max(i) FILTER (WHERE side = 1) AS m FROM turns GROUP BY pair_id),
+met AS (
+    SELECT a.pair_id, min(a.i) AS first FROM turns a JOIN turns b ON a.pair_id = b.pair_id AND a.i = b.i AND a.side = 0 AND b.side = 1
+    WHERE a.line <> b.line GROUP BY a.pair_id),
+common AS (
+    SELECT s.pair_id, coalesce(m.first - 1, least(s.n, s.m)) AS n_common
+    FROM sides s LEFT JOIN met m USING (pair_id) WHERE s.n IS NOT NULL AND s.m IS NOT NULL),
+rest AS (
+    SELECT t.*, n_common, sum(length(line)) OVER (PARTITION BY pair_id, side ORDER BY i) AS stop
+    FROM turns t JOIN common USING (pair_id) WHERE i > n_common),
+prompts AS (SELECT pair_id, string_agg(line, '' ORDER BY i) AS prompt FROM turns JOIN common USING (pair_id) WHERE side = 0 AND i <= n_common GROUP BY pair_id),
+done AS (
+    SELECT pair_id, side, string_agg(line, '' ORDER BY i) AS text,
+        string_agg((stop - trained)::BIGINT || ':' || stop::BIGINT, ';' ORDER BY i) FILTER (WHERE trained > 0) AS mask
+    FROM rest GROUP BY pair_id, side)
+SELECT c.pair_id, c.n_common::INTEGER AS n_common, coalesce(prompt, '') AS prompt, coalesce(a.text, '') AS chosen, coalesce(b.text, '') AS rejected,
+    coalesce(a.mask, '') AS chosen_mask, coalesce(b.mask, '') AS rejected_mask, a.mask IS NOT NULL AND b.mask IS NOT NULL AS usable
+FROM common c LEFT JOIN prompts USING (pair_id)
+LEFT JOIN done a ON a.pair_id = c.pair_id AND a.side = 0 LEFT JOIN done b ON b.pair_id = c.pair_id AND b.side = 1
+"""
+
+
+@query("op1_chat", CHAT_SQL)
+def op1_chat(spark, folder):
+    """Every two neighbouring conversations as a preference pair."""
+    turns = table(spark, folder, "conversations")
+    return chat.preferences(turns, chat.neighbours_by_id(turns))
+
+
+@query("op2_html")
+def op2_html(spark, folder):
+    """Visible text of all pages."""
+    return html.extract(table(spark, folder, "pages")).select("page_id", "url", "text")
+
+
+@query("op5_surrogates")
+def op5_surrogates(spark, folder):
+    """All documents with surrogates for personal data."""
+    return surrogates.replace(table(spark, folder, "documents")).select("doc_id", "text", "n_entities")
+
+
 @query("op3_bpe")
 def op3_bpe(spark, folder):
     """Every document encoded and decoded again, as digests."""
