@@ -1,5 +1,71 @@
-"""Documents to training tokens."""
-STAGES = []
+"""Documents to training tokens: rules, near-duplicates, personal data, mixing, encoding.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each is written as Parquet below the
+shared folder and read again as the next one's documents. All but the last return the columns of the
+documents they were given. SQL cannot express the encoding, so there is no SQL twin.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from introna.llm import bpe, minhash, mixing, quality, surrogates
+from introna.llm.common import table
+from introna.llm.queries import tokenizer_path
+from introna.session import configure, shared_path
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the quality rules keep."""
+    configure(spark)
+    return quality.keep_good(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
+    configure(spark)
+    return minhash.drop_near_duplicates(docs, width=5, percent=80)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data; ``n_chars`` follows the new text."""
+    configure(spark)
+    done = surrogates.replace(docs).drop("n_entities")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        done = done.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(kind))
+    return done.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that the sources meet their target weights."""
+    configure(spark)
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, without its text."""
+    configure(spark)
+    return bpe.encode(docs, tokenizer_path(), keep_text=False)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", replace_personal_data),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
+
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
