@@ -131,14 +131,15 @@ def judge(docs: DataFrame, rules=None, threshold: float = 0.5, rounds: int = ROU
 def keep_good(docs: DataFrame, rules=None, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that are kept, in the given columns.
 
-    The model is estimated over all rows; the counts are taken again on the way out, so that texts are
-    not shuffled to meet their verdicts.
+    Rows are stored beside their votes, so that texts are measured once and need not be shuffled to meet
+    their verdicts.
     """
     rules = rules or RULES
     names = list(rules)
-    row = docs.select(F.struct("*").alias("row"), "text")
-    measured = votes(measure(row.select(F.col("row").alias("doc_id"), "text")), rules)
-    slim = stored(votes(measure(docs), rules).where(~F.col("base_failed")).select(*(f"vote_{n}" for n in names)), "quality-votes")
-    accuracy, prior = estimate(slim, names)
-    good = measured.where(~F.col("base_failed") & (posterior(names, accuracy, prior) >= threshold))
-    return good.select("doc_id.*")
+    ballots = [f"vote_{n}" for n in names]
+    whole = docs.select(F.struct("*").alias("row"), "text")
+    voted = votes(measure(whole.select(F.col("row").alias("doc_id"), "text")), rules)
+    voted = stored(voted.select(F.col("doc_id").alias("row"), "base_failed", *ballots), "quality-rows")
+    sound = voted.where(~F.col("base_failed"))
+    accuracy, prior = estimate(sound.select(*ballots), names)
+    return sound.where(posterior(names, accuracy, prior) >= threshold).select("row.*")
