@@ -1,8 +1,9 @@
 """Quality rules by weak supervision.
 
 Each rule votes good (1), votes bad (-1) or abstains (0). Documents are counted by vote pattern, and
-expectation-maximisation over the patterns estimates how often each rule is right and how common good
-documents are; the posterior of a document's pattern decides. Hard base rules (too few words, mostly
+expectation-maximisation over the patterns estimates how often each rule is right on good and on bad
+documents and how common good ones are; the posterior of a document's pattern decides. A rule that is
+seldom wrong on good documents so outweighs many that bad documents pass. Hard base rules (too few words, mostly
 repeated text) come first and are never overruled.
 
 Defined results: a null, empty or wordless text has zero counts, fails the base rules and is not kept;
@@ -21,13 +22,15 @@ from introna.llm.common import WORD, stored
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 ROUNDS = 12
-START_ACCURACY, START_PRIOR = 0.8, 0.8
+START_ON_GOOD, START_ON_BAD, START_PRIOR = 0.98, 0.3, 0.8
 
 #: name: (bad if, good if), over the counts of `measure`; neither: the rule abstains
 RULES = {
     "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
     "upper": ("5 * n_upper > word_chars", "10 * n_upper <= word_chars"),
     "shouting": ("5 * n_marks > n_words", "20 * n_marks <= n_words"),
+    "letters": ("5 * n_letters < 4 * word_chars", "10 * n_letters >= 9 * word_chars"),
+    "runs": ("5 * n_runs > n_words", "20 * n_runs <= n_words"),
     "cells": ("10 * n_bars > n_words", "50 * n_bars <= n_words"),
     "repeats": ("5 * n_repeat_words > n_words", "10 * n_repeat_words <= n_words"),
     "lines": ("3 * n_dup_lines > n_lines", "5 * n_dup_lines <= n_lines"),
@@ -57,6 +60,8 @@ def measure(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(r"\|")).cast("long").alias("n_bars"),
         F.regexp_count("text", F.lit(r"!")).cast("long").alias("n_marks"),
         length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        length(F.regexp_replace("text", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
+        F.regexp_count("text", F.lit(r"[\p{P}\p{S}]{2,}")).cast("long").alias("n_runs"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
     )
@@ -85,36 +90,40 @@ def votes(measured: DataFrame, rules=None) -> DataFrame:
     return measured.withColumns(cast).withColumn("base_failed", failed)
 
 
-def posterior(names: list[str], accuracy: dict[str, float], prior: float) -> Column:
-    """Probability that a document is good, given its votes."""
+def posterior(names: list[str], right: dict[str, tuple[float, float]], prior: float) -> Column:
+    """Probability that a document is good, given its votes and how often each rule is right on (good, bad) ones."""
     odds = F.lit(math.log(prior / (1 - prior)))
     for name in names:
-        odds = odds + F.col(f"vote_{name}") * F.lit(math.log(accuracy[name] / (1 - accuracy[name])))
+        good, bad = right[name]
+        vote = F.col(f"vote_{name}")
+        odds = odds + F.when(vote == 1, math.log(good / (1 - bad))).when(vote == -1, math.log((1 - good) / bad)).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
-    """Accuracies and the share of good documents, by expectation-maximisation.
+def estimate(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[dict[str, tuple[float, float]], float]:
+    """How often each rule is right on good and bad documents, and the share of good ones.
 
     The E-step needs only the counts of vote patterns (3 to the number of rules at most); each round is
     one aggregate over them that returns a single row. Estimates are smoothed by one right and one wrong
     vote and rounded to 9 decimals, so that any order of summation gives the same.
     """
     patterns = stored(voted.groupBy(*(f"vote_{n}" for n in names)).agg(F.count("*").alias("docs")), "vote-patterns").coalesce(1)
-    accuracy, prior = dict.fromkeys(names, START_ACCURACY), START_PRIOR
+    right, prior = dict.fromkeys(names, (START_ON_GOOD, START_ON_BAD)), START_PRIOR
     for _ in range(rounds):
-        good = posterior(names, accuracy, prior)
-        sums = [F.sum("docs").alias("docs"), F.sum(F.col("docs") * good).alias("good")]
+        good, bad = (F.col("docs") * p for p in (F.col("good"), 1 - F.col("good")))
+        sums = [F.sum("docs").alias("docs"), F.sum(good).alias("good")]
         for name in names:
             vote = F.col(f"vote_{name}")
-            sums.append(F.sum(F.when(vote != 0, F.col("docs"))).alias(f"cast_{name}"))
-            sums.append(F.sum(F.when(vote == 1, F.col("docs") * good).when(vote == -1, F.col("docs") * (1 - good))).alias(f"right_{name}"))
-        row = patterns.agg(*sums).first()
+            for kind, mass, hit in (("good", good, 1), ("bad", bad, -1)):
+                sums.append(F.sum(F.when(vote != 0, mass)).alias(f"cast_{kind}_{name}"))
+                sums.append(F.sum(F.when(vote == hit, mass)).alias(f"right_{kind}_{name}"))
+        row = patterns.withColumn("good", posterior(names, right, prior)).agg(*sums).first()
         if not row["docs"]:
             break
+        share = {(n, k): ((row[f"right_{k}_{n}"] or 0.0) + 1) / ((row[f"cast_{k}_{n}"] or 0.0) + 2) for n in names for k in ("good", "bad")}
         prior = round((row["good"] + 1) / (row["docs"] + 2), 9)
-        accuracy = {n: round(((row[f"right_{n}"] or 0.0) + 1) / ((row[f"cast_{n}"] or 0) + 2), 9) for n in names}
-    return accuracy, prior
+        right = {n: (round(share[n, "good"], 9), round(share[n, "bad"], 9)) for n in names}
+    return right, prior
 
 
 def judge(docs: DataFrame, rules=None, threshold: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
@@ -123,8 +132,8 @@ def judge(docs: DataFrame, rules=None, threshold: float = 0.5, rounds: int = ROU
     names = list(rules)
     voted = stored(votes(measure(docs), rules), "quality-votes")
     # documents that fail the base rules are decided; the rules are weighed on the others
-    accuracy, prior = estimate(voted.where(~F.col("base_failed")), names, rounds)
-    scored = voted.withColumn("posterior", posterior(names, accuracy, prior))
+    right, prior = estimate(voted.where(~F.col("base_failed")), names, rounds)
+    scored = voted.withColumn("posterior", posterior(names, right, prior))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
@@ -141,5 +150,5 @@ def keep_good(docs: DataFrame, rules=None, threshold: float = 0.5) -> DataFrame:
     voted = votes(measure(whole.select(F.col("row").alias("doc_id"), "text")), rules)
     voted = stored(voted.select(F.col("doc_id").alias("row"), "base_failed", *ballots), "quality-rows")
     sound = voted.where(~F.col("base_failed"))
-    accuracy, prior = estimate(sound.select(*ballots), names)
-    return sound.where(posterior(names, accuracy, prior) >= threshold).select("row.*")
+    right, prior = estimate(sound.select(*ballots), names)
+    return sound.where(posterior(names, right, prior) >= threshold).select("row.*")

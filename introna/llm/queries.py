@@ -165,13 +165,16 @@ def _quality_sql() -> str:
     names = list(quality.RULES)
     votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS vote_{n}" for n, (bad, good) in quality.RULES.items())
     columns = ", ".join(f"vote_{n}" for n in names)
-    odds = "ln(m.prior / (1 - m.prior)) + " + " + ".join(f"vote_{n} * ln(m.{n} / (1 - m.{n}))" for n in names)
-    start = ", ".join(f"{quality.START_ACCURACY}::DOUBLE AS {n}" for n in names)
+    odds = "ln(m.prior / (1 - m.prior)) + " + " + ".join(
+        f"CASE vote_{n} WHEN 1 THEN ln(m.good_{n} / (1 - m.bad_{n})) WHEN -1 THEN ln((1 - m.good_{n}) / m.bad_{n}) ELSE 0 END" for n in names
+    )
+    start = ", ".join(f"{quality.START_ON_GOOD}::DOUBLE AS good_{n}, {quality.START_ON_BAD}::DOUBLE AS bad_{n}" for n in names)
     steps = [f"m0 AS (SELECT {quality.START_PRIOR}::DOUBLE AS prior, {start})"]
     for i in range(quality.ROUNDS):
         right = ", ".join(
-            f"round((coalesce(sum(CASE vote_{n} WHEN 1 THEN docs * good WHEN -1 THEN docs * (1 - good) END), 0) + 1)"
-            f" / (coalesce(sum(docs) FILTER (WHERE vote_{n} <> 0), 0) + 2), 9) AS {n}" for n in names
+            f"round((coalesce(sum(docs * {mass}) FILTER (WHERE vote_{n} = {hit}), 0) + 1)"
+            f" / (coalesce(sum(docs * {mass}) FILTER (WHERE vote_{n} <> 0), 0) + 2), 9) AS {kind}_{n}"
+            for n in names for kind, mass, hit in (("good", "good", 1), ("bad", "(1 - good)", -1))
         )
         steps.append(f"e{i} AS MATERIALIZED (SELECT p.*, 1 / (1 + exp(-({odds}))) AS good FROM patterns p, m{i} m)")
         steps.append(f"m{i + 1} AS MATERIALIZED (SELECT round((sum(docs * good) + 1) / (sum(docs) + 2), 9) AS prior, {right} FROM e{i})")
@@ -188,7 +191,8 @@ measured AS (
         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
         length(regexp_replace(text, '[^|]+', '', 'g')) AS n_bars, length(regexp_replace(text, '[^!]+', '', 'g')) AS n_marks,
-        length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_upper,
+        length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\pL]+', '', 'g')) AS n_letters,
+        len(regexp_extract_all(text, '[\p{{P}}\p{{S}}]{{2,}}')) AS n_runs,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(list_distinct(words)) AS n_distinct_words,
         coalesce(c.n_repeat_words, 0)::BIGINT AS n_repeat_words
     FROM words w LEFT JOIN covered c USING (n)),
