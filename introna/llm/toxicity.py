@@ -76,15 +76,19 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic, fold of the training rows within the bound, and ``weight``: rows of the class per row taken."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 1")
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
-    rows = rows.withColumn("stretch", F.floor(hashed("toxicity", F.col("doc_id")) / F.lit((1 << 60) // STRETCHES)))
-    sizes = stored(rows.groupBy("toxic", "stretch").agg(F.count("*").alias("docs"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars")), "label-sizes")
+    known = known.withColumn("stretch", F.floor(hashed("toxicity", F.col("doc_id")) / F.lit((1 << 60) // STRETCHES)))
+    # lengths meet the labels first, then the texts of the rows taken; no text is shuffled
+    lengths = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    sized = stored(lengths.join(known, "doc_id"), "label-lengths")
+    sizes = sized.groupBy("toxic", "stretch").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"))
     order = Window.partitionBy("toxic").orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)
     taken = sizes.withColumn("upto", F.sum("chars").over(order)).withColumn("docs_upto", F.sum("docs").over(order))
     taken = taken.where((F.col("upto") <= SAMPLE_CHARS) & (F.col("docs_upto") <= SAMPLE_DOCS))
     share = sizes.groupBy("toxic").agg(F.sum("docs").alias("all")).join(taken.groupBy("toxic").agg(F.sum("docs").alias("some")), "toxic")
     share = share.select("toxic", (F.col("all") / F.col("some")).alias("weight"))
-    return stored(rows.join(taken.select("toxic", "stretch"), ["toxic", "stretch"]).join(share, "toxic").drop("stretch"), "labelled")
+    chosen = sized.join(taken.select("toxic", "stretch"), ["toxic", "stretch"]).join(share, "toxic").drop("stretch", "chars").distinct()
+    chosen = stored(chosen, "label-sample")  # SAMPLE_DOCS rows per class at most
+    return stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
