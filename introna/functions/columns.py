@@ -14,6 +14,16 @@ def r6(value: Column | str) -> Column:
     return F.round(column.cast("double"), 6) + F.lit(0.0)
 
 
+def tail(p: Column | str) -> Column:
+    """-log10 of a p-value to four decimals; 400 stands for a p-value of 0."""
+    column = F.col(p) if isinstance(p, str) else p
+    return F.when(column > 0, F.round(-F.log10(column), 4) + F.lit(0.0)).when(column == 0, F.lit(400.0))
+
+
+def tail_sql(p: str) -> str:
+    return f"CASE WHEN {p} > 0 THEN round(-log10({p}), 4) + 0.0 WHEN {p} = 0 THEN 400.0 END"
+
+
 def blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 

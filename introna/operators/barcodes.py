@@ -55,10 +55,10 @@ def barcode_suffix(cell: Column) -> Column:
     return F.when(place > 0, cell.substr(place, F.length(cell)))
 
 
-def common_suffix(cells: DataFrame) -> DataFrame:
-    """One row: the suffix all cells share, else NULL."""
+def common_suffix(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per value of ``by``: the suffix all cells share, else NULL."""
     suffix = barcode_suffix(F.col("cell_id"))
-    return cells.agg(
+    return cells.groupBy(*by).agg(
         F.when((F.count(suffix) == F.count(F.lit(1))) & (F.min(suffix) == F.max(suffix)), F.min(suffix)).alias("suffix")
     )
 

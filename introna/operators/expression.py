@@ -51,11 +51,11 @@ def log1p(x: DataFrame) -> DataFrame:
 
 
 def moments(x: DataFrame, feature: str, cells: Column, value: Column | None = None) -> DataFrame:
-    """(feature, mean, var) over all cells, zeros included; sample variance."""
+    """(feature, mean, var) over all cells, zeros included; sample variance, NULL of a single cell."""
     v = F.col("value") if value is None else value
     sums = x.groupBy(feature).agg(F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
     mean = F.col("_s") / cells
-    var = F.greatest(F.col("_q") - cells * mean * mean, F.lit(0.0)) / (cells - 1)
+    var = F.try_divide(F.greatest(F.col("_q") - cells * mean * mean, F.lit(0.0)), cells - 1)
     return sums.select(feature, mean.alias("mean"), var.alias("var"))
 
 
@@ -71,7 +71,8 @@ def dispersion(x: DataFrame, feature: str, cells: Column, n_bins: int = 20) -> D
     # one row per feature, read by every step below
     shaped = cut_lineage(stats.select(feature, F.log1p(mean).alias("mean"), F.when(ratio > 0, F.ln(ratio)).alias("dispersion")))
     low, high = shaped.agg(F.min("mean")).scalar(), shaped.agg(F.max("mean")).scalar()
-    place = F.ceil((F.col("mean") - low) / ((high - low) / n_bins))
+    # equal means leave no width; all features share the first bin then
+    place = F.ceil(F.try_divide(F.col("mean") - low, (high - low) / n_bins))
     binned = shaped.withColumn("bin", F.coalesce(F.least(F.greatest(place, F.lit(1)), F.lit(n_bins)), F.lit(1)).cast("long"))
     per_bin = binned.groupBy("bin").agg(F.avg("dispersion").alias("_m"), F.stddev_samp("dispersion").alias("_sd"))
     # one row per bin

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,26 +144,24 @@ def select_de(genes: DataFrame, adjusted: str, fold: str, alpha: float = 0.05, m
     return genes.filter((F.col(adjusted) < alpha) & (F.abs(fold) > min_fold))
 
 
-def compare_de(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(gene, side): genes of the first list only, the second only, or both."""
-    one, two = a.select("gene").distinct(), b.select("gene").distinct()
-    return (
-        one.exceptAll(two).withColumn("side", F.lit("first"))
-        .unionByName(two.exceptAll(one).withColumn("side", F.lit("second")))
-        .unionByName(one.intersect(two).withColumn("side", F.lit("both")))
-    )
+def compare_de(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, gene, side): genes of the first list only, the second only, or both; one comparison per value of ``by``."""
+    listed = lambda df, name: df.select(*by, "gene", F.lit(name).alias("side"))
+    sides = listed(a, "first").unionByName(listed(b, "second")).groupBy(*by, "gene").agg(F.min("side").alias("_low"), F.max("side").alias("_high"))
+    return sides.select(*by, "gene", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("both").alias("side"))
 
 
-def merge_enrichment(a: DataFrame, b: DataFrame, term: str) -> DataFrame:
-    """Full join of two enrichment tables (id, name, category, q) on the id, of terms that contain ``term``.
+def merge_enrichment(a: DataFrame, b: DataFrame, term: str = "", by: Sequence[str] = ()) -> DataFrame:
+    """Full join of two enrichment tables (by, id, name, category, q) on by and id, of terms that contain ``term``.
 
     A term missing on one side counts as q = 0 there, as its logarithm column shows by NULL.
     """
-    pick = lambda df, s: df.filter(F.col("name").ilike(f"%{term}%")).select("id", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "category", "q")])
-    joined = pick(a, "a").join(pick(b, "b"), "id", "full")
+    key = [*by, "id"]
+    pick = lambda df, s: df.filter(F.col("name").ilike(f"%{term}%")).select(*key, *[F.col(c).alias(f"{c}_{s}") for c in ("name", "category", "q")])
+    joined = pick(a, "a").join(pick(b, "b"), key, "full")
     q = lambda s: F.coalesce(F.col(f"q_{s}"), F.lit(0.0))
     log = lambda s: F.when(q(s) > 0, -F.log10(q(s)))
     return joined.select(
-        "id", F.coalesce("name_a", "name_b").alias("name"), F.coalesce("category_a", "category_b").alias("category"),
+        *key, F.coalesce("name_a", "name_b").alias("name"), F.coalesce("category_a", "category_b").alias("category"),
         q("a").alias("q_a"), q("b").alias("q_b"), log("a").alias("log_q_a"), log("b").alias("log_q_b"),
     )

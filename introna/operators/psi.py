@@ -23,10 +23,6 @@ def psi_matrix(summary: DataFrame, cells: DataFrame, order: str) -> DataFrame:
     return cells.select("cell_id").join(picked, "cell_id", "left")
 
 
-def event_order(summary: DataFrame, order: str) -> DataFrame:
-    return summary.groupBy("event_id").agg(F.min(order).alias("first_seen"))
-
-
 def _most_frequent(events: DataFrame, isoform: str) -> DataFrame:
     """(event_id, name): the most frequent gene name of the isoform, the id where unnamed; ties by name."""
     name = F.coalesce(f"{isoform}_gene_name", f"{isoform}_gene_id")
@@ -43,23 +39,52 @@ def event_gene(events: DataFrame) -> DataFrame:
     return both.select("event_id", F.when(one.isNull() & two.isNull(), "Empty").otherwise(joined).alias("gene_name"))
 
 
+def random_fill(cell: Column, event: Column, seed: int = 0) -> Column:
+    """The value of any missing entry, stored or not: uniform in [0, 1), fixed by cell, event and seed."""
+    return hash_fraction(cell.cast("string"), event, seed=seed)
+
+
 def psi_random_impute(psi: DataFrame, seed: int = 0) -> DataFrame:
-    """Missing values become uniform in [0, 1), fixed by cell, event and seed."""
-    return psi.withColumn("psi", F.coalesce("psi", hash_fraction(F.col("cell_id").cast("string"), "event_id", seed=seed)))
+    """Missing values become uniform in [0, 1); entries without a row are looked up by ``random_fill``."""
+    return psi.withColumn("psi", F.coalesce("psi", random_fill(F.col("cell_id"), F.col("event_id"), seed)))
+
+
+def kept_events(psi: DataFrame, n_cell: int = 10) -> DataFrame:
+    """Events with a value in at least ``n_cell`` cells."""
+    return psi.groupBy("event_id").agg(F.count("psi").alias("n")).filter(F.col("n") >= n_cell).select("event_id")
+
+
+def cluster_means(kept: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster, fill): average over the cluster's cells of each cell's mean, rounded to three places."""
+    per_cell = kept.groupBy("cell_id").agg(F.avg("psi").alias("m")).join(clusters, "cell_id")
+    return per_cell.groupBy("cluster").agg(F.bround(F.avg("m"), 3).alias("fill"))
 
 
 def psi_cluster_impute(psi: DataFrame, clusters: DataFrame, n_cell: int = 10) -> DataFrame:
-    """Keep events seen in at least ``n_cell`` cells; fill missing values with the cluster's mean.
+    """Rows of the kept events, missing values filled with the cluster's mean.
 
-    That mean is the average over the cluster's cells of each cell's mean over the kept events,
-    rounded to three places.
+    Entries without a row stay implicit; ``psi_cluster_fill`` gives their value and number.
     """
-    enough = psi.groupBy("event_id").agg(F.count("psi").alias("n")).filter(F.col("n") >= n_cell)
-    kept = psi.join(enough.select("event_id"), "event_id", "left_semi")
-    per_cell = kept.groupBy("cell_id").agg(F.avg("psi").alias("m")).join(clusters, "cell_id")
-    means = per_cell.groupBy("cluster").agg(F.bround(F.avg("m"), 3).alias("_mean"))
-    filled = kept.join(clusters, "cell_id").join(means, "cluster")
-    return filled.select("cell_id", "event_id", "cluster", F.coalesce("psi", "_mean").alias("psi"))
+    kept = psi.join(kept_events(psi, n_cell), "event_id", "left_semi")
+    filled = kept.join(clusters, "cell_id").join(cluster_means(kept, clusters), "cluster")
+    return filled.select("cell_id", "event_id", "cluster", F.coalesce("psi", "fill").alias("psi"))
+
+
+def psi_cluster_fill(psi: DataFrame, clusters: DataFrame, n_cell: int = 10) -> DataFrame:
+    """(event_id, cluster, fill, missing): what every missing entry of the cluster is filled with, and how many there are.
+
+    Missing are all cells of the cluster (listed in ``clusters``) without a value for a kept event, with
+    or without a row. One row per kept event and cluster that misses any.
+    """
+    events = kept_events(psi, n_cell)
+    kept = psi.join(events, "event_id", "left_semi")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("cells")).join(cluster_means(kept, clusters), "cluster", "left")
+    # one array of clusters, so that no join without a key is needed
+    listed = sizes.agg(F.collect_list(F.struct("cluster", "cells", "fill")))
+    grid = events.select("event_id", F.explode(listed.scalar()).alias("c")).select("event_id", "c.*")
+    found = kept.join(clusters, "cell_id").groupBy("event_id", "cluster").agg(F.count("psi").alias("found"))
+    missing = F.col("cells") - F.coalesce("found", F.lit(0))
+    return grid.join(found, ["event_id", "cluster"], "left").select("event_id", "cluster", "fill", missing.alias("missing")).filter("missing > 0")
 
 
 def compare_psi(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -89,14 +114,19 @@ def compare_psi(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def rank_sum_test(psi: DataFrame, groups: DataFrame, stretches: int = 256) -> DataFrame:
+def rank_sum_test(psi: DataFrame, groups: DataFrame, stretches: int = 256, implicit: DataFrame | None = None) -> DataFrame:
     """(event_id, group, n, z, p_val): rank sum of each group against the rest, ties at average rank.
 
+    ``implicit`` (event_id, group, psi, c) counts further entries of equal value, such as filled ones.
+
     Equal values of an event are counted together first, so ranks come from running counts over
     distinct values; those run in stretches of the value range, so a crowded event is not one task.
     """
     rows = psi.filter("psi IS NOT NULL").join(groups.select("cell_id", "group"), "cell_id")
-    cells = rows.groupBy("event_id", "psi", "group").agg(F.count(F.lit(1)).alias("c"))
+    cells = rows.select("event_id", "psi", "group", F.lit(1).cast("long").alias("c"))
+    if implicit is not None:
+        cells = cells.unionByName(implicit.filter("psi IS NOT NULL").select("event_id", "psi", "group", F.col("c").cast("long").alias("c")))
+    cells = cells.groupBy("event_id", "psi", "group").agg(F.sum("c").alias("c"))
     values = cells.groupBy("event_id", "psi").agg(F.sum("c").alias("n_value"))
     before = running_in_blocks(values, ["event_id"], F.floor(F.col("psi") * stretches), ["psi"], {"before": F.col("n_value")})
     ranked = cells.join(before, ["event_id", "psi"]).withColumn("rank", F.col("before") + (F.col("n_value") + 1) / 2)
@@ -111,8 +141,3 @@ def rank_sum_test(psi: DataFrame, groups: DataFrame, stretches: int = 256) -> Da
 
 def events_per_cell(psi: DataFrame) -> DataFrame:
     return psi.groupBy("cell_id").agg(F.count("psi").alias("n"))
-
-
-def finite(value: Column) -> Column:
-    """NaN of an outside table to NULL."""
-    return F.nanvl(value, F.lit(None).cast("double"))

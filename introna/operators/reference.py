@@ -153,7 +153,9 @@ def genome_to_transcript(positions: DataFrame, exons: DataFrame) -> DataFrame:
             "_len": F.col("end") - F.col("start") + 1,
         }
     )
-    placed = running_before_by(ranked, ["transcript_id"], ["_a", "_b"], {"_before": F.col("_len")})
+    # a transcript has few exons, so they are summed in place
+    earlier = Window.partitionBy("transcript_id").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranked.withColumn("_before", F.coalesce(F.sum("_len").over(earlier), F.lit(0)))
     wanted = positions.select("transcript_id", "pos").distinct().withColumn("pos_end", F.col("pos"))
     hits = range_join(placed, wanted, ["transcript_id"], ("start", "end"), ("pos", "pos_end"), STRETCH)
     inside = F.when(F.col("strand") == "-", F.col("end") - F.col("pos")).otherwise(F.col("pos") - F.col("start"))

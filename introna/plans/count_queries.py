@@ -175,10 +175,7 @@ def _suffix_counts(t: Tables):
 def _suffix(t: Tables):
     """Common suffix per market segment; one segment gets an id without a suffix."""
     cells = t.b6().select("segment", F.when(F.col("segment") == "BUILDING", F.lit("plain")).otherwise(F.col("CB")).alias("cell_id"))
-    suffix = barcodes.barcode_suffix(F.col("cell_id"))
-    return cells.groupBy("segment").agg(
-        F.when((F.count(suffix) == F.count(F.lit(1))) & (F.min(suffix) == F.max(suffix)), F.min(suffix)).alias("suffix")
-    )
+    return barcodes.common_suffix(cells, ["segment"])
 
 
 @query("filter_by_suffix", with_sql("b6", """SELECT CB, segment, nation, cell_pos FROM b6 WHERE CB LIKE '%MACHINERY'"""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from introna.functions.columns import r6
@@ -107,13 +108,14 @@ def _matrices(t: Tables):
 
 
 @query("drop_empty_features", with_sql("b2f exons", """,
-wide AS (SELECT cell_id, gene_id, exon_number, "count" AS value FROM b2f WHERE "count" > 90),
+wide AS (SELECT cell_id, gene_id, exon_number, "count" AS value FROM b2f WHERE "count" > 0),
 var AS (SELECT gene_id, exon_number, row_number() OVER (PARTITION BY gene_id ORDER BY exon_number) AS k FROM (SELECT DISTINCT gene_id, exon_number FROM wide))
 SELECT cell_id, gene_id, gene_id || '-' || k AS feature_id, exon_number, round(value, 6) AS value FROM wide JOIN var USING (gene_id, exon_number)"""))
 def _drop_empty(t: Tables):
-    """Entries up to 90 reads are read as zero here, so that some exons are empty everywhere."""
-    loud = features(t).withColumn("value", F.when(F.col("value") > 90, F.col("value")).otherwise(0.0))
-    kept = graph.drop_empty_features(loud)[0].filter("value <> 0")
+    """Between the counted exons stand others, with an entry of zero each, that nobody counts."""
+    counted = features(t).select("cell_id", "gene_id", (2 * F.col("i") + 1).alias("i"), "value")
+    empty = t.exons().select(F.lit("none").alias("cell_id"), "gene_id", (2 * (F.col("exon_number") - 1)).alias("i"), F.lit(0.0).alias("value"))
+    kept = graph.drop_empty_features(counted.unionByName(empty))[0].withColumn("i", F.expr("(i - 1) div 2"))
     return kept.select(
         "cell_id", "gene_id", F.concat("gene_id", F.lit("-"), F.col("k").cast("string")).alias("feature_id"),
         (F.col("i") + 1).alias("exon_number"), r6("value").alias("value"),
@@ -377,10 +379,29 @@ def _scale_features(t: Tables):
     return var.select("gene_id", *[r6(c).alias(c) for c in ("mean", "sd", "zero_value")])
 
 
-@query("pca")
+# the axes' signs are free, so the check is on what any full set of components keeps
+@query("pca", with_sql("b4", """,
+long AS (SELECT cell_id, unnest(x_z)::DOUBLE AS x, unnest(range(len(x_z))) AS i FROM b4),
+spread AS (SELECT i, var_samp(x) AS v, count(*) AS n FROM long GROUP BY i),
+lengths AS (SELECT cell_id, sum((x - m) * (x - m)) AS s FROM long JOIN (SELECT i, avg(x) AS m FROM long GROUP BY i) USING (i) GROUP BY cell_id)
+SELECT 'variance' AS name, NULL::BIGINT AS cell_id, round(sum(v), 5) AS value FROM spread
+UNION ALL SELECT 'correlation', NULL, 0.0 UNION ALL SELECT 'descending', NULL, 1.0
+UNION ALL SELECT 'length', cell_id, round(s, 5) FROM lengths"""))
 def _pca(t: Tables):
-    scores = ex.principal_components(t.b4(), "x_z", 5)
-    return scores.select("cell_id", *[F.abs(F.col("pc")[i]).alias(f"pc{i + 1}") for i in range(5)])
+    """All components: total variance, largest correlation of two scores, order, squared length of every centred row."""
+    width = t.b4().select(F.size("x_z")).first()[0]
+    scores = cut_lineage(ex.principal_components(t.b4(), "x_z", width))
+    long = scores.select("cell_id", F.posexplode("pc").alias("i", "s"))
+    stats = long.groupBy("i").agg(F.var_samp("s").alias("v"), F.avg("s").alias("m"))
+    total = stats.select(F.lit("variance").alias("name"), F.lit(None).cast("long").alias("cell_id"), F.round(F.sum("v").over(Window.partitionBy()), 5).alias("value")).limit(1)
+    pairs = [(i, i + 1) for i in range(width - 1)]
+    related = scores.agg(*[F.corr(F.col("pc")[i], F.col("pc")[j]).alias(f"c{i}") for i, j in pairs])
+    largest = related.select(F.lit("correlation"), F.lit(None).cast("long"), F.round(F.greatest(*[F.abs(f"c{i}") for i, _ in pairs]), 5) + 0.0)
+    order = Window.partitionBy(F.lit(0)).orderBy("i")  # one row per component
+    falls = stats.withColumn("next", F.lead("v").over(order)).agg(F.bool_and(F.coalesce(F.col("v") >= F.col("next") - 1e-9, F.lit(True))).alias("falls"))
+    falls = falls.select(F.lit("descending"), F.lit(None).cast("long"), F.col("falls").cast("double"))
+    lengths = long.join(stats, "i").groupBy("cell_id").agg(F.round(F.sum((F.col("s") - F.col("m")) ** 2), 5).alias("value"))
+    return total.union(largest).union(falls).union(lengths.select(F.lit("length"), F.col("cell_id").cast("long"), "value"))
 
 
 @query("adjusted_rand", with_sql("b4", """,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from introna.functions.columns import r6
+from introna.functions.columns import r6, tail, tail_sql
 from introna.functions.normal import normal_isf_sql, normal_sf_sql
 from introna.operators import markers as mk
 from introna.operators.reference import adjacency_index
@@ -81,10 +81,10 @@ def _log_normalize(t: Tables):
     return mk.log_normalize(t.b7().select("cell_id", "feature_id", "value")).select("cell_id", "feature_id", r6("value").alias("value"))
 
 
-@query("one_vs_rest_markers", with_sql("b7", TEST_SQL + """SELECT cluster, feature_id, round(p_val, 6) AS p_val, round(avg_log2fc, 6) AS avg_log2fc, round(pct_1, 6) AS pct_1, round(pct_2, 6) AS pct_2,
+@query("one_vs_rest_markers", with_sql("b7", TEST_SQL + """SELECT cluster, feature_id, round(p_val, 6) AS p_val, round(avg_log2fc, 6) AS avg_log2fc, round(pct_1, 6) AS pct_1, round(pct_2, 6) AS pct_2, """ + tail_sql("p_val") + """ AS p_tail,
 round(least(p_val * (SELECT count(*) FROM total), 1), 6) AS p_val_adj FROM tested"""))
 def _markers(t: Tables):
-    return tested(t).select("cluster", "feature_id", *[r6(c).alias(c) for c in ("p_val", "avg_log2fc", "pct_1", "pct_2", "p_val_adj")])
+    return tested(t).select("cluster", "feature_id", tail("p_val").alias("p_tail"), *[r6(c).alias(c) for c in ("p_val", "avg_log2fc", "pct_1", "pct_2", "p_val_adj")])
 
 
 @query("feature_to_gene", with_sql("b2", """SELECT DISTINCT gene_name || '/' || exon_number || '-a-' || exon_number AS feature_id, gene_name || '_' || exon_number || '-a' AS gene FROM b2
@@ -113,9 +113,9 @@ combined AS (SELECT cluster, gene, CASE WHEN n_p > 0 AND n_p = n_w THEN {normal_
 """
 
 
-@query("weighted_stouffer", with_sql("b7 b1", WEIGHTED_SQL + "SELECT cluster, gene, round(stouffer_p, 6) AS stouffer_p FROM combined"))
+@query("weighted_stouffer", with_sql("b7 b1", WEIGHTED_SQL + "SELECT cluster, gene, round(stouffer_p, 6) AS stouffer_p, " + tail_sql("stouffer_p") + " AS p_tail FROM combined"))
 def _weighted_stouffer(t: Tables):
-    return mk.weighted_stouffer(weighted(t)).withColumn("stouffer_p", r6("stouffer_p"))
+    return mk.weighted_stouffer(weighted(t)).withColumns({"p_tail": tail("stouffer_p"), "stouffer_p": r6("stouffer_p")})
 
 
 @query("weighted_abs_log2fc", with_sql("b7 b1", WEIGHTED_SQL + "SELECT cluster, gene, round(abs_log2fc, 6) AS abs_log2fc FROM combined"))
@@ -130,9 +130,9 @@ plain AS (SELECT cluster, gene, CASE WHEN n > 0 THEN {normal_sf_sql('zz')} END A
 """
 
 
-@query("stouffer", with_sql("b7", PLAIN_SQL + "SELECT cluster, gene, round(stouffer_p, 6) AS stouffer_p, round(fold, 6) AS mean_abs_log2fc FROM plain"))
+@query("stouffer", with_sql("b7", PLAIN_SQL + "SELECT cluster, gene, round(stouffer_p, 6) AS stouffer_p, " + tail_sql("stouffer_p") + " AS p_tail, round(fold, 6) AS mean_abs_log2fc FROM plain"))
 def _stouffer(t: Tables):
-    return mk.stouffer(gene_rows(t)).withColumns({c: r6(c) for c in ("stouffer_p", "mean_abs_log2fc")})
+    return mk.stouffer(gene_rows(t)).withColumns({"p_tail": tail("stouffer_p"), **{c: r6(c) for c in ("stouffer_p", "mean_abs_log2fc")}})
 
 
 ADJUST_SQL = PLAIN_SQL + """,
@@ -146,9 +146,12 @@ def adjusted(t: Tables):
     return mk.adjust_bh(mk.adjust_bonferroni(genes, "stouffer_p"), "stouffer_p", ["cluster", "gene"])
 
 
-@query("adjust_p", with_sql("b7", ADJUST_SQL + """SELECT cluster, gene, round(bonf, 6) AS p_bonferroni, round(bh, 6) AS p_bh FROM plain LEFT JOIN adjusted USING (cluster, gene)"""))
+@query("adjust_p", with_sql("b7", ADJUST_SQL + """SELECT cluster, gene, round(bonf, 6) AS p_bonferroni, round(bh, 6) AS p_bh, """ + tail_sql("bonf") + " AS bonferroni_tail, " + tail_sql("bh") + """ AS bh_tail FROM plain LEFT JOIN adjusted USING (cluster, gene)"""))
 def _adjust(t: Tables):
-    return adjusted(t).select("cluster", "gene", r6("p_bonferroni").alias("p_bonferroni"), r6("p_bh").alias("p_bh"))
+    return adjusted(t).select(
+        "cluster", "gene", r6("p_bonferroni").alias("p_bonferroni"), r6("p_bh").alias("p_bh"),
+        tail("p_bonferroni").alias("bonferroni_tail"), tail("p_bh").alias("bh_tail"),
+    )
 
 
 @query("adjusted_rows", with_sql("b7", ADJUST_SQL + """SELECT cluster, feature_id, gene, round(bonf, 6) AS p_bonferroni FROM dropped LEFT JOIN adjusted USING (cluster, gene)"""))
@@ -164,22 +167,35 @@ def _select(t: Tables):
 
 
 @query("compare_de", with_sql("b7", TEST_SQL + """,
-a AS (SELECT DISTINCT gene FROM dropped WHERE cluster = 'BUILDING' AND p_val < 0.05 AND abs(avg_log2fc) > 0.3), b AS (SELECT DISTINCT gene FROM dropped WHERE cluster = 'MACHINERY' AND p_val < 0.05 AND abs(avg_log2fc) > 0.3)
-SELECT gene, 'first' AS side FROM a WHERE gene NOT IN (FROM b) UNION ALL SELECT gene, 'second' FROM b WHERE gene NOT IN (FROM a) UNION ALL SELECT gene, 'both' FROM a WHERE gene IN (FROM b)"""))
+de AS (SELECT DISTINCT cluster, gene FROM dropped WHERE p_val < 0.05 AND abs(avg_log2fc) > 0.3),
+pairs AS (SELECT a.cluster AS one, b.cluster AS two FROM (SELECT DISTINCT cluster FROM dropped) a JOIN (SELECT DISTINCT cluster FROM dropped) b ON a.cluster < b.cluster),
+a AS (SELECT one, two, gene FROM pairs JOIN de ON cluster = one), b AS (SELECT one, two, gene FROM pairs JOIN de ON cluster = two)
+SELECT one, two, gene, CASE WHEN b.gene IS NULL THEN 'first' ELSE 'both' END AS side FROM a LEFT JOIN b USING (one, two, gene)
+UNION ALL SELECT one, two, gene, 'second' FROM b ANTI JOIN a USING (one, two, gene)"""))
 def _compare(t: Tables):
-    rows = cut_lineage(mk.select_de(gene_rows(t), "p_val", "avg_log2fc", 0.05, 0.3))
-    return mk.compare_de(rows.filter("cluster = 'BUILDING'"), rows.filter("cluster = 'MACHINERY'"))
+    """Every two clusters."""
+    rows = mk.select_de(gene_rows(t), "p_val", "avg_log2fc", 0.05, 0.3).select("cluster", "gene")
+    return mk.compare_de(*both_sides(t, rows), by=["one", "two"])
+
+
+def both_sides(t: Tables, rows):
+    """The rows of the first and of the second cluster of every pair of clusters (a few dozen pairs)."""
+    names = t.read("customer").select("c_mktsegment").distinct()
+    pairs = names.select(F.col("c_mktsegment").alias("one")).join(names.select(F.col("c_mktsegment").alias("two")), F.col("one") < F.col("two"))
+    stored, pairs = cut_lineage(rows), cut_lineage(pairs)
+    return [stored.join(pairs, F.col("cluster") == F.col(c)).drop("cluster") for c in ("one", "two")]
 
 
 @query("merge_enrichment", with_sql("b7", TEST_SQL + """,
-terms AS (SELECT cluster, feature_id AS id, 'Term ' || gene AS name, 'C' || (CAST(substr(gene, 5) AS BIGINT) % 3) AS category, p_val AS q FROM dropped WHERE p_val IS NOT NULL AND gene LIKE '%1%'),
-a AS (SELECT * FROM terms WHERE cluster = 'BUILDING'), b AS (SELECT * FROM terms WHERE cluster = 'MACHINERY')
-SELECT id, coalesce(a.name, b.name) AS name, coalesce(a.category, b.category) AS category, round(coalesce(a.q, 0), 6) AS q_a, round(coalesce(b.q, 0), 6) AS q_b,
-round(CASE WHEN a.q > 0 THEN -log10(a.q) END, 6) AS log_q_a, round(CASE WHEN b.q > 0 THEN -log10(b.q) END, 6) AS log_q_b FROM a FULL JOIN b USING (id)"""))
+terms AS (SELECT cluster, feature_id AS id, 'Term ' || gene AS name, 'C' || (CAST(substr(gene, 5) AS BIGINT) % 3) AS category, p_val AS q FROM dropped WHERE p_val IS NOT NULL),
+pairs AS (SELECT a.cluster AS one, b.cluster AS two FROM (SELECT DISTINCT cluster FROM dropped) a JOIN (SELECT DISTINCT cluster FROM dropped) b ON a.cluster < b.cluster),
+a AS (SELECT * FROM pairs JOIN terms ON cluster = one), b AS (SELECT * FROM pairs JOIN terms ON cluster = two)
+SELECT one, two, id, coalesce(a.name, b.name) AS name, coalesce(a.category, b.category) AS category, round(coalesce(a.q, 0), 6) AS q_a, round(coalesce(b.q, 0), 6) AS q_b,
+round(CASE WHEN a.q > 0 THEN -log10(a.q) END, 6) AS log_q_a, round(CASE WHEN b.q > 0 THEN -log10(b.q) END, 6) AS log_q_b FROM a FULL JOIN b USING (one, two, id)"""))
 def _enrichment(t: Tables):
-    terms = cut_lineage(gene_rows(t).filter("p_val IS NOT NULL").select(
+    terms = gene_rows(t).filter("p_val IS NOT NULL").select(
         "cluster", F.col("feature_id").alias("id"), F.concat(F.lit("Term "), "gene").alias("name"),
         F.concat(F.lit("C"), (F.substring("gene", 5, 20).cast("long") % 3).cast("string")).alias("category"), F.col("p_val").alias("q"),
-    ))
-    merged_terms = mk.merge_enrichment(terms.filter("cluster = 'BUILDING'"), terms.filter("cluster = 'MACHINERY'"), "TERM GENE%1")
-    return merged_terms.select("id", "name", "category", *[r6(c).alias(c) for c in ("q_a", "q_b", "log_q_a", "log_q_b")])
+    )
+    merged_terms = mk.merge_enrichment(*both_sides(t, terms), by=["one", "two"])
+    return merged_terms.select("one", "two", "id", "name", "category", *[r6(c).alias(c) for c in ("q_a", "q_b", "log_q_a", "log_q_b")])

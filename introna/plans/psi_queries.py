@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from introna.functions.columns import r6
+from introna.functions.columns import r6, tail, tail_sql
 from introna.operators import expression, psi
 from introna.plans.bindings import Tables, with_sql
 from introna.plans.registry import query
@@ -88,11 +88,49 @@ zs AS (SELECT event_id, grp, n, (rs - n * (total + 1) / 2) / sqrt(n * (total - n
 """
 
 
-@query("rank_sum_test", with_sql(EVENTS, RANK_SQL + f"""SELECT event_id, grp AS "group", n, round(z, 6) AS z, round(2 * {normal_sf_sql('abs(z)')}, 6) AS p_val FROM zs"""))
+P_SQL = f"2 * {normal_sf_sql('abs(z)')}"
+
+
+@query("rank_sum_test", with_sql(EVENTS, RANK_SQL + f"""SELECT event_id, grp AS "group", n, round(z, 6) AS z, round({P_SQL}, 6) AS p_val, {tail_sql(P_SQL)} AS p_tail FROM zs"""))
 def _rank_sum(t: Tables):
     rows = values(t)
     groups = rows.select("cell_id", (F.col("cell_id") % 5).alias("group")).distinct()
-    return psi.rank_sum_test(rows, groups).withColumns({"z": r6("z"), "p_val": r6("p_val")})
+    return psi.rank_sum_test(rows, groups).withColumns({"p_tail": tail("p_val"), "z": r6("z"), "p_val": r6("p_val")})
+
+
+# cells 0-59 in five clusters: the last ten have no row at all
+FILL_SQL = MEAN_SQL + """,
+kept AS (SELECT sample_id, event_id, psi FROM scored WHERE event_id IN (SELECT event_id FROM scored GROUP BY event_id HAVING count(psi) >= 10)),
+cells AS (SELECT unnest(range(60)) AS sample_id),
+per_cell AS (SELECT sample_id, avg(psi) AS m FROM kept GROUP BY sample_id),
+means AS (SELECT sample_id % 5 AS cluster, round_even(avg(m), 3) AS fill FROM per_cell GROUP BY ALL),
+grid AS (SELECT e.event_id, c.sample_id, c.sample_id % 5 AS cluster, k.psi, fill FROM (SELECT DISTINCT event_id FROM kept) e CROSS JOIN cells c
+  LEFT JOIN kept k ON k.event_id = e.event_id AND k.sample_id = c.sample_id LEFT JOIN means m ON m.cluster = c.sample_id % 5)
+"""
+
+
+def sixty_cells(t: Tables, rows):
+    known = rows.select("cell_id").unionByName(t.read("nation").select((F.col("n_nationkey") + 50).alias("cell_id")).filter("cell_id < 60"))
+    return known.distinct().select("cell_id", (F.col("cell_id") % 5).alias("cluster"))
+
+
+@query("psi_cluster_fill", with_sql(EVENTS, FILL_SQL + """SELECT event_id, cluster, fill, count(*) AS missing FROM grid WHERE psi IS NULL GROUP BY ALL"""))
+def _cluster_fill(t: Tables):
+    rows = values(t)
+    return psi.psi_cluster_fill(rows, sixty_cells(t, rows))
+
+
+@query("rank_sum_imputed", with_sql(EVENTS, FILL_SQL + RANK_SQL[len(MEAN_SQL):].replace(
+    "SELECT event_id, sample_id % 5 AS grp, psi FROM scored WHERE psi IS NOT NULL", "SELECT event_id, cluster AS grp, coalesce(psi, fill) AS psi FROM grid"
+) + f"""SELECT event_id, grp AS "group", n, round(z, 6) AS z, {tail_sql(P_SQL)} AS p_tail FROM zs"""))
+def _rank_sum_imputed(t: Tables):
+    """Rank sums over every cell and kept event, filled entries counted and not written out."""
+    rows = values(t)
+    clusters = cut_lineage(sixty_cells(t, rows))
+    stored = rows.join(psi.kept_events(rows), "event_id", "left_semi").filter("psi IS NOT NULL")
+    implicit = psi.psi_cluster_fill(rows, clusters).select("event_id", F.col("cluster").alias("group"), F.col("fill").alias("psi"), F.col("missing").alias("c"))
+    found = psi.rank_sum_test(stored, clusters.withColumnRenamed("cluster", "group"), implicit=implicit)
+    return found.select("event_id", "group", "n", r6("z").alias("z"), tail("p_val").alias("p_tail"))
 
 
 @query("events_per_cell", with_sql(EVENTS, MEAN_SQL + """,

@@ -67,9 +67,9 @@ def _per_cell_counts(t: Tables):
     folder = shared_path(t.spark, "per-cell")
     lines = counts.select(F.col("gene_id").alias("Geneid"), F.col("sample").alias("cell"), "count")
     lines.write.partitionBy("cell").csv(folder, sep="\t", header=True)
-    rows = t.spark.read.schema("Geneid string, count string, cell string").csv(folder, sep="\t", header=True)
-    kept = rows.select("Geneid", F.col("cell").alias("cell_id"), F.coalesce(F.col("count").try_cast("double"), F.lit(0.0)).alias("count"))
-    return kept.filter("count > 0").select("Geneid", "cell_id", r6("count").alias("count"))
+    cells = [r[0] for r in counts.select("sample").distinct().collect()]  # one folder per sample
+    rows = tables.per_cell_counts_scan(t.spark, [f"{folder}/cell={c}" for c in cells], ["Geneid"], F.url_decode(F.regexp_extract("path", "/cell=([^/]*)/", 1)))
+    return rows.select("Geneid", "cell_id", r6("count").alias("count"))
 
 
 @query("metadata_scan", with_sql("b6", """SELECT CB, segment, nation, cell_pos FROM b6"""))

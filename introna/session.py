@@ -58,6 +58,7 @@ def local_session(app: str, cores: str = "8", memory: str = "8g") -> SparkSessio
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", cores if cores != "*" else "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

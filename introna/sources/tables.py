@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,18 +16,13 @@ JUNCTION_ANNOTATION = [
     "Gene_SP1", "Gene_SP2", "Transcript", "Status", "Donor", "Acceptor", "Chr_SP1", "Location_SP1", "Strand_SP1",
     "Chr_SP2", "Location_SP2", "Strand_SP2", "NearestExonBoundary_SP1", "NearestExonBoundary_SP2",
 ]
-ALIGNED_SUFFIX = ".Aligned.sortedByCoord.out.bam"
+# Of the last path part: what follows the last colon, or precedes an alignment suffix, or the first dot.
+CELL_ID = r"^(?:.*/)?(?:[^/]*:([^/:]*)|([^/:]*?)(?:\.Aligned\.sortedByCoord\.out)?\.bam|([^/:.]*)[^/:]*)$"
 
 
 def cell_id_from_name(name: str) -> str:
-    """Cell id of one column header (the driver-side twin of ``cell_id_from_column``)."""
-    base = name.rsplit("/", 1)[-1]
-    if ":" in base:
-        return base.rsplit(":", 1)[-1]
-    for suffix in (ALIGNED_SUFFIX, ".bam"):
-        if base.endswith(suffix):
-            return base[: -len(suffix)]
-    return base.split(".", 1)[0]
+    """Cell id of one column header."""
+    return re.sub(CELL_ID, r"\1\2\3", name, count=1)
 
 
 def grouped_counts(wide: DataFrame, annotation: Sequence[str], cells: Sequence[str] | None = None) -> DataFrame:
@@ -39,7 +35,7 @@ def grouped_counts(wide: DataFrame, annotation: Sequence[str], cells: Sequence[s
     for column in wide.columns[len(annotation):]:
         cell = cell_id_from_name(column)
         if cell in by_cell:
-            raise ValueError(f"duplicate column for cell {cell!r}: {by_cell[cell]} and {column}")
+            raise ValueError(f"columns {by_cell[cell]} and {column} both name cell {cell!r}")
         by_cell[cell] = column
     wanted = list(by_cell) if cells is None else list(cells)
     missing = [c for c in wanted if c not in by_cell]
@@ -60,27 +56,24 @@ def grouped_counts_scan(
     return grouped_counts(wide, annotation, cells)
 
 
-def per_cell_counts_scan(spark: SparkSession, paths: Sequence[str], annotation: Sequence[str] = COUNT_ANNOTATION) -> DataFrame:
-    """One count file per cell to one long table; the file name gives the cell id."""
+def per_cell_counts_scan(
+    spark: SparkSession, paths: Sequence[str], annotation: Sequence[str] = COUNT_ANNOTATION, cell: Column | None = None
+) -> DataFrame:
+    """One count file (or folder) per cell to one long table; the file name gives the cell id, or ``cell`` over ``path``."""
     names = [*annotation, "count"]
     schema = ", ".join(f"`{n}` string" for n in names)
     rows = spark.read.schema(schema).csv(list(paths), sep="\t", comment="#", header=True, quote="", enforceSchema=True)
-    base = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("path"))
+    named = F.substring_index(F.element_at(F.split("path", "/"), -1), ".", 1) if cell is None else cell
     counted = rows.select(
-        *[F.col(f"`{a}`") for a in annotation], F.substring_index(base, ".", 1).alias("cell_id"),
+        *[F.col(f"`{a}`") for a in annotation], named.alias("cell_id"),
         F.coalesce(F.col("count").try_cast("double"), F.lit(0.0)).alias("count"),
     )
     return counted.filter(F.col("count") > 0)
 
 
 def cell_id_from_column(name: Column) -> Column:
-    base = F.substring_index(name, "/", -1)
-    return (
-        F.when(base.contains(":"), F.substring_index(base, ":", -1))
-        .when(base.endswith(ALIGNED_SUFFIX), F.regexp_replace(base, r"\.Aligned\.sortedByCoord\.out\.bam$", ""))
-        .when(base.endswith(".bam"), F.regexp_replace(base, r"\.bam$", ""))
-        .otherwise(F.substring_index(base, ".", 1))
-    )
+    return F.regexp_replace(name, CELL_ID, "$1$2$3")
 
 
 def clean_metadata(rows: DataFrame) -> DataFrame:
@@ -120,9 +113,13 @@ def matrix_write(path: str, obs: DataFrame, var: DataFrame, x: DataFrame) -> Non
 
 
 def matrix_read(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(obs, var, x) of one or more shards: cells stacked, the features of the first shard."""
+    """(obs, var, x) of one or more shards: cells stacked; shards of other features are an error."""
     obs = spark.read.parquet(*[f"{p}/obs" for p in paths])
     var = spark.read.parquet(f"{paths[0]}/var")
+    for path in paths[1:]:
+        other = spark.read.parquet(f"{path}/var").select(*var.columns)
+        if not (var.exceptAll(other).isEmpty() and other.exceptAll(var).isEmpty()):
+            raise ValueError(f"{path} has other features than {paths[0]}")
     x = spark.read.parquet(*[f"{p}/x" for p in paths])
     return obs, var, x
 

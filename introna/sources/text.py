@@ -57,7 +57,9 @@ def attribute(name: str, raw: str = "attribute") -> Column:
     """
     whole = F.concat(F.lit("; "), F.col(raw))
     opening = f'; {name} "'
-    quoted = F.substring_index(F.substring_index(whole, opening, -1), '"', 1)
+    # of a repeated key the first value counts
+    first = F.substring_index(F.substring_index(whole, opening, 2), opening, -1)
+    quoted = F.substring_index(first, '"', 1)
     other = F.regexp_extract(raw, rf'(?:^|;)\s*{name}\s+"?([^";]*)"?', 1)
     return blank_to_null(F.when(F.contains(whole, F.lit(opening)), quoted).when(F.contains(whole, F.lit(name)), other).otherwise(""))
 

@@ -108,7 +108,7 @@ def test_nearest_neighbours(spark, kind):
     df = spark.createDataFrame([(ids[i], x[i].tolist()) for i in range(n)], f"cell_id {'string' if kind == 'strings' else 'long'}, x_z array<double>")
     got = {}
     # tiny blocks force several pivots, several blocks per home and the bound on candidates
-    for r in neighbors.nearest_neighbours(df, k, block_rows=12, max_pivots=8).collect():
+    for r in neighbors.nearest_neighbours(df, k, block_rows=12).collect():
         got.setdefault(r["main_name"], []).append((r["distance"], r["neighbor"]))
     for i in range(n):
         want = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), ids[j]) for j in range(n))[:k]
