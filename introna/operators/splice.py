@@ -239,18 +239,52 @@ def skipped_exon_events(edges: DataFrame) -> DataFrame:
 def mutually_exclusive_events(edges: DataFrame) -> DataFrame:
     """exon1 -> exon2 -> exon4 and exon1 -> exon3 -> exon4, exon2 before exon3 and not overlapping it.
 
-    Two-step paths are listed per (exon1, exon4); ends joined by a single path are dropped before
-    the paths meet, and what meets there is the answer itself.
+    These are cycles of four exons. Each is listed from its busiest exon: two steps lead from it over
+    a less busy exon to the one across, so an exon with very many neighbours is never the middle of all
+    pairs of them. If the busiest is exon1 or exon4, the paths between the two ends meet; if it is one of
+    the middle exons, the shared starts of both middle exons meet their shared ends.
     """
-    first = edges.select(F.col("up").alias("exon1"), F.col("up_at").alias("exon1_at"), F.col("down").alias("mid"), F.col("down_at").alias("mid_at"), F.col("junction").alias("j1"))
-    second = edges.select(F.col("up").alias("mid"), F.col("down").alias("exon4"), F.col("down_at").alias("exon4_at"), F.col("junction").alias("j2"))
-    paths = first.join(second, "mid").filter("exon1 <> exon4")
+    busy = edges.select(F.explode(F.array("up", "down")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("d"))
+    both = edges.select(F.explode(F.array(
+        F.struct(F.col("up").alias("x"), F.col("down").alias("y"), F.col("junction").alias("j"), F.lit("out").alias("way")),
+        F.struct(F.col("down").alias("x"), F.col("up").alias("y"), F.col("junction").alias("j"), F.lit("in").alias("way")),
+    )).alias("e")).select("e.*")
+    both = both.join(busy.select(F.col("x"), F.struct("d", "x").alias("rank_x")), "x")
+    both = both.join(busy.select(F.col("x").alias("y"), F.struct("d", F.col("x").alias("x")).alias("rank_y")), "y")
+    # from the middle exon m up to the busiest v, and on to u across
+    rise = both.filter(F.col("rank_x") < F.col("rank_y")).select(F.col("x").alias("m"), F.col("y").alias("v"), F.col("j").alias("jv"), F.col("way").alias("to_v"), F.col("rank_y").alias("rank_v"))
+    step = both.select(F.col("x").alias("m"), F.col("y").alias("u"), F.col("j").alias("ju"), F.col("way").alias("to_u"), F.col("rank_y").alias("rank_u"))
+    wedges = rise.join(step, "m").filter(F.col("rank_u") < F.col("rank_v")).drop("rank_u", "rank_v")
+
+    through = F.col("to_v") != F.col("to_u")
+    down = F.col("to_v") == "in"  # v -> m -> u
+    paths = wedges.filter(through).select(
+        F.when(down, F.col("v")).otherwise(F.col("u")).alias("exon1"), F.when(down, F.col("u")).otherwise(F.col("v")).alias("exon4"), "m",
+        F.when(down, F.col("jv")).otherwise(F.col("ju")).alias("j1"), F.when(down, F.col("ju")).otherwise(F.col("jv")).alias("j2"),
+    )
     ends = ["exon1", "exon4"]
-    several = paths.groupBy(*ends).agg(F.min("mid").alias("x"), F.max("mid").alias("y")).filter("x <> y").select(*ends)
+    several = paths.groupBy(*ends).agg(F.min("m").alias("a"), F.max("m").alias("b")).filter("a <> b").select(*ends)
     paths = paths.join(several, ends, "left_semi")
-    lower = paths.select(*ends, "exon1_at", "exon4_at", F.col("mid").alias("exon2"), F.col("mid_at").alias("exon2_at"), F.col("j1").alias("junction12"), F.col("j2").alias("junction24"))
-    upper = paths.select(*ends, F.col("mid").alias("exon3"), F.col("mid_at").alias("exon3_at"), F.col("j1").alias("junction13"), F.col("j2").alias("junction34"))
-    return lower.join(upper, ends).filter(_apart("exon2_at", "exon3_at") & (F.col("exon2_at.signed") < F.col("exon3_at.signed")))
+    lower = paths.select(*ends, F.col("m").alias("exon2"), F.col("j1").alias("junction12"), F.col("j2").alias("junction24"))
+    upper = paths.select(*ends, F.col("m").alias("exon3"), F.col("j1").alias("junction13"), F.col("j2").alias("junction34"))
+    by_ends = lower.join(upper, ends).filter("exon2 <> exon3")
+
+    starts = wedges.filter("to_v = 'out' AND to_u = 'out'").select("v", "u", F.col("m").alias("exon1"), F.col("jv").alias("sv"), F.col("ju").alias("su"))
+    stops = wedges.filter("to_v = 'in' AND to_u = 'in'").select("v", "u", F.col("m").alias("exon4"), F.col("jv").alias("ev"), F.col("ju").alias("eu"))
+    middles = starts.join(stops, ["v", "u"]).filter("exon1 <> exon4")
+
+    def order(two: str, three: str) -> Column:
+        return F.struct(
+            "exon1", "exon4", F.col(two).alias("exon2"), F.col(f"s{two}").alias("junction12"), F.col(f"e{two}").alias("junction24"),
+            F.col(three).alias("exon3"), F.col(f"s{three}").alias("junction13"), F.col(f"e{three}").alias("junction34"),
+        )
+
+    by_middles = middles.select(F.explode(F.array(order("v", "u"), order("u", "v"))).alias("e")).select("e.*")
+    found = by_ends.unionByName(by_middles)
+    at = edges.select(F.explode(F.array(F.struct(F.col("up").alias("x"), F.col("up_at").alias("p")), F.struct(F.col("down").alias("x"), F.col("down_at").alias("p")))).alias("e")).select("e.*").distinct()
+    for exon in ("exon1", "exon2", "exon3", "exon4"):
+        found = found.join(at.select(F.col("x").alias(exon), F.col("p").alias(f"{exon}_at")), exon)
+    return found.filter(_apart("exon2_at", "exon3_at") & (F.col("exon2_at.signed") < F.col("exon3_at.signed")))
 
 
 def event_ids(events: DataFrame, splice_type: str) -> DataFrame:

@@ -101,7 +101,7 @@ def splice_psi(
     se = _stage(splice.event_ids(splice.skipped_exon_events(edges), "se"), out, "events_se")
     mxe = _stage(splice.incompatible_junctions(splice.event_ids(splice.mutually_exclusive_events(edges), "mxe")), out, "events_mxe")
     summary = _stage(splice.psi_table(se, mxe, named, method=method), out, "psi_summary")
-    matrix = _stage(psi.psi_matrix(summary.withColumn("_place", F.lit(0)), cells, "_place"), out, "psi")
+    matrix = _stage(psi.psi_matrix(summary, cells, "sample_id"), out, "psi")
     return {"neighbours": lists, "pooled": pooled, "se": se, "mxe": mxe, "summary": summary, "psi": matrix}
 
 

@@ -119,8 +119,15 @@ def edges(t: Tables):
     return splice.exon_edges(triples(t), exons(t))
 
 
+def stored_edges(t: Tables):
+    """The exon graph, built and stored once per query."""
+    if getattr(t, "exon_graph", None) is None:
+        t.exon_graph = cut_lineage(edges(t))
+    return t.exon_graph
+
+
 def events(t: Tables, splice_type: str):
-    graph = cut_lineage(edges(t))
+    graph = stored_edges(t)
     if splice_type == "se":
         return splice.event_ids(splice.skipped_exon_events(graph), "se")
     return splice.incompatible_junctions(splice.event_ids(splice.mutually_exclusive_events(graph), "mxe"))
@@ -246,8 +253,8 @@ MIN_SQL = PSI_SQL.format(fold="least(c, d) / nullif(least(c, d) + least(a, coale
 
 
 def psi_rows(t: Tables, method: str = "mean"):
-    """PSI summary of both event types, stored once (the graph is read twice)."""
-    graph = cut_lineage(edges(t))
+    """PSI summary of both event types."""
+    graph = stored_edges(t)
     se = splice.event_ids(splice.skipped_exon_events(graph), "se")
     mxe = splice.incompatible_junctions(splice.event_ids(splice.mutually_exclusive_events(graph), "mxe"))
     return splice.psi_table(se, mxe, t.b5().select("sample_id", "junction_id", "reads"), method=method)

@@ -137,3 +137,38 @@ def test_adjusted_p(spark):
     assert got["g4"]["p_bh"] is None and got["g4"]["p_bonferroni"] is None
     assert [round(got[f"g{i}"]["p_bh"], 6) for i in (0, 1, 2, 3, 5)] == [0.025, 0.05, 0.05, 0.025, 0.9]
     assert got["g5"]["p_bonferroni"] == 1.0 and got["g0"]["p_bonferroni"] == pytest.approx(0.05)
+
+
+def _graph(spark, pairs):
+    place = lambda x: ("c", 100 * x, 100 * x + 50, "+", 100 * x)
+    rows = [(f"e{a}", f"e{b}", f"j{a}_{b}", place(a), place(b)) for a, b in sorted(pairs)]
+    at = "struct<chrom:string,start:long,stop:long,strand:string,signed:long>"
+    return spark.createDataFrame(rows, f"up string, down string, junction string, up_at {at}, down_at {at}")
+
+
+def test_mutually_exclusive_events_of_random_graphs(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = {(a, b) for a, b in ((rng.randrange(14), rng.randrange(14)) for _ in range(60)) if a != b}
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    want = set()
+    for one in out:
+        for two in out[one]:
+            for three in out[one]:
+                if two < three:
+                    for four in out.get(two, set()) & out.get(three, set()):
+                        if four != one:
+                            want.add((f"e{one}", f"e{two}", f"e{three}", f"e{four}", f"j{one}_{two}", f"j{two}_{four}", f"j{one}_{three}", f"j{three}_{four}"))
+    rows = splice.mutually_exclusive_events(_graph(spark, pairs)).collect()
+    got = [(r.exon1, r.exon2, r.exon3, r.exon4, r.junction12, r.junction24, r.junction13, r.junction34) for r in rows]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_hub_exons_are_not_paired_out(spark):
+    """5,000 exons lead into one and 5,000 out of it: 25 million paths, one event."""
+    pairs = {(i, 10_000) for i in range(5_000)} | {(10_000, 20_000 + i) for i in range(5_000)} | {(7, 15_000), (15_000, 20_003)}
+    rows = splice.mutually_exclusive_events(_graph(spark, pairs)).collect()
+    assert [(r.exon1, r.exon2, r.exon3, r.exon4) for r in rows] == [("e7", "e10000", "e15000", "e20003")]
