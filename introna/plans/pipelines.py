@@ -74,14 +74,30 @@ def generate_graphs(
     return {"features": features, "edges": edges, "variable": variable, "nodes": nodes, "raw_edges": raw, "edge_index": weights, "labels": labels}
 
 
+def counted_junctions(rows: DataFrame, introns: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
+    """Flanking-base junction counts to ``splice_psi``'s junctions: motif from the sequence, strand and annotation filled in."""
+    return splice.backfill_annotation(splice.splice_motif(text.parse_jcounts(rows).drop("motif"), chunks, chunk), introns)
+
+
+def event_genes(attributes: DataFrame) -> DataFrame:
+    """(event_id, gene_name) from the isoforms' shared attributes."""
+    pick = lambda isoform, key: F.max(F.when((F.col("isoform") == isoform) & (F.col("key") == key), F.nullif("value", F.lit(""))))
+    wide = attributes.groupBy("event_id").agg(*[pick(i, k).alias(f"{i}_{k}") for i in ("isoform1", "isoform2") for k in ("gene_name", "gene_id")])
+    return psi.event_gene(wide)
+
+
 def splice_psi(
     embedding: DataFrame, junctions: DataFrame, reads: DataFrame, exons: DataFrame, cells: DataFrame, out: str, k: int = 10,
-    method: str = "mean",
+    method: str = "mean", attributes: DataFrame | None = None, chunks: DataFrame | None = None, chunk: int = 32,
+    clusters: DataFrame | None = None, n_cell: int = 10,
 ) -> dict[str, DataFrame]:
     """Neighbour-pooled junctions to events and PSI per cell.
 
     ``junctions``: (sample_id, chrom, start, end, strand code, motif, annotated, uniq, multi,
-    max_overhang); ``exons``: (exon_id, chrom, start, stop, strand) of the annotation.
+    max_overhang); ``exons``: (exon_id, chrom, start, stop, strand) of the annotation. With the
+    sequence (``chunks`` of ``chunk`` bases) only events with allowed splice sites stay; with exon
+    ``attributes`` (exon_id, key, value) events get theirs and a gene name; with ``clusters``
+    (cell_id, cluster) missing values are imputed, those of entries without a row as a fill table.
     """
     configure(embedding.sparkSession)
     lists = _stage(neighbors.nearest_neighbours(embedding, k), out, "neighbours")
@@ -100,9 +116,23 @@ def splice_psi(
     edges = _stage(splice.exon_edges(splice.exon_junction_triples(every, metadata), every), out, "exon_edges")
     se = _stage(splice.event_ids(splice.skipped_exon_events(edges), "se"), out, "events_se")
     mxe = _stage(splice.incompatible_junctions(splice.event_ids(splice.mutually_exclusive_events(edges), "mxe")), out, "events_mxe")
+    made = {}
+    if chunks is not None:
+        sites = splice.splice_sites(se, "se", chunks, chunk).unionByName(splice.splice_sites(mxe, "mxe", chunks, chunk))
+        sites = made["sites"] = _stage(sites, out, "splice_sites")
+        se = _stage(splice.validate_splice_sites(se, sites), out, "valid_se")
+        mxe = _stage(splice.validate_splice_sites(mxe, sites), out, "valid_mxe")
+    if attributes is not None:
+        shared = splice.event_attributes(se, "se", attributes).unionByName(splice.event_attributes(mxe, "mxe", attributes))
+        made["attributes"] = _stage(shared, out, "event_attributes")
+        made["genes"] = _stage(event_genes(made["attributes"]), out, "event_genes")
     summary = _stage(splice.psi_table(se, mxe, named, method=method), out, "psi_summary")
     matrix = _stage(psi.psi_matrix(summary, cells, "sample_id"), out, "psi")
-    return {"neighbours": lists, "pooled": pooled, "se": se, "mxe": mxe, "summary": summary, "psi": matrix}
+    if clusters is not None:
+        found = matrix.select("cell_id", "event_id", "psi").filter("event_id IS NOT NULL")
+        made["imputed"] = _stage(psi.psi_cluster_impute(found, clusters, n_cell), out, "psi_imputed")
+        made["fill"] = _stage(psi.psi_cluster_fill(found, clusters, n_cell), out, "psi_fill")
+    return {"neighbours": lists, "pooled": pooled, "se": se, "mxe": mxe, "summary": summary, "psi": matrix, **made}
 
 
 def differential_genes(x: DataFrame, clusters: DataFrame, features: DataFrame, annotation: DataFrame, out: str) -> DataFrame:
