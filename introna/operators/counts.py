@@ -101,10 +101,12 @@ def split_by_cell(table: DataFrame, cells: DataFrame, drop_zero: bool = False) -
     return rows, missing
 
 
-def write_by_cell(rows: DataFrame, path: str, files_per_cell: int = 1) -> None:
-    """One folder per cell. ``files_per_cell`` spreads a cell with very many rows over writers."""
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(files_per_cell))
-    rows.repartition("cell_id", spread).write.mode("overwrite").partitionBy("cell_id").parquet(path)
+def write_by_cell(rows: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """One folder per cell; a cell is dealt over as many writers as its rows ask for."""
+    files = rows.groupBy("cell_id").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col("_files"))
+    dealt = rows.join(files, "cell_id").repartition("cell_id", spread).drop("_files")
+    dealt.write.mode("overwrite").partitionBy("cell_id").parquet(path)
 
 
 def validate_counts(table: DataFrame, annotation: Sequence[str]) -> DataFrame:
