@@ -55,8 +55,8 @@ TOO_FEW = ": There are insufficient junction reads"
 def cigar_junctions(reads: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, chrom, start, stop, strand, uniq, multi): reads over each gap of the alignments.
 
-    ``reads``: (chrom, pos, cigar, flag, mapq). Equal alignments are counted before the gaps are
-    listed; mapping quality 255 counts as unique.
+    ``reads``: (chrom, pos, cigar, flag, mapq). Equal alignments are counted first, and each
+    distinct alignment string is walked once; mapping quality 255 counts as unique.
     """
     spliced = reads.filter(F.col("cigar").contains("N"))
     strand = F.when(F.col("flag").bitwiseAND(16) != 0, "-").otherwise("+")
@@ -64,8 +64,10 @@ def cigar_junctions(reads: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     shapes = spliced.groupBy(*by, "chrom", "pos", "cigar", strand.alias("strand")).agg(
         F.count_if(unique).alias("u"), F.count_if(~unique).alias("m")
     )
-    spread = shapes.withColumn("_i", F.explode(introns(F.col("cigar"), F.col("pos"))))
-    return spread.groupBy(*by, "chrom", F.col("_i.start").alias("start"), F.col("_i.end").alias("stop"), "strand").agg(
+    walked = spliced.select("cigar").distinct().withColumn("_gaps", introns(F.col("cigar"), F.lit(0)))
+    spread = shapes.join(walked, "cigar").withColumn("_i", F.explode("_gaps"))
+    start, stop = F.col("pos") + F.col("_i.start"), F.col("pos") + F.col("_i.end")
+    return spread.groupBy(*by, "chrom", start.alias("start"), stop.alias("stop"), "strand").agg(
         F.sum("u").alias("uniq"), F.sum("m").alias("multi")
     )
 

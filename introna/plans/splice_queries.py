@@ -76,7 +76,8 @@ found AS (SELECT DISTINCT a.chrom, a.stop + 1 AS "start", b."start" - 1 AS stop,
   FROM js a JOIN js b ON a.chrom = b.chrom AND b."start" > a.stop AND b."start" <= a.stop + 100)
 SELECT f.* FROM found f ANTI JOIN known k ON f.chrom = k.chrom AND f."start" = k."start" AND f.stop = k.stop AND f.strand = k.strand"""))
 def _novel(t: Tables):
-    reads = text.parse_sam(t.b9())
+    # each line is parsed once; what counts is which alignments there are
+    reads = cut_lineage(text.parse_sam(t.b9()).select("chrom", "pos", "cigar", "flag", "mapq").distinct())
     strand = F.when(F.col("flag") == 16, "-").otherwise("+")
     known = reads.filter("cigar = '100M'").select("chrom", F.col("pos").alias("start"), (F.col("pos") + 99).alias("stop"), strand.alias("strand"))
     return splice.novel_exons(splice.cigar_junctions(reads), known.distinct())
