@@ -14,6 +14,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+SALTS = 16  # parts that the rows of one node are dealt over where they meet its minimum
+
+
+def _with_minimum(rows: DataFrame, minima: DataFrame) -> DataFrame:
+    """Rows ``u, v`` with ``m`` of ``u``; a node with very many rows is spread over the salts."""
+    salted = minima.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of the edges ``u, v``; the component is its smallest node.
 
@@ -28,9 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_minimum(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _with_minimum(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _state(edges)
         if now == state:
