@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from introna.llm.common import stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and order-free digest of an edge table, as one row."""
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
-    return tuple(row)
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one edge and no ``v`` is a ``u``; as ``u`` > ``v``, each star's centre is then its smallest node."""
+    ends = F.explode(F.array(
+        F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("low")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("low")),
+    ))
+    nodes = edges.select(ends.alias("e")).groupBy("e.x").agg(F.sum("e.up").alias("up"), F.max("e.low").alias("low"))
+    return nodes.where("up > 1 or (up > 0 and low > 0)").count() == 0
 
 
-SALTS = 16  # parts that the rows of one node are dealt over where they meet its minimum
+SALTS = 8  # parts that the rows of one node are dealt over where they meet its minimum
 
 
 def _with_minimum(rows: DataFrame, minima: DataFrame) -> DataFrame:
@@ -33,17 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = F.col("u").cast("long"), F.col("v").cast("long")
     edges = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _with_minimum(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_minimum(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # repeated edges change no minimum; they go at the end of the round
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_minimum(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
     root = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(root)
