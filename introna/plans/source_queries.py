@@ -17,7 +17,9 @@ CAST("end" AS VARCHAR) AS "end", '.' AS score, strand, '.' AS frame,
 'gene_id "' || gene_id || '"; ' || coalesce('gene_name "' || gene_name || '"; ', '') || 'transcript_id "' || transcript_id || '"; exon_number "' || exon_number || '";' AS attribute
 FROM b1"""))
 def _gtf_scan(t: Tables):
-    return text.parse_gtf(t.b10().select("value"))
+    folder = shared_path(t.spark, "gtf")
+    t.b10().select("value").write.text(folder)
+    return text.gtf_scan(t.spark, folder).drop("line_no")
 
 
 @query("gtf_attributes", with_sql("b1", """SELECT gene_id, gene_name, transcript_id, exon_number, CAST(NULL AS VARCHAR) AS gene_version,
@@ -56,7 +58,9 @@ def wide_counts(t: Tables):
 @query("grouped_counts_scan", with_sql("b2s", """SELECT gene_id, gene_name, sample AS cell_id, round(sum("count"), 6) AS "count" FROM b2s
 WHERE sample IN ('2-HIGH', '5-LOW') GROUP BY ALL HAVING sum("count") > 0"""))
 def _grouped_counts(t: Tables):
-    long = tables.grouped_counts(wide_counts(t), ["gene_id", "gene_name"], ["2-HIGH", "5-LOW"])
+    folder = shared_path(t.spark, "counts")
+    wide_counts(t).write.csv(folder, sep="\t", header=True, quote="")
+    long = tables.grouped_counts_scan(t.spark, folder, ["gene_id", "gene_name"], ["2-HIGH", "5-LOW"])
     return long.select("gene_id", "gene_name", "cell_id", r6("count").alias("count"))
 
 
