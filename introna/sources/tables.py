@@ -35,7 +35,7 @@ def grouped_counts(wide: DataFrame, annotation: Sequence[str], cells: Sequence[s
     for column in wide.columns[len(annotation):]:
         cell = cell_id_from_name(column)
         if cell in by_cell:
-            raise ValueError(f"columns {by_cell[cell]} and {column} both name cell {cell!r}")
+            raise ValueError(f"cell {cell!r} is a duplicate: columns {by_cell[cell]} and {column} both name it")
         by_cell[cell] = column
     wanted = list(by_cell) if cells is None else list(cells)
     missing = [c for c in wanted if c not in by_cell]
