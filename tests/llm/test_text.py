@@ -182,6 +182,17 @@ def test_surrogates_in_frames(spark, monkeypatch):
     assert by[2].text is None and by[3].text == "" and by[4].text == CLEAN and by[1].n_entities == 12 and by[1].kind == "a"
 
 
+def test_every_entity_passes_the_prefilter(spark):
+    alone = ["ab@mail.example.com", "token = abcdefghi", "DE89 3704 0044 0532 0130 00", "1.2.3.4", "4 8 4 5 1 6 8 1 1 4 4 0 7 3 2 9"]
+    alone += ["+33 1 42 68 53 00", "+33 6 12 34 56 78", "+33 \u0661\u0662 \u0663\u0664 \u0665\u0666 \u0667\u0668", "(415) 555-1234", "123-45-6789"]
+    titles = (*surrogates.MALE, *surrogates.FEMALE, *surrogates.NEUTRAL)
+    alone += [f"x {title} {name} y" for title in titles for name in ("Smith", "Иванов")]
+    assert {e[2] for t in alone for e in surrogates.find(t)} >= set(surrogates.PATTERNS) - {"name"}
+    frame = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
+    for r in surrogates.replace(frame).collect():
+        assert r.n_entities and r.text != alone[r.doc_id], alone[r.doc_id]
+
+
 def test_preferences(spark):
     turns = [
         (0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, 2, "user", "more"), (0, 3, "assistant", "good"),
