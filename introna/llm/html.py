@@ -1,7 +1,7 @@
 """Text of HTML pages, laid out as a browser shows it.
 
 A small tree builder reads tags, supplies the end tags HTML leaves out and drops what is not shown
-(scripts, styles, hidden elements, closed details, fallbacks); the renderer walks the tree without
+(scripts, styles, hidden elements, closed details, fallbacks, what svg and math only describe or define); the renderer walks the tree without
 recursion. Blocks are kept apart by line breaks or blank lines, list items carry marks and indents,
 table cells stand in aligned columns, preformatted text keeps its spaces.
 
@@ -24,13 +24,16 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSHOWN = frozenset(
-    "head title script style template noscript iframe noembed noframes object video audio canvas svg math datalist base link meta param source track area map dialog".split()
+    "head title script style template noscript iframe noembed noframes object video audio canvas datalist base link meta param source track area map dialog".split()
 )
+FOREIGN = frozenset(("svg", "math"))
+FOREIGN_UNSHOWN = frozenset("title desc defs metadata symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())  # what does not end an open head
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr menu dir".split())  # blank line around
 BLOCK = SPACED | frozenset(
-    "html body div section article aside nav header footer main address form li dt dd tr td th thead tbody tfoot caption colgroup figcaption details summary legend center hgroup search option optgroup".split()
+    "html body div section article aside nav header footer main address form li dt dd tr td th thead tbody tfoot caption colgroup figcaption details summary legend center hgroup search option optgroup text".split()
 )
-CLOSES_P = BLOCK - frozenset("html body li dt dd tr td th thead tbody tfoot caption colgroup summary legend option optgroup".split())
+CLOSES_P = BLOCK - frozenset("html body li dt dd tr td th thead tbody tfoot caption colgroup summary legend option optgroup text".split())
 #: an opening tag ends open elements of these names, up to the nearest of the borders
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -82,6 +85,8 @@ def parse(page: str) -> Node:
     def text(a: int, b: int) -> None:
         if a < b:
             piece = page[a:b]
+            if open_[-1].name == "head" and piece.strip(" \t\n\f\r"):
+                drop(len(open_) - 1)
             open_[-1].children.append(html.unescape(piece) if "&" in piece else piece)
 
     def drop(i: int) -> None:
@@ -102,6 +107,10 @@ def parse(page: str) -> Node:
         if found:
             drop(found)
 
+    def in_foreign() -> bool:
+        """Whether the innermost element is one of svg or math, not HTML inside them."""
+        return next((n.name in FOREIGN for n in reversed(open_) if n.name in FOREIGN or n.name == "foreignobject"), False)
+
     size = len(page)
     while at < size:
         m = TOKEN.search(page, at)
@@ -115,6 +124,8 @@ def parse(page: str) -> Node:
         name = m[2].lower()
         if m[1]:
             if name == "br":
+                if open_[-1].name == "head":
+                    drop(len(open_) - 1)
                 open_[-1].children.append(Node("br"))
             elif name == "p" and not counts["p"]:
                 open_[-1].children.append(Node("p"))
@@ -126,22 +137,27 @@ def parse(page: str) -> Node:
                     if open_[i].name in SCOPES and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                         break
             continue
-        if name == "html":
-            continue
+        if name == "html" or name == "head" and (len(open_) > 1 or any(not isinstance(c, str) or c.strip(" \t\n\f\r") for c in root.children)):
+            continue  # a page has one of each, at its beginning
+        if open_[-1].name == "head" and name not in IN_HEAD:
+            drop(len(open_) - 1)
         if name in ENDS:
             close(*ENDS[name])
         if name in CLOSES_P:
             close({"p"}, SCOPES | {"button", "li"})
         node = Node(name, m[3])
-        node.hidden = is_hidden(node)
+        foreign = counts["svg"] or counts["math"]
+        node.hidden = is_hidden(node) or bool(foreign and name in FOREIGN_UNSHOWN)
         open_[-1].children.append(node)
+        if m[3].endswith("/") and (name in FOREIGN or foreign and in_foreign()):
+            continue  # a slash closes nothing but void and foreign elements
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             stop = end.start() if end else size
             node.children.append(html.unescape(page[at:stop]) if name in ("textarea", "title") else page[at:stop])
             at = end.end() if end else size
-        elif name not in VOID and not (name in ("svg", "math") and m[3].endswith("/")):
-            open_.append(node)  # a slash closes nothing but void and foreign elements
+        elif name not in VOID:
+            open_.append(node)
             counts[name] += 1
     return root
 

@@ -123,6 +123,24 @@ def test_html_fixtures(spark):
     assert got == {i: w for i, (_, w) in enumerate(PAGES)}
 
 
+BARE_HEADS = [
+    ("<!doctype html><html><head><title>T</title><p>Hello <b>you</b>", "Hello you"),
+    ("<head>\n<meta charset=utf-8><style>x</style><script>y</script>\nplain<p>more", "plain\n\nmore"),
+    ("<head><noscript><img src=x>no</noscript><template><p>no</p></template>&nbsp;x", "\u00a0x"),
+    ("<head><title>t</title></br>x", "x"),
+    ("<p>a<head>b</head>c", "abc"),
+    ("<head><title>t</title><body><p>x", "x"),
+    ("<svg><title>no</title><desc/><defs><text>no</text></defs><path d='x'/><text>A</text><text>B <tspan>C</tspan></text></svg>", "A\nB C"),
+    ("<p>n <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></semantics></math> m", "n x=1 m"),
+    ("<svg><foreignObject><div/>in</foreignObject><title/><text>T</text></svg><svg/>after", "in\nT\nafter"),
+]
+
+
+def test_html_implied_end_of_head_and_foreign_text():
+    for page, want in BARE_HEADS:
+        assert html.text_of(page) == want, page
+
+
 def test_html_loses_no_visible_word(spark):
     import random
 
