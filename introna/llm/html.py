@@ -44,10 +44,15 @@ ENDS = {
 }
 SCOPES = frozenset("table td th caption html template".split())  # what an end tag or an implied end of p does not cross
 
+WS = r"[ \t\n\f\r]"
+#: a quote begins a value right after the equals sign only, and only where it is closed
+VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r>]++)"""
+ATTRIBUTE = re.compile(rf"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:{WS}*+={WS}*+({VALUE})?+)?+")
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)""", re.DOTALL
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:(?:{WS}|/)++|{ATTRIBUTE.pattern.replace('(', '(?:', 1).replace(f'({VALUE})', VALUE)})*+)>|<[!?/][^>]*(?:>|\Z)",
+    re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+UNENDED = re.compile(r"<[!?/]")
 SPACES = re.compile(r"[ \t\n\f\r]+")
 HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
@@ -61,7 +66,8 @@ class Node:
     def get(self, key: str) -> str | None:
         for m in ATTRIBUTE.finditer(self.attributes):
             if m[1].lower() == key:
-                return html.unescape((m[2] or "").strip("\"'"))
+                value = m[2] or ""
+                return html.unescape(value[1:-1] if len(value) > 1 and value[0] in "\"'" and value[0] == value[-1] else value)
         return None
 
 
@@ -111,8 +117,12 @@ def parse(page: str) -> Node:
         """Whether the innermost element is one of svg or math, not HTML inside them."""
         return next((n.name in FOREIGN for n in reversed(open_) if n.name in FOREIGN or n.name == "foreignobject"), False)
 
-    size = len(page)
+    size, last = len(page), page.rfind(">")
     while at < size:
+        if at > last:  # no tag ends here any more
+            m = UNENDED.search(page, at)
+            text(at, m.start() if m else size)
+            break
         m = TOKEN.search(page, at)
         if not m:
             text(at, size)

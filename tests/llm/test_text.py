@@ -141,6 +141,23 @@ def test_html_implied_end_of_head_and_foreign_text():
         assert html.text_of(page) == want, page
 
 
+STRAY_QUOTES = [
+    ('<a href="x"">click</a> mid <a href="y"">Go</a>', "click mid Go"),
+    ("<p title=it's>don't lose</p>", "don't lose"),
+    ("<p title = 'a > b' class=\"c > d\" x='>'>t", "t"),
+    ('<p "a">b</p>it\'s', "b\n\nit's"),
+    ('<a href="x>never closed</a> text', "never closed text"),
+    ("<a href=>e</a><p =x>f<br/>g", "e\n\nf\ng"),
+    ("a<!-->b<!--->c<!-- x --!>d<!-- > -->e<!---->f<!-- open", "abcdef"),
+    ("<p style='display:none''>no</p><p style=display:none>no</p><p title='hidden'>yes", "yes"),
+]
+
+
+def test_html_stray_quotes_and_short_comments():
+    for page, want in STRAY_QUOTES:
+        assert html.text_of(page) == want, page
+
+
 def test_html_loses_no_visible_word(spark):
     import random
 
