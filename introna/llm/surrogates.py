@@ -8,6 +8,8 @@ one entity has one surrogate wherever it occurs, and a name part keeps its surro
 Distinctness is checked over the whole corpus: of entities that would share a surrogate, or whose
 surrogate is itself an entity of the corpus, all but the first try again until no two meet.
 
+Initials of names become other initials, which need not be distinct; particles of names stay.
+
 Not entities: numbers of a card's length that fail the card check digit, addresses with a part over 255.
 
 Defined results: a null text stays null, an empty one empty; texts without entities are unchanged;
@@ -46,22 +48,34 @@ SCRIPTS = {
 }
 
 TITLE = r"(?P<title>\b(?:" + "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True)) + r")\.?)[ \u00a0]"
-NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+INITIALS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+#: names: parts that begin with a capital, initials, and lower-case particles before a part, without a cap;
+#: in scripts without case, where a name has no visible end, three parts at most
+LOWER = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.islower())
+CASELESS = "".join(c for c in map(chr, range(0x590, 0x10000)) if c.isalpha() and not c.islower() and not c.isupper() and not c.istitle())
+UPPER = rf"[^\W\d_{LOWER}{CASELESS}]"
+PARTICLES = "von van de del della der den di da dos das du la le los las zu zum zur bin ibn bint al el ter ten te af av y e".split()
+PART = rf"(?:[^\W\d_]['’](?={UPPER}))?{UPPER}[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+INITIAL = rf"{UPPER}(?:\.[ -]?| (?={UPPER}))"
+PARTICLE = "(?:" + "|".join(PARTICLES) + ")"
+NAME = rf"(?:(?:{INITIAL}|{PARTICLE} )*+{PART}(?: (?:{INITIAL}|{PARTICLE} )*+{PART})*|[{CASELESS}][^\W\d_]+(?: [{CASELESS}][^\W\d_]+){{0,2}})"
+SECRET = r"""(?:"(?P<quoted>(?:[^"\\\n]|\\.)+)"|'(?P<single>(?:[^'\\\n]|\\.)+)'|["']?(?P<bare>(?:[^\s"'&,;]|[&,;](?!\w+=)|["'](?=\w))*(?:[^\W_])[_\-+/=$%*#@^~|&]*))"""
 PATTERNS = {
     "mail": r"(?<![\w.+%-])[\w.+%-]*[\w+]@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
-    "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|password|passwd|pwd)\b)[\"']?\s*[:=]\s*[\"']?(?P<secret>[A-Za-z0-9_\-+/.=]{8,})",
+    "secret": r"(?i:(?<![^\W_])(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|password|passwd|pwd)\b)[\"']?\s*(?::=|=>|[:=](?!=))\s*" + SECRET,
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?<![\w+.])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+(?!1[ .(-])\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-]|\.\d)",
+    "phone": r"(?<![\w+.])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+(?!1[ .(-])\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,7}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "name": TITLE + rf"(?P<name>{NAME}(?: {NAME}){{0,2}})",
+    "name": TITLE + rf"(?P<name>{NAME})",
 }
 #: every digit of re's \d; Arrow's \d and \b know ASCII only
 DIGITS = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isdecimal())
 #: what every match of FINDER holds; texts without it are not searched
 SUSPECT = f"[@:={DIGITS}]|" + "|".join((*MALE, *FEMALE, *NEUTRAL))
 FINDER = re.compile("|".join(f"(?P<is_{kind}>{p})" for kind, p in PATTERNS.items()))
+NAME_PIECE = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 
 
 def card_sum(digits: str) -> int:
@@ -76,21 +90,28 @@ def iban_rest(value: str) -> int:
 
 def find(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, kind, canonical form, detail) of every entity; a name's parts one by one."""
-    for m in FINDER.finditer(text):
+    at = 0
+    while m := FINDER.search(text, at):
         kind = m.lastgroup[3:] if m.lastgroup.startswith("is_") else next(k for k in PATTERNS if m[f"is_{k}"])
         start, end = m.span()
         value = m[0]
+        if kind == "phone":
+            # the groups that E.164 has room for; what follows them is another number
+            while sum(c.isdecimal() for c in value) > 15 and (cut := re.search(r"[ .-]\d+$", value)):
+                value, end = value[: cut.start()], start + cut.start()
+        at = end
         if kind == "secret":
-            start, end = m.span("secret")
-            yield start, end, kind, m["secret"].lower(), ""
+            start, end = next(m.span(g) for g in ("quoted", "single", "bare") if m[g])
+            if any(c.isalpha() or c.isdecimal() for c in text[start:end]):
+                yield start, end, kind, text[start:end].lower(), ""
         elif kind == "name":
             title = m["title"].rstrip(".")
             gender = "m" if title in MALE else "f" if title in FEMALE else "n"
-            parts = list(re.finditer(r"\S+", m["name"]))
+            parts = [p for p in NAME_PIECE.finditer(text, *m.span("name")) if p[0] not in PARTICLES]
+            last = max(i for i, p in enumerate(parts) if len(p[0]) > 1)
             for i, part in enumerate(parts):
-                given = i < len(parts) - 1
-                at = m.start("name")
-                yield at + part.start(), at + part.end(), "given" if given else "family", part[0].lower(), gender if given else ""
+                kind = "initial" if len(part[0]) == 1 else "given" if i < last else "family"
+                yield *part.span(), kind, part[0].lower(), gender if kind == "given" else ""
         elif kind == "ip":
             if all(int(x) < 256 for x in value.split(".")):
                 yield start, end, kind, ".".join(str(int(x)) for x in value.split(".")), ""
@@ -140,6 +161,8 @@ def surrogate(key: str, kind: str, canonical: str, detail: str, attempt: int) ->
     """Canonical form of the surrogate."""
     draw = Draw(key, kind, detail, canonical, str(attempt))
     extra = "abcdefghijklmnopqrstuvwxyz"[draw.below(26)] * max(0, attempt - LONGER_AFTER)
+    if kind == "initial":
+        return draw.of([c for c in INITIALS[script_of(canonical)] if c != canonical])
     if kind in ("given", "family"):
         consonants, vowels, female, male = SCRIPTS[script_of(canonical)]
         stem = "".join(draw.of(consonants) + draw.of(vowels) for _ in range(2 + (len(canonical) > 6) + max(0, attempt - LONGER_AFTER)))
@@ -168,7 +191,7 @@ def surrogate(key: str, kind: str, canonical: str, detail: str, attempt: int) ->
         body = shaped(draw, canonical[4:].lower()).upper()
         return f"{canonical[:2]}{98 - iban_rest(canonical[:2] + '00' + body):02d}{body}"
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", canonical):
-        return "".join(draw.of("0123456789abcdef") for _ in canonical)
+        return "".join(draw.of("0123456789abcdef") for _ in range(len(canonical) + max(0, attempt - LONGER_AFTER)))
     return shaped(draw, canonical) + (extra if kind == "secret" else "")
 
 
@@ -179,7 +202,7 @@ def fitted(kind: str, original: str, value: str) -> str:
         return "".join(next(it) if c.isalnum() else c for c in original)
     if kind == "ip":
         return value
-    if kind in ("given", "family"):
+    if kind in ("initial", "given", "family"):
         return value.upper() if original.isupper() and len(original) > 1 else value[:1].upper() + value[1:]
     return value.upper() if original.isupper() else value
 
@@ -194,7 +217,7 @@ def entities(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
-            found = {e[2:] for text, is_suspect in zip(texts, _suspects(texts)) if is_suspect for e in find(text.as_py())}
+            found = {e[2:] for text, is_suspect in zip(texts, _suspects(texts)) if is_suspect for e in find(text.as_py()) if e[2] != "initial"}
             columns = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "canonical", "detail"])
 
