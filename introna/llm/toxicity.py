@@ -11,8 +11,8 @@ and 6 most telling words. A logistic curve turns them into a probability. It is
 the model behind their evidence has not seen (each half of the training rows by the other's model).
 
 Bounds: models and curve come from at most ``SAMPLE_CHARS`` characters and ``SAMPLE_DOCS`` documents of
-each class, whole documents in hashed order (all of them where there are fewer), so that the model may
-be broadcast.
+each class, single documents in hashed order, so that the model may be broadcast: all of them, whole,
+where they fit; else a text counts up to its first 1/64 of ``SAMPLE_CHARS``. Equal rows count once.
 
 Defined results: a null, empty or wordless text has only neutral evidence; rows of one doc_id are scored
 each by its text; a doc_id without label, or with a null label, trains nothing; of several labels of one
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from introna.llm.common import hashed, stored
 
 SAMPLE_CHARS, SAMPLE_DOCS = 1 << 24, 1 << 14  # of labelled text, per class
-STRETCHES = 4096
+SHARES = 64  # where a class exceeds its bounds, one document uses at most this part of the characters
 HEAD = 5  # letters of a word's head
 TEMPERS, TOPS, NEUTRAL = (0.4, 0.7, 1.0), (1, 3, 6), 20
 PRIOR = 1.0  # weight of the prior that keeps the curve's coefficients small
@@ -76,19 +76,52 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic, fold of the training rows within the bound, and ``weight``: rows of the class per row taken."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 1")
-    known = known.withColumn("stretch", F.floor(hashed("toxicity", F.col("doc_id")) / F.lit((1 << 60) // STRETCHES)))
-    # lengths meet the labels first, then the texts of the rows taken; no text is shuffled
-    lengths = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    sized = stored(lengths.join(known, "doc_id"), "label-lengths")
-    sizes = sized.groupBy("toxic", "stretch").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"))
-    order = Window.partitionBy("toxic").orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)
-    taken = sizes.withColumn("upto", F.sum("chars").over(order)).withColumn("docs_upto", F.sum("docs").over(order))
-    taken = taken.where((F.col("upto") <= SAMPLE_CHARS) & (F.col("docs_upto") <= SAMPLE_DOCS))
-    share = sizes.groupBy("toxic").agg(F.sum("docs").alias("all")).join(taken.groupBy("toxic").agg(F.sum("docs").alias("some")), "toxic")
+    # lengths meet the labels first, then the texts of the rows taken; no text is shuffled before
+    digest = F.xxhash64("text").alias("digest")
+    lengths = docs.select("doc_id", digest, F.coalesce(F.length("text"), F.lit(0)).alias("chars")).distinct()
+    place = hashed("toxicity", F.col("doc_id"), F.col("digest"))
+    sized = stored(lengths.join(known, "doc_id").withColumn("place", place), "label-lengths")
+    totals = sized.groupBy("toxic").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars")).collect()  # one row a class
+    whole = [r["toxic"] for r in totals if r["docs"] <= SAMPLE_DOCS and r["chars"] <= SAMPLE_CHARS]
+    used = F.when(F.col("toxic").isin(whole), F.col("chars")).otherwise(F.least("chars", F.lit(max(SAMPLE_CHARS // SHARES, 1))))
+    taken = _within(sized.withColumn("chars", used))
+    share = sized.groupBy("toxic").agg(F.count("*").alias("all")).join(taken.groupBy("toxic").agg(F.count("*").alias("some")), "toxic")
     share = share.select("toxic", (F.col("all") / F.col("some")).alias("weight"))
-    chosen = sized.join(taken.select("toxic", "stretch"), ["toxic", "stretch"]).join(share, "toxic").drop("stretch", "chars").distinct()
-    chosen = stored(chosen, "label-sample")  # SAMPLE_DOCS rows per class at most
-    return stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    chosen = stored(taken.join(share, "toxic").select("doc_id", "digest", "toxic", "fold", "chars", "weight"), "label-sample")  # SAMPLE_DOCS rows per class at most
+    found = docs.select("doc_id", "text", digest).join(F.broadcast(chosen), ["doc_id", "digest"])
+    found = found.withColumn("text", F.expr("substring(text, 1, chars)")).groupBy("doc_id", "digest", "toxic", "fold", "weight").agg(F.first("text").alias("text"))
+    return stored(found.drop("digest"), "labelled")
+
+
+def _within(sized: DataFrame) -> DataFrame:
+    """The documents of each class, in hashed order, as far as they fit the bounds.
+
+    The last of them is found by sums: 4,096 stretches of the order, 4,096 parts of the stretch where a
+    bound is met, then the documents of that one part.
+    """
+    stretch, part = ["toxic", "stretch"], ["toxic", "stretch", "part"]
+    placed = sized.withColumn("docs", F.lit(1)).withColumn("stretch", F.shiftright("place", 48)).withColumn("part", F.shiftright("place", 36).bitwiseAND(F.lit(4095)))
+    names = ("docs", "chars")
+    parts = placed.groupBy(*part).agg(*(F.sum(c).alias(c) for c in names))
+    start = [F.lit(0).cast("long").alias(f"{c}_before") for c in names]
+
+    def split(pieces: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+        """The pieces that fit whole, and the first of each class that does not, with what was taken before it."""
+        window = Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        pieces = pieces.withColumns({f"{c}_upto": F.col(f"{c}_before") + F.sum(c).over(window) for c in names})
+        fits = (F.col("docs_upto") <= SAMPLE_DOCS) & (F.col("chars_upto") <= SAMPLE_CHARS)
+        began = (F.col("docs_upto") - F.col("docs") <= SAMPLE_DOCS) & (F.col("chars_upto") - F.col("chars") <= SAMPLE_CHARS)
+        return pieces.where(fits), pieces.where(~fits & began).withColumns({f"{c}_before": F.col(f"{c}_upto") - F.col(c) for c in names})
+
+    before = [f"{c}_before" for c in names]
+    stretches, at_stretch = split(parts.groupBy(*stretch).agg(*(F.sum(c).alias(c) for c in names)).select("*", *start), "stretch")
+    fitting, at_part = split(parts.join(at_stretch.select(*stretch, *before), stretch), "part")
+    single, _ = split(placed.join(at_part.select(*part, *before), part), "place", "doc_id", "digest")
+    kept = [placed.join(stretches.select(*stretch), stretch), placed.join(fitting.select(*part), part), single]
+    taken = kept[0].select(*sized.columns)
+    for more in kept[1:]:
+        taken = taken.unionByName(more.select(*sized.columns))
+    return stored(taken, "label-taken")
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:

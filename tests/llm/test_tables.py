@@ -303,6 +303,27 @@ def test_held_out_labels_are_not_used(spark):
     assert a == b
 
 
+def test_toxicity_sample_fills_its_bounds(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 6400)
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 40)
+    texts = [(i, "word " * 4, "en", "s", None) for i in range(600)]
+    huge = [(1000 + i, "huge " * 5000, "en", "s", None) for i in range(9)]
+    copies = [(2000 + i % 3, "copy", "en", "s", None) for i in range(300)]
+    labels = spark.createDataFrame([(r[0], 1, int(r[0] % 2)) for r in texts + huge + copies[:3]], "doc_id long, quality int, toxic int")
+    rows = toxicity.labelled(frame(spark, [*texts, *huge, *copies]), labels).collect()
+    for toxic in (0, 1):
+        own = [r for r in rows if r.toxic == toxic]
+        assert len(own) == len({r.doc_id for r in own}) == 40 and max(len(r.text) for r in own) <= 100
+    # more documents in a class than one stretch may hold, all in the same stretch
+    monkeypatch.setattr(toxicity, "hashed", lambda seed, *c: c[0].cast("long"))
+    assert Counter(r.toxic for r in toxicity.labelled(frame(spark, texts), labels).collect()) == {0: 40, 1: 40}
+    # where all fit, all are taken whole
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1 << 20)
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 1000)
+    rows = toxicity.labelled(frame(spark, [*texts, *huge]), labels).collect()
+    assert {len(r.text) for r in rows} == {20, 25000} and {r.weight for r in rows} == {1.0}
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, random_docs(9, 12))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
