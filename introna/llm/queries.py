@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from introna.llm import bpe, chat, html, minhash, mixing, neighbours, quality, surrogates, token_counts, toxicity
+from introna.llm import bpe, chat, html, infilling, minhash, mixing, neighbours, quality, surrogates, token_counts, toxicity
 from introna.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,36 @@ def op10_quality(spark, folder):
     return quality.judge(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+INFILLING_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+        sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+    FROM documents),
+drawn AS (
+    SELECT doc_id, text, units, len(units)::BIGINT AS n,
+        ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS one, ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS two,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+            OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+            WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM cut),
+parts AS (
+    SELECT *, array_to_string(units[1:least(one, two)], '') AS prefix, array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle,
+        array_to_string(units[greatest(one, two) + 1:], '') AS suffix
+    FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op12_infilling", INFILLING_SQL)
+def op12_infilling(spark, folder):
+    """Every document rearranged for filling in the middle, and rebuilt, as digests."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = infilling.restore(infilling.transform(docs))
+    digest = {f"{c}_sha256": F.sha2(F.col(c).cast("binary"), 256) for c in ("output", "restored")}
+    return made.withColumns(digest).select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", *digest)
