@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from introna.llm import bpe, chat, html, infilling, minhash, mixing, neighbours, quality, surrogates, token_counts, toxicity
+from introna.llm import bpe, chat, html, infilling, licenses, minhash, mixing, neighbours, quality, surrogates, token_counts, toxicity
 from introna.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +246,64 @@ def op12_infilling(spark, folder):
     made = infilling.restore(infilling.transform(docs))
     digest = {f"{c}_sha256": F.sha2(F.col(c).cast("binary"), 256) for c in ("output", "restored")}
     return made.withColumns(digest).select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", *digest)
+
+
+def _license_sql() -> str:
+    wordings = [(label, " ".join(licenses.plain_words(text)), exact)
+                for exact, told in (("false", licenses.TEMPLATES), ("true", licenses.PHRASES)) for label, text in told]
+    values = ",\n        ".join(f"({n}, '{label}', '{text}', {exact})" for n, (label, text, exact) in enumerate(wordings))
+    return rf"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+templates AS (
+    SELECT *, len(w) AS length, (len(w) + 9) // 10 AS slack FROM (
+        SELECT template, label, string_split(wording, ' ') AS w, exact FROM (VALUES
+        {values}) t(template, label, wording, exact))),
+grams AS (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c FROM texts),
+known AS (
+    SELECT template, label, exact, length, slack, unnest(range(len(w))) AS spot, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c FROM templates),
+hits AS (SELECT r, template, label, exact, length, slack, i - spot AS diagonal, spot FROM grams JOIN known USING (a, b, c)),
+votes AS (
+    SELECT *, count(*) OVER (PARTITION BY r, template, diagonal) AS n FROM hits),
+phrases AS (
+    SELECT r, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(DISTINCT label) AS base
+    FROM (SELECT DISTINCT r, template, label, diagonal FROM votes WHERE exact AND n = length - 2) GROUP BY r),
+strong AS (SELECT DISTINCT r, template, length, slack, diagonal FROM votes WHERE NOT exact AND 100 * n >= {licenses.FEW_PERCENT} * (length - 2)),
+steps AS (
+    SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > slack)::INTEGER, 1) AS apart FROM strong),
+islands AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS island FROM steps),
+words AS (
+    SELECT DISTINCT i.r, i.template, v.label, i.length, i.slack, island, i.diagonal, v.spot + d AS word
+    FROM islands i JOIN votes v ON i.r = v.r AND i.template = v.template AND i.diagonal = v.diagonal CROSS JOIN range(3) t(d)),
+alone AS (SELECT *, count(*) OVER (PARTITION BY r, template, diagonal) AS alone FROM words),
+merged AS (
+    SELECT r, template, label, length, slack, island, count(DISTINCT word) AS together, max(alone) AS alone,
+        min(diagonal + word) AS start, max(diagonal + word) + 1 AS stop
+    FROM alone GROUP BY ALL),
+spans AS (
+    SELECT *, CASE WHEN 2 * (stop - start) <= 3 * length + 2 * slack THEN together ELSE alone END AS matched FROM merged),
+sure AS (
+    SELECT * FROM spans
+    WHERE CASE WHEN length < {licenses.SHORT} THEN matched = length ELSE 100 * matched >= {licenses.COVER_PERCENT} * length END),
+reached AS (
+    SELECT *, coalesce((start >= max(stop) OVER (
+        PARTITION BY r ORDER BY start, stop, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INTEGER, 1) AS fresh
+    FROM sure),
+grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY start, stop, template ROWS UNBOUNDED PRECEDING) AS part FROM reached),
+ranked AS (SELECT *, rank() OVER (PARTITION BY r, part ORDER BY matched DESC, length) AS place FROM grouped),
+more AS (SELECT r, list(DISTINCT label) AS more FROM ranked WHERE place = 1 GROUP BY r),
+shares AS (SELECT r, max(matched / length) AS share FROM spans GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+    coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels,
+    CASE WHEN base IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(share, 0) END AS score
+FROM texts LEFT JOIN phrases USING (r) LEFT JOIN more USING (r) LEFT JOIN shares USING (r)
+"""
+
+
+@query("op13_licenses", _license_sql())
+def op13_licenses(spark, folder):
+    """Licenses named or quoted in every document."""
+    return licenses.scan(table(spark, folder, "documents"))
