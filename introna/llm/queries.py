@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from introna.llm import bpe, chat, html, infilling, licenses, minhash, mixing, neighbours, quality, surrogates, token_counts, toxicity
+from introna.llm import bpe, chat, html, infilling, licenses, minhash, mixing, neighbours, quality, repair, surrogates, token_counts, toxicity
 from introna.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,3 +307,71 @@ FROM texts LEFT JOIN phrases USING (r) LEFT JOIN more USING (r) LEFT JOIN shares
 def op13_licenses(spark, folder):
     """Licenses named or quoted in every document."""
     return licenses.scan(table(spark, folder, "documents"))
+
+
+def _repair_sql() -> str:
+    moves = ", ".join(f"({p}, {q}, {n})" for (p, q), n in repair.INSERTS.items())
+    legal = ", ".join(f"({p}, '{role}', {q})" for (p, role), q in repair.NEXT.items())
+    due = " ".join(f"WHEN {p} THEN '{role}'" for p, role in repair.DUE.items())
+    return rf"""
+WITH RECURSIVE filled AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+    FROM conversations),
+hashed AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS kind
+    FROM filled),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, row_number() OVER () AS rid
+    FROM hashed, range(2) t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), rid) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid) AS time, substr(role, 1, 1) AS initial
+    FROM damaged),
+marked AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN time > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS previous
+    FROM placed),
+sums AS (
+    SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+        count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE i > 1 AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+    FROM marked GROUP BY conv_id),
+moves AS (SELECT p, q, n, {repair.INSERT_COST} * n AS cost, repeat('{repair.INSERT}', n) AS letters,
+        CASE n WHEN 0 THEN '' WHEN 1 THEN CASE p {due} END || ':' || chr(10) ELSE 'user:' || chr(10) || 'assistant:' || chr(10) END AS made
+    FROM (VALUES {moves}) t(p, q, n)),
+legal AS (SELECT * FROM (VALUES {legal}) t(p, role, q)),
+options AS (
+    SELECT conv_id, i, p, p AS q, {repair.DELETE_COST} AS cost, '{repair.DELETE}' AS letter, '' AS made FROM marked, range({repair.STATES}) t(p)
+    UNION ALL
+    SELECT conv_id, i, p, q, CASE WHEN fault = 'truncated' THEN {repair.TRUNCATED_COST} ELSE 0 END, '{repair.KEEP}', m.role || ':' || text || chr(10)
+    FROM marked m JOIN legal l ON l.role = m.initial WHERE fault NOT IN ('blank', 'duplicate')
+    UNION ALL
+    SELECT conv_id, i, p, q, {repair.REROLE_COST} + CASE WHEN fault = 'truncated' THEN {repair.TRUNCATED_COST} ELSE 0 END, '{repair.REROLE}',
+        CASE p {due} END || ':' || text || chr(10)
+    FROM marked m, legal l WHERE l.role <> 's' AND fault NOT IN ('blank', 'duplicate')),
+walk AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'cost': 0::BIGINT, 'audit': '', 'made': ''}} AS best FROM sums
+    UNION ALL
+    SELECT w.conv_id, w.i + 1, o.q, min({{'cost': (w.best.cost + v.cost + o.cost)::BIGINT, 'audit': w.best.audit || v.letters || o.letter, 'made': w.best.made || v.made || o.made}})
+    FROM walk w JOIN moves v ON v.p = w.state JOIN options o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.i = w.i + 1 AND o.p = v.q
+    GROUP BY w.conv_id, w.i, o.q),
+ends AS (
+    SELECT s.conv_id, min({{'cost': (best.cost + v.cost)::BIGINT, 'audit': best.audit || letters, 'made': best.made || v.made}}) AS best
+    FROM sums s JOIN walk w ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND w.i = s.n JOIN moves v ON v.p = w.state AND v.q IN (0, 3) GROUP BY s.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+    coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.made, 1, length(best.made) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op11_repair", _repair_sql())
+def op11_repair(spark, folder):
+    """Every conversation damaged and repaired at least cost."""
+    conversations = table(spark, folder, "conversations")
+    return repair.report(conversations, repair.damage(conversations))
