@@ -107,7 +107,7 @@ def test_nearest_neighbours(spark, kind):
     ids = [f"c{i:04d}" if kind == "strings" else i for i in range(n)]
     df = spark.createDataFrame([(ids[i], x[i].tolist()) for i in range(n)], f"cell_id {'string' if kind == 'strings' else 'long'}, x_z array<double>")
     got = {}
-    # tiny blocks force several pivots, several blocks per home and the bound on candidates
+    # tiny blocks force many tiles and the bounds on candidates
     for r in neighbors.nearest_neighbours(df, k, block_rows=12).collect():
         got.setdefault(r["main_name"], []).append((r["distance"], r["neighbor"]))
     for i in range(n):
@@ -115,6 +115,30 @@ def test_nearest_neighbours(spark, kind):
         assert [b for _, b in sorted(got[ids[i]])] == [b for _, b in want]
 
 
+def test_nearest_neighbours_prunes_in_64_dimensions(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 64)) * 4
+    x = centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 64)) @ np.diag(np.linspace(1, 0.05, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, x_z array<double>")
+    lists, report = neighbors.nearest_with_report(df, 8, block_rows=100)
+    got = {}
+    for r in lists.collect():
+        got.setdefault(r["main_name"], []).append((r["distance"], r["neighbor"]))
+    far = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    for i in range(len(x)):
+        assert {b for _, b in got[i]} == set(np.lexsort((np.arange(len(x)), far[i]))[:8].tolist())
+    row = report.first()
+    assert row["computed"] < 0.3 * len(x) * (len(x) - 1) / 2 and row["computed"] <= row["met"]
+
+
+def test_nearest_neighbours_of_few_and_none(spark):
+    none = spark.createDataFrame([], "cell_id long, x_z array<double>")
+    assert neighbors.nearest_neighbours(none).count() == 0
+    few = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (4, [5.0, 1.0])], "cell_id long, x_z array<double>")
+    got = sorted(tuple(r) for r in neighbors.nearest_neighbours(few, 10).collect())
+    assert got == [(1, 1, 0.0), (1, 2, 0.0), (1, 4, 5.0), (2, 1, 0.0), (2, 2, 0.0), (2, 4, 5.0), (4, 1, 5.0), (4, 2, 5.0), (4, 4, 0.0)]
+
+
 def test_require_empty_raises(spark):
     df = spark.range(3)
     assert require_empty(df, df.filter("id > 5"), "no").count() == 3
