@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from introna.functions.columns import r6
 from introna.operators import expression as ex
 from introna.operators import graph
+from introna.operators.pca import sparse_principal_components
 from introna.operators.reference import adjacency_index
 from introna.plans.bindings import Tables, with_sql
 from introna.plans.registry import query
-from introna.session import cut_lineage
+from introna.session import cut_lineage, stored
 from introna.sources import tables
 
 N_TOP = 40  # variable genes kept in the queries
@@ -404,6 +405,50 @@ def _pca(t: Tables):
     return total.union(largest).union(falls).union(lengths.select(F.lit("length"), F.col("cell_id").cast("long"), "value"))
 
 
+def _top_sql(number: int, matrix: str) -> str:
+    """Projection on the largest axis of a small matrix by squaring it, its variance, and what is left of the matrix."""
+    p = f"p{number}"
+    return f"""
+{p} AS (SELECT 0 AS step, i, j, v / (SELECT sum(v) FROM {matrix} WHERE i = j) AS v FROM {matrix}
+  UNION ALL SELECT a.step + 1, a.i, b.j, sum(a.v * b.v) / (SELECT sum(c.v * c.v) FROM {p} c) FROM {p} a JOIN {p} b ON a.j = b.i WHERE a.step < 16 GROUP BY a.step, a.i, b.j),
+axis{number} AS (SELECT i, v / sqrt((SELECT max(v) FROM {p} WHERE step = 16 AND i = j)) AS v FROM {p}
+  WHERE step = 16 AND j = (SELECT i FROM {p} WHERE step = 16 AND i = j ORDER BY v DESC, i LIMIT 1)),
+size{number} AS (SELECT sum(c.v * a.v * b.v) AS spread_on FROM {matrix} c JOIN axis{number} a ON a.i = c.i JOIN axis{number} b ON b.i = c.j),
+rest{number} AS (SELECT c.i, c.j, c.v - spread_on * a.v * b.v AS v FROM {matrix} c JOIN axis{number} a ON a.i = c.i JOIN axis{number} b ON b.i = c.j, size{number})"""
+
+
+N_COMPONENTS = 3
+
+
+# each axis is found by repeated squaring, then taken off the matrix: no start, no block, no rounds in common with the operator
+@query("pca_sparse", with_sql("b2", f""",
+long AS (SELECT cell_id, exon_number || '-' || CAST(substr(gene_id, 5) AS BIGINT) % 3 AS i, sum("count" / (exon_number * exon_number)) AS value FROM b2 GROUP BY ALL),
+total AS (SELECT count(DISTINCT cell_id) AS n FROM b2),
+means AS (SELECT i, sum(value) / any_value(n) AS m FROM long, total GROUP BY i),
+filled AS (SELECT c.cell_id, m.i, coalesce(value, 0) - m AS d FROM (SELECT DISTINCT cell_id FROM b2) c CROSS JOIN means m LEFT JOIN long l ON l.cell_id = c.cell_id AND l.i = m.i),
+spread AS (SELECT a.i, b.i AS j, sum(a.d * b.d) / (any_value(n) - 1) AS v FROM filled a JOIN filled b USING (cell_id), total GROUP BY ALL),
+{_top_sql(1, "spread")},{_top_sql(2, "rest1")},{_top_sql(3, "rest2")},
+axes AS (SELECT 1 AS component, * FROM axis1 UNION ALL SELECT 2, * FROM axis2 UNION ALL SELECT 3, * FROM axis3)
+SELECT component, 'variance' AS kind, NULL::VARCHAR AS name, round(spread_on, 5) AS value
+FROM (SELECT 1 AS component, * FROM size1 UNION ALL SELECT 2, * FROM size2 UNION ALL SELECT 3, * FROM size3)
+UNION ALL SELECT component, 'loading', i, round(abs(v), 5) FROM axes
+UNION ALL SELECT component, 'score', cell_id, round(abs(sum(d * v)), 3) FROM filled JOIN axes USING (i) GROUP BY component, cell_id
+""").replace("WITH ", "WITH RECURSIVE ", 1))
+def _pca_sparse(t: Tables):
+    """Variance, loadings and scores (sizes, as signs are free) of the first components of exon counts, weighted by exon, by exon and kind of gene."""
+    feature = F.concat(F.col("exon_number").cast("string"), F.lit("-"), (F.substr("gene_id", F.lit(5)).cast("long") % 3).cast("string"))
+    b2 = t.b2()
+    x = stored(b2.groupBy("cell_id", feature.alias("feature")).agg(F.sum(F.col("count") / (F.col("exon_number") * F.col("exon_number"))).alias("value")), "pca-entries")
+    scores, loadings, variances = sparse_principal_components(x, "feature", x.select("cell_id").distinct(), N_COMPONENTS)
+    told = t.spark.range(1).select(F.posexplode(F.lit(variances)).alias("i", "v")).select(
+        (F.col("i") + 1).alias("component"), F.lit("variance").alias("kind"), F.lit(None).cast("string").alias("name"), F.round("v", 5).alias("value")
+    )
+    sized = lambda df, name, values, kind, digits: df.select(F.col(name).alias("name"), F.posexplode(values).alias("i", "v")).select(
+        (F.col("i") + 1).alias("component"), F.lit(kind).alias("kind"), "name", F.round(F.abs("v"), digits).alias("value")
+    )
+    return told.unionByName(sized(loadings, "feature", "loading", "loading", 5)).unionByName(sized(scores, "cell_id", "pc", "score", 3))
+
+
 @query("adjusted_rand", with_sql("b4", """,
 tab AS (SELECT label AS a, cell_id % 7 AS b, count(*) AS n FROM b4 GROUP BY ALL),
 ra AS (SELECT sum(s * (s - 1) / 2.0) AS v FROM (SELECT sum(n) AS s FROM tab GROUP BY a)),
