@@ -53,7 +53,7 @@ def combine_sparse_junctions(tables: DataFrame, key: Sequence[str], order: Seque
 
 def check_labels(labels: Sequence[str]) -> None:
     if len(set(labels)) != len(labels):
-        raise ValueError("sample labels must be unique")
+        raise ValueError(f"two samples are labelled {next(x for x in labels if labels.count(x) > 1)!r}")
     bad = [x for x in labels if not re.match(LABEL_PATTERN, x)]
     if bad:
         raise ValueError(f"sample label not allowed: {bad[0]!r}")
@@ -170,7 +170,7 @@ def _alignments(reads: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def overlap_counts(
-    reads: DataFrame, features: DataFrame, keep: Sequence[str], by: Sequence[str] = (), width: int = 1024, salts: int = 1
+    reads: DataFrame, features: DataFrame, keep: Sequence[str], by: Sequence[str] = (), width: int = 1024
 ) -> DataFrame:
     """Reads per feature (columns ``keep``), every overlapped feature and every mapping counted.
 
@@ -187,7 +187,7 @@ def overlap_counts(
         *carried, F.col("_b.start").alias("b_start"), F.col("_b.end").alias("b_end")
     )
     placed = features.select("chrom", F.col("start").alias("f_start"), F.col("end").alias("f_end"), *keep)
-    pairs = range_join(blocks, placed, ["chrom"], ("b_start", "b_end"), ("f_start", "f_end"), width, salts, ("pos", "cigar"))
+    pairs = range_join(blocks, placed, ["chrom"], ("b_start", "b_end"), ("f_start", "f_end"), width)
     once = pairs.select(*carried, *keep).distinct()
     weighted = once.join(counted, shape) if by else once
     return weighted.groupBy(*by, *keep).agg(F.sum("n").alias("count"))

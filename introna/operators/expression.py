@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from introna.operators.scans import exact_median
-from introna.session import cut_lineage
+from introna.session import stored
 
 
 def n_cells(cells: DataFrame) -> Column:
@@ -69,7 +69,7 @@ def dispersion(x: DataFrame, feature: str, cells: Column, n_bins: int = 20) -> D
     mean = F.when(F.col("mean") == 0, F.lit(1e-12)).otherwise(F.col("mean"))
     ratio = F.col("var") / mean
     # one row per feature, read by every step below
-    shaped = cut_lineage(stats.select(feature, F.log1p(mean).alias("mean"), F.when(ratio > 0, F.ln(ratio)).alias("dispersion")))
+    shaped = stored(stats.select(feature, F.log1p(mean).alias("mean"), F.when(ratio > 0, F.ln(ratio)).alias("dispersion")))
     low, high = shaped.agg(F.min("mean")).scalar(), shaped.agg(F.max("mean")).scalar()
     # equal means leave no width; all features share the first bin then
     place = F.ceil(F.try_divide(F.col("mean") - low, (high - low) / n_bins))

@@ -36,39 +36,51 @@ def merge_intervals(
     return _islands(local.drop("_block"), keys, touching)
 
 
-def bins(start: Column, end: Column, width: int) -> Column:
-    return F.sequence(F.floor(start / width), F.floor(end / width))
+FACTOR_BITS = 3  # bins of a level are eight times as wide as those of the one below
+LEVELS = 12
+
+
+def _width(level: Column, width: int) -> Column:
+    return F.call_function("shiftleft", F.lit(width).cast("long"), (level * FACTOR_BITS).cast("int"))
+
+
+def bin_level(start: Column, end: Column, width: int) -> Column:
+    """The lowest level at which an interval touches two bins at most."""
+    return sum(((end - start) > (width << (FACTOR_BITS * i))).cast("int") for i in range(LEVELS))
+
+
+def _bins(start: Column, end: Column, level: Column, width: int) -> Column:
+    size = _width(level, width)
+    return F.transform(F.sequence(F.floor(start / size), F.floor(end / size)), lambda b: F.struct(level.alias("level"), b.alias("bin")))
 
 
 def range_join(
-    left: DataFrame,
-    right: DataFrame,
+    probes: DataFrame,
+    stored: DataFrame,
     on: Sequence[str],
-    left_range: tuple[str, str],
-    right_range: tuple[str, str],
+    probe_range: tuple[str, str],
+    stored_range: tuple[str, str],
     width: int,
-    salts: int = 1,
-    salt_key: Sequence[str] = (),
 ) -> DataFrame:
-    """Pairs whose closed ranges overlap, as an equi-join on (``on``, bin), each pair once.
+    """Pairs whose closed ranges overlap, as an equi-join on (``on``, level, bin), each pair once.
 
-    Both sides are listed under every bin they cover; a pair is kept only in the first bin the
-    two share, which removes repeats without a distinct. ``salts`` spreads the rows of a hot
-    bin of the left side over that many tasks and repeats the right side as often.
+    A stored interval lies at the level of its length, under one or two bins however long it is; a
+    probe visits the bins it touches at the levels that are in use, one or two at each if it is no
+    longer than ``width``. A pair is kept only in the first bin both sides share, which removes
+    repeats without a distinct. Hot bins are left to the optimiser's skew handling, which splits
+    either side. Rows without an end take no part.
     """
-    on = list(on)
-    spread_left = left.withColumn("_bin", F.explode(bins(F.col(left_range[0]), F.col(left_range[1]), width)))
-    spread_right = right.withColumn("_bin", F.explode(bins(F.col(right_range[0]), F.col(right_range[1]), width)))
-    keys = [*on, "_bin"]
-    if salts > 1:
-        key = F.pmod(F.xxhash64(*(salt_key or left.columns)), F.lit(salts)).cast("int")
-        spread_left = spread_left.withColumn("_salt", key)
-        spread_right = spread_right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keys.append("_salt")
-    later = F.greatest(F.col(left_range[0]), F.col(right_range[0]))
-    joined = spread_left.join(spread_right, keys).filter(
-        (F.col(left_range[0]) <= F.col(right_range[1]))
-        & (F.col(right_range[0]) <= F.col(left_range[1]))
-        & (F.col("_bin") == F.floor(later / width))
+    low, high = (F.col(c) for c in probe_range)
+    first, last = (F.col(c) for c in stored_range)
+    placed = stored.filter(first <= last).withColumn("_level", bin_level(first, last, width))
+    # a handful of numbers
+    levels = placed.agg(F.collect_set("_level")).scalar()
+    placed = placed.withColumn("_bin", F.explode(F.transform(_bins(first, last, F.col("_level"), width), lambda b: b["bin"])))
+    visiting = probes.filter(low <= high).withColumn("_levels", levels)
+    visiting = visiting.withColumn("_v", F.explode(F.flatten(F.transform("_levels", lambda level: _bins(low, high, level, width)))))
+    visiting = visiting.select("*", F.col("_v.level").alias("_level"), F.col("_v.bin").alias("_bin")).drop("_levels", "_v")
+    later = F.greatest(low, first)
+    joined = visiting.join(placed, [*on, "_level", "_bin"]).filter(
+        (low <= last) & (first <= high) & (F.col("_bin") == F.floor(later / _width(F.col("_level"), width)))
     )
-    return joined.drop("_bin", "_salt")
+    return joined.drop("_level", "_bin")

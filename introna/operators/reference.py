@@ -12,6 +12,7 @@ from introna.operators.intervals import merge_intervals, range_join
 from introna.operators.scans import following, running_before, running_before_by
 
 STRETCH = 1 << 16  # bases per stretch when a key is spread along the genome
+EXON_BIN = 512  # narrowest bins of exons
 
 
 def check_annotation(gtf: DataFrame, fields: Sequence[str] = ("gene_id", "exon_number")) -> None:
@@ -157,7 +158,7 @@ def genome_to_transcript(positions: DataFrame, exons: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("transcript_id").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranked.withColumn("_before", F.coalesce(F.sum("_len").over(earlier), F.lit(0)))
     wanted = positions.select("transcript_id", "pos").distinct().withColumn("pos_end", F.col("pos"))
-    hits = range_join(placed, wanted, ["transcript_id"], ("start", "end"), ("pos", "pos_end"), STRETCH)
+    hits = range_join(wanted, placed, ["transcript_id"], ("pos", "pos_end"), ("start", "end"), EXON_BIN)
     inside = F.when(F.col("strand") == "-", F.col("end") - F.col("pos")).otherwise(F.col("pos") - F.col("start"))
     offsets = hits.groupBy("transcript_id", "pos").agg(F.min(F.col("_before") + inside + 1).alias("offset"))
     return positions.join(offsets, ["transcript_id", "pos"], "left")

@@ -7,28 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from introna.session import cut_lineage
+RANGES = 1 << 10  # ranges of an order; the only rows that one task sees of a whole table
+_STEPS = [1 << i for i in reversed(range(RANGES.bit_length() - 1))]
+
+
+def in_ranges(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Add the number of the row's range, which grows with ``order`` and depends on the row alone.
+
+    The bounds are the keys of ``RANGES - 1`` rows with the smallest hashes, a subquery of the plan: they
+    are the same whenever it runs, so no rows have to be stored for a range to keep its number, and no
+    job runs while the query is built. A range is found by bisection.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    keyed = df.withColumn("_key", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(keys))))
+    sample = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(RANGES - 1)
+    bounds = sample.agg(F.array_sort(F.collect_list("_key"))).scalar()
+    step = lambda at, by: F.when(F.get("_bounds", at + by - 1) <= F.col("_key"), at + by).otherwise(at)
+    placed = keyed.withColumn("_bounds", bounds).withColumn(name, F.aggregate(F.lit(_STEPS), F.lit(0), step))
+    return placed.drop("_key", "_bounds")
 
 
 def running_before(df: DataFrame, order: Sequence[Column | str], totals: dict[str, Column]) -> DataFrame:
     """Add, for each ``name: value``, the sum of ``value`` over all rows ordered before the row.
 
-    The rows are range-partitioned on ``order`` (which must be a total order) and stored once,
-    so that a range keeps its number; the totals of the ranges (one row per partition) are
-    accumulated and joined back. Only that per-partition table is ever seen by a single task.
+    ``order`` must be a total order. The rows are dealt over its ranges; the totals of the ranges (one
+    row each) are accumulated and joined back. Only that table is ever seen by a single task.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(*order)
-    stored = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
+    dealt = in_ranges(df, order, "_range").repartition("_range")
     names = list(totals)
-    per_range = stored.groupBy("_range").agg(*[F.sum(totals[n]).alias(f"_t_{n}") for n in names])
+    per_range = dealt.groupBy("_range").agg(*[F.sum(totals[n]).alias(f"_t_{n}") for n in names])
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_range.select(
         "_range", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in names]
     )
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition of the shuffle above, so the broadcast is bounded
-    joined = stored.join(F.broadcast(carry), "_range")
+    # RANGES rows at most
+    joined = dealt.join(F.broadcast(carry), "_range")
     for name in names:
         local = F.coalesce(F.sum(totals[name]).over(inside), F.lit(0))
         joined = joined.withColumn(name, local + F.col(f"_c_{name}"))

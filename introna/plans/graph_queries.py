@@ -12,7 +12,7 @@ from introna.operators.pca import sparse_principal_components
 from introna.operators.reference import adjacency_index
 from introna.plans.bindings import Tables, with_sql
 from introna.plans.registry import query
-from introna.session import cut_lineage, stored
+from introna.session import stored
 from introna.sources import tables
 
 N_TOP = 40  # variable genes kept in the queries
@@ -75,7 +75,7 @@ def compressed(t: Tables):
 
 def reduced(t: Tables):
     """(edges, var); the compressed edges are read twice, so they are stored once."""
-    return graph.reduce_adjacency(features(t), cut_lineage(compressed(t)))
+    return graph.reduce_adjacency(features(t), stored(compressed(t)))
 
 
 @query("exon_features", with_sql("b2f exons", """SELECT cell_id, gene_id, exon_number, exon_pos, round("count", 6) AS value FROM b2f JOIN exons USING (gene_id, exon_number) WHERE "count" > 0"""))
@@ -244,7 +244,7 @@ def _edge_normalize(t: Tables):
 
 def indexed(t: Tables):
     """(normalised edges, raw edges, node offsets, node values), all with global node numbers."""
-    pairs, var = (cut_lineage(part) for part in reduced(t))
+    pairs, var = (stored(part) for part in reduced(t))
     offsets = graph.node_offsets(var)
     raw = graph.edge_index(pairs, offsets)
     scaled = graph.edge_index(graph.edge_normalize(pairs), offsets)
@@ -391,7 +391,7 @@ UNION ALL SELECT 'length', cell_id, round(s, 5) FROM lengths"""))
 def _pca(t: Tables):
     """All components: total variance, largest correlation of two scores, order, squared length of every centred row."""
     width = t.b4().select(F.size("x_z")).first()[0]
-    scores = cut_lineage(ex.principal_components(t.b4(), "x_z", width))
+    scores = stored(ex.principal_components(t.b4(), "x_z", width))
     long = scores.select("cell_id", F.posexplode("pc").alias("i", "s"))
     stats = long.groupBy("i").agg(F.var_samp("s").alias("v"), F.avg("s").alias("m"))
     total = stats.select(F.lit("variance").alias("name"), F.lit(None).cast("long").alias("cell_id"), F.round(F.sum("v").over(Window.partitionBy()), 5).alias("value")).limit(1)

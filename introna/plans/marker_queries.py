@@ -11,7 +11,7 @@ from introna.operators.reference import adjacency_index
 from introna.plans.bindings import Tables, with_sql
 from introna.plans.reference_queries import MERGED_SQL, merged
 from introna.plans.registry import query
-from introna.session import cut_lineage
+from introna.session import stored
 
 TEST_SQL = """,
 tot AS (SELECT cell_id, sum(value) AS total FROM b7 GROUP BY cell_id),
@@ -69,7 +69,7 @@ def placed(t: Tables):
         "feature_id", F.substring_index("feature_id", "-", 1).alias("gene_id"), F.substring_index("feature_id", "-", -1).cast("long").alias("k")
     )
     features = features.withColumn("gene_name", F.when(number % 11 != 0, F.concat(F.lit("N"), (number % 37).cast("string"))))
-    return mk.exon_coordinates(cut_lineage(gene_rows(t)), features, annotation)
+    return mk.exon_coordinates(stored(gene_rows(t)), features, annotation)
 
 
 def weighted(t: Tables):
@@ -142,7 +142,7 @@ adjusted AS (SELECT cluster, gene, p, fold, least(p * n, 1) AS bonf, least(min(p
 
 
 def adjusted(t: Tables):
-    genes = cut_lineage(mk.stouffer(gene_rows(t)))
+    genes = stored(mk.stouffer(gene_rows(t)))
     return mk.adjust_bh(mk.adjust_bonferroni(genes, "stouffer_p"), "stouffer_p", ["cluster", "gene"])
 
 
@@ -179,11 +179,13 @@ def _compare(t: Tables):
 
 
 def both_sides(t: Tables, rows):
-    """The rows of the first and of the second cluster of every pair of clusters (a few dozen pairs)."""
-    names = t.read("customer").select("c_mktsegment").distinct()
-    pairs = names.select(F.col("c_mktsegment").alias("one")).join(names.select(F.col("c_mktsegment").alias("two")), F.col("one") < F.col("two"))
-    stored, pairs = cut_lineage(rows), cut_lineage(pairs)
-    return [stored.join(pairs, F.col("cluster") == F.col(c)).drop("cluster") for c in ("one", "two")]
+    """The rows of the first and of the second cluster of every pair of clusters."""
+    # the clusters are an array of a few names, of which each is paired with those after it
+    names = t.read("customer").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("all"))
+    firsts = names.select("all", F.posexplode("all").alias("i", "one"))
+    pairs = firsts.select("one", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("two"))
+    kept = stored(rows)
+    return [kept.join(pairs, F.col("cluster") == F.col(c)).drop("cluster") for c in ("one", "two")]
 
 
 @query("merge_enrichment", with_sql("b7", TEST_SQL + """,

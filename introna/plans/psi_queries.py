@@ -9,11 +9,11 @@ from introna.operators import expression, psi
 from introna.plans.bindings import Tables, with_sql
 from introna.plans.registry import query
 from introna.plans.splice_queries import EVENTS, MEAN_SQL, MIN_SQL, psi_rows
-from introna.session import cut_lineage
+from introna.session import stored
 
 
 def values(t: Tables, method: str = "mean"):
-    return cut_lineage(psi_rows(t, method).select(F.col("sample_id").alias("cell_id"), "event_id", "psi"))
+    return stored(psi_rows(t, method).select(F.col("sample_id").alias("cell_id"), "event_id", "psi"))
 
 
 @query("psi_matrix", with_sql(EVENTS, MEAN_SQL + """,
@@ -126,7 +126,7 @@ def _cluster_fill(t: Tables):
 def _rank_sum_imputed(t: Tables):
     """Rank sums over every cell and kept event, filled entries counted and not written out."""
     rows = values(t)
-    clusters = cut_lineage(sixty_cells(t, rows))
+    clusters = stored(sixty_cells(t, rows))
     stored = rows.join(psi.kept_events(rows), "event_id", "left_semi").filter("psi IS NOT NULL")
     implicit = psi.psi_cluster_fill(rows, clusters).select("event_id", F.col("cluster").alias("group"), F.col("fill").alias("psi"), F.col("missing").alias("c"))
     found = psi.rank_sum_test(stored, clusters.withColumnRenamed("cluster", "group"), implicit=implicit)

@@ -8,7 +8,7 @@ from introna.functions.columns import r6
 from introna.operators import splice
 from introna.plans.bindings import Tables, with_sql
 from introna.plans.registry import query
-from introna.session import cut_lineage
+from introna.session import stored
 from introna.sources import text
 
 
@@ -77,7 +77,7 @@ found AS (SELECT DISTINCT a.chrom, a.stop + 1 AS "start", b."start" - 1 AS stop,
 SELECT f.* FROM found f ANTI JOIN known k ON f.chrom = k.chrom AND f."start" = k."start" AND f.stop = k.stop AND f.strand = k.strand"""))
 def _novel(t: Tables):
     # each line is parsed once; what counts is which alignments there are
-    reads = cut_lineage(text.parse_sam(t.b9()).select("chrom", "pos", "cigar", "flag", "mapq").distinct())
+    reads = stored(text.parse_sam(t.b9()).select("chrom", "pos", "cigar", "flag", "mapq").distinct())
     strand = F.when(F.col("flag") == 16, "-").otherwise("+")
     known = reads.filter("cigar = '100M'").select("chrom", F.col("pos").alias("start"), (F.col("pos") + 99).alias("stop"), strand.alias("strand"))
     return splice.novel_exons(splice.cigar_junctions(reads), known.distinct())
@@ -123,7 +123,7 @@ def edges(t: Tables):
 def stored_edges(t: Tables):
     """The exon graph, built and stored once per query."""
     if getattr(t, "exon_graph", None) is None:
-        t.exon_graph = cut_lineage(edges(t))
+        t.exon_graph = stored(edges(t))
     return t.exon_graph
 
 
@@ -214,7 +214,7 @@ def on_sequence(rows, splice_type: str):
 
 
 def sites(t: Tables):
-    chunks = cut_lineage(t.b8())
+    chunks = stored(t.b8())
     parts = [splice.splice_sites(on_sequence(events(t, s), s), s, chunks, 32) for s in ("se", "mxe")]
     return parts[0].unionByName(parts[1])
 
@@ -222,7 +222,7 @@ def sites(t: Tables):
 @query("validate_splice_sites", with_sql(EVENTS + " b8", SITE_SQL + """SELECT event_id, isoform, pair, site, site IN ('GT/AG', 'GC/AG', 'AT/AC') AS valid,
 bool_and(site IN ('GT/AG', 'GC/AG', 'AT/AC')) OVER (PARTITION BY event_id) AS all_valid FROM sites"""))
 def _validate(t: Tables):
-    rows = cut_lineage(sites(t))
+    rows = stored(sites(t))
     good = splice.validate_splice_sites(rows.select("event_id").distinct(), rows).withColumn("all_valid", F.lit(True))
     return rows.join(good, "event_id", "left").fillna({"all_valid": False})
 

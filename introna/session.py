@@ -50,8 +50,8 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
-def local_session(app: str, cores: str = "8", memory: str = "8g") -> SparkSession:
-    """A single-machine session for tests and the benchmark."""
+def local_session(app: str, cores: str = "8", memory: str = "8g", settings: dict[str, str] | None = None) -> SparkSession:
+    """A single-machine session for tests, tools and the benchmark."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -60,6 +60,7 @@ def local_session(app: str, cores: str = "8", memory: str = "8g") -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=settings or {})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -81,18 +82,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are stored once and read back from then on."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write once as Parquet below the shared folder and read back; later readers prune its columns."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)

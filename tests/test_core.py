@@ -70,15 +70,22 @@ def test_merge_intervals(spark, touching):
         assert rows(intervals.merge_intervals(df, ["g"], touching, block).select("g", "start", "end")) == want
 
 
-@pytest.mark.parametrize("salts", [1, 3])
-def test_range_join(spark, salts):
+@pytest.mark.parametrize("width", [4, 64])
+def test_range_join(spark, width):
     rng = random.Random(4)
-    make = lambda n: [(f"c{rng.randint(0, 1)}", i, s, s + rng.randint(0, 60)) for i, s in enumerate(rng.randint(-50, 800) for _ in range(n))]
-    a, b = make(80), make(80)
-    left = spark.createDataFrame(a, "c string, i long, s long, e long")
+    sizes = [0, 3, 60, 700, 9000, 250_000_000]
+    make = lambda n: [(f"c{rng.randint(0, 1)}", i, s, s + rng.randint(0, rng.choice(sizes[:5]))) for i, s in enumerate(rng.randint(-500, 8000) for _ in range(n))]
+    a, b = make(80), [*make(80), ("c0", 80, -1000, sizes[5]), ("c1", 81, 5, 2), ("c1", 82, 7, None)]
+    left = spark.createDataFrame([*a, ("c0", 80, 9, None)], "c string, i long, s long, e long")
     right = spark.createDataFrame(b, "c string, j long, s2 long, e2 long")
-    got = rows(intervals.range_join(left, right, ["c"], ("s", "e"), ("s2", "e2"), 16, salts).select("i", "j"))
-    assert got == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] <= y[3] and y[2] <= x[3])
+    got = rows(intervals.range_join(left, right, ["c"], ("s", "e"), ("s2", "e2"), width).select("i", "j"))
+    assert got == sorted((x[1], y[1]) for x in a for y in b[:81] if x[0] == y[0] and x[2] <= y[3] and y[2] <= x[3])
+    # a stored interval has two rows at most, however long
+    level = intervals.bin_level(F.col("s2"), F.col("e2"), width)
+    spread = right.filter("s2 <= e2").select(F.size(intervals._bins(F.col("s2"), F.col("e2"), level, width)).alias("n"))
+    assert spread.agg(F.max("n")).first()[0] <= 2
+    none = right.filter("j < 0")
+    assert intervals.range_join(left, none, ["c"], ("s", "e"), ("s2", "e2"), width).count() == 0
 
 
 def test_normal_functions(spark):
