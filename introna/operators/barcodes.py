@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from introna.functions.checks import require_rows
@@ -12,24 +12,64 @@ from introna.functions.checks import require_rows
 FIELDS = 11  # fixed fields of an alignment line
 
 
+def _read_groups(lines: DataFrame, allow: DataFrame | None, suffix: str, tag: str, group: str) -> DataFrame:
+    """(value, cell_id, is_body, is_kept) of every line: body lines with their barcode repeated as the read group."""
+    fixed = F.substring_index("value", "\t", FIELDS)
+    optional = F.substr("value", F.length(fixed) + 1)
+    barcode = F.regexp_extract(optional, rf"^.*\t{tag}:[^:\t]*:([^\t]*)", 1)
+    body = ~F.col("value").startswith("@")
+    marked = lines.withColumns({"is_body": body, "_cell": F.when(body, barcode)})
+    if allow is None:
+        marked = marked.withColumn("is_kept", body)
+    else:
+        # an absent barcode is the empty text here, which no allow list holds
+        listed = allow.filter("cell_id <> ''").select(F.col("cell_id").alias("_cell")).distinct().withColumn("_listed", F.lit(True))
+        marked = marked.join(listed, "_cell", "left").withColumn("is_kept", F.coalesce("_listed", F.lit(False)))
+    kept = F.concat(fixed, F.regexp_replace(optional, rf"\t{group}:[^\t]*", ""))
+    named = F.concat(F.nullif("_cell", F.lit("")), F.lit(suffix))
+    line = F.coalesce(F.concat(kept, F.lit(f"\t{group}:Z:"), named), kept)
+    return marked.select(F.when(F.col("is_body"), line).otherwise(F.col("value")).alias("value"), named.alias("cell_id"), "is_body", "is_kept")
+
+
 def retag(lines: DataFrame, allow: DataFrame | None = None, suffix: str = "", tag: str = "CB", group: str = "RG") -> DataFrame:
     """Alignment lines whose barcode tag is repeated as the read group.
 
     Old read groups are dropped. With ``allow`` (cell_id) lines without a barcode, or with one
     outside the list, are left out. Works line by line, so a streaming ``lines`` stays a stream.
     """
-    fixed = F.substring_index("value", "\t", FIELDS)
-    optional = F.substr("value", F.length(fixed) + 1)
-    barcode = F.regexp_extract(optional, rf"^.*\t{tag}:[^:\t]*:([^\t]*)", 1)
-    # an absent barcode is the empty text here, which no allow list holds
-    body = lines.filter(~F.col("value").startswith("@")).withColumn("_cell", barcode)
+    return _read_groups(lines, allow, suffix, tag, group).filter("is_kept").select("value", "cell_id")
+
+
+def retag_observed(
+    lines: DataFrame, observation: Observation | str, allow: DataFrame | None = None, suffix: str = "", tag: str = "CB", group: str = "RG"
+) -> DataFrame:
+    """`retag` whose counters are taken in the same pass: seen, tagged, written and filtered_out lines.
+
+    A batch reads them from the `Observation`, a stream (which takes a name) from its progress.
+    """
+    body = F.col("is_body")
+    counted = _read_groups(lines, allow, suffix, tag, group).observe(
+        observation, F.count_if(body).alias("seen"), F.count_if(F.col("is_kept") & F.col("cell_id").isNotNull()).alias("tagged"),
+        F.count_if("is_kept").alias("written"), F.count_if(body & ~F.col("is_kept")).alias("filtered_out"),
+    )
+    return counted.filter("is_kept").select("value", "cell_id")
+
+
+def retag_write(
+    lines: DataFrame, header: DataFrame, path: str, allow: DataFrame | None = None, suffix: str = "", library: str = "cells"
+) -> dict[str, int]:
+    """Header, missing ``@RG`` lines and rewritten body as one text output; returns the counters.
+
+    The body is scanned once, for its lines and for the counters. ``header`` holds the ``@`` lines, a few
+    that a reader finds at the head of a file; those among ``lines`` are not written again.
+    """
+    observation = Observation("retag")
+    parts = header.filter(F.col("value").startswith("@")).select("value")
     if allow is not None:
-        listed = allow.filter("cell_id <> ''").select(F.col("cell_id").alias("_cell")).distinct()
-        body = body.join(listed, "_cell", "left_semi")
-    kept = F.concat(fixed, F.regexp_replace(optional, rf"\t{group}:[^\t]*", ""))
-    named = F.concat(F.nullif("_cell", F.lit("")), F.lit(suffix))
-    line = F.coalesce(F.concat(kept, F.lit(f"\t{group}:Z:"), named), kept)
-    return body.select(line.alias("value"), named.alias("cell_id"))
+        parts = parts.unionByName(read_group_headers(allow, header, suffix, library).select("value"))
+    # parts of a union keep their order, and so do the files written from them
+    parts.unionByName(retag_observed(lines, observation, allow, suffix).select("value")).write.text(path)
+    return dict(observation.get)
 
 
 def read_group_headers(allow: DataFrame, header: DataFrame, suffix: str = "", library: str = "cells") -> DataFrame:

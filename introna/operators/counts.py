@@ -101,8 +101,21 @@ def split_by_cell(table: DataFrame, cells: DataFrame, drop_zero: bool = False) -
     return rows, missing
 
 
-def write_by_cell(rows: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """One folder per cell; a cell is dealt over as many writers as its rows ask for."""
+def store_by_cell(rows: DataFrame, table: str, path: str, buckets: int, sort: Sequence[str] = ()) -> DataFrame:
+    """Store rows as a table bucketed by cell and sorted inside each bucket, and read it back.
+
+    Joins and aggregates on ``cell_id`` of tables with as many buckets need no exchange, and one cell is
+    one bucket file, of which the sorted row groups that hold other cells are skipped. A task writes one
+    bucket, so there are ``buckets`` files however many cells there are.
+    """
+    rows.repartition(buckets, "cell_id").write.mode("overwrite").format("parquet").option("path", path).bucketBy(
+        buckets, "cell_id"
+    ).sortBy("cell_id", *sort).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
+def export_by_cell(rows: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """One folder per cell, for readers that want files of single cells; a cell is dealt over as many writers as its rows ask for."""
     files = rows.groupBy("cell_id").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col("_files"))
     dealt = rows.join(files, "cell_id").repartition("cell_id", spread).drop("_files")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,7 @@ JUNCTIONS = {
     "se": ["junction13", "junction12", "junction23"],
     "mxe": ["junction13", "junction34", "junction12", "junction24"],
 }
+INCOMPATIBLE = {"se": [], "mxe": ["junction14", "junction23"]}
 MIN_READS = 10
 UNEVEN = 10
 SPLICE_SITES = ["GT/AG", "GC/AG", "AT/AC"]
@@ -431,6 +433,21 @@ def psi_value(iso1: Sequence[Column], iso2: Sequence[Column], method: str = "mea
     return F.try_divide(two, one + two)
 
 
+def _event_roles(events: DataFrame, splice_type: str) -> DataFrame:
+    """(event_id, role, junction_id) of every event."""
+    names = [*JUNCTIONS[splice_type], *INCOMPATIBLE[splice_type]]
+    one_row = events.groupBy("event_id").agg(*[F.min(c).alias(c) for c in names])
+    roles = F.array(*[F.struct(F.lit(c).alias("role"), F.col(c).alias("junction_id")) for c in names])
+    return one_row.select("event_id", F.explode(roles).alias("r")).select("event_id", "r.role", "r.junction_id").filter("junction_id IS NOT NULL")
+
+
+def _whole_events(roles: DataFrame, present: DataFrame, splice_type: str) -> DataFrame:
+    """(event_id) of the events all of whose own junctions occur in the data."""
+    legal = JUNCTIONS[splice_type]
+    found = roles.filter(F.col("role").isin(*legal)).join(present, "junction_id", "left_semi").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    return found.filter(F.col("n") == len(legal)).select("event_id")
+
+
 def psi_summary(
     events: DataFrame, reads: DataFrame, splice_type: str, min_reads: int = MIN_READS, uneven: int = UNEVEN, method: str = "mean"
 ) -> DataFrame:
@@ -438,19 +455,13 @@ def psi_summary(
 
     ``reads``: (sample_id, junction_id, reads). Only events whose junctions all occur in the data
     are scored. Samples without a read on any of an event's junctions are left out: they are
-    exactly the "Case 2" rows with a NULL psi, so the long form loses nothing by it.
+    exactly the "Case 2" rows with a NULL psi, which `SparsePsi.lookup` gives.
     """
-    legal = JUNCTIONS[splice_type]
-    extra = ["junction14", "junction23"] if splice_type == "mxe" else []
-    one_row = events.groupBy("event_id").agg(*[F.min(c).alias(c) for c in (*legal, *extra)])
-    roles = F.array(*[F.struct(F.lit(c).alias("role"), F.col(c).alias("junction_id")) for c in (*legal, *extra)])
-    long = one_row.select("event_id", F.explode(roles).alias("r")).select("event_id", "r.role", "r.junction_id").filter("junction_id IS NOT NULL")
+    legal, extra = JUNCTIONS[splice_type], INCOMPATIBLE[splice_type]
+    long = _event_roles(events, splice_type)
     per_sample = reads.groupBy("sample_id", "junction_id").agg(F.sum("reads").alias("reads"))
-    present = per_sample.select("junction_id").distinct()
-    whole = long.filter(F.col("role").isin(*legal)).join(present, "junction_id", "left_semi").groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("n")
-    ).filter(F.col("n") == len(legal))
-    hits = long.join(whole.select("event_id"), "event_id", "left_semi").join(per_sample, "junction_id")
+    whole = _whole_events(long, per_sample.select("junction_id").distinct(), splice_type)
+    hits = long.join(whole, "event_id", "left_semi").join(per_sample, "junction_id")
     zero = F.lit(0).cast("long")
     sums = hits.groupBy("sample_id", "event_id").agg(
         *[F.coalesce(F.sum(F.when(F.col("role") == c, F.col("reads"))), zero).alias(c) for c in (*legal, *extra)]
@@ -472,3 +483,44 @@ def psi_table(
     """SE and MXE summaries in one table."""
     parts = [psi_summary(e, reads, t, min_reads, uneven, method) for e, t in ((se, "se"), (mxe, "mxe")) if e is not None]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+@dataclass
+class SparsePsi:
+    """A PSI table with a default: ``rows`` holds what is stored, any other pair of a scored event and a known sample reads "Case 2" without a value."""
+
+    rows: DataFrame  # of psi_table
+    events: DataFrame  # (event_id, splice_type), every scored event once
+    samples: DataFrame  # (sample_id), every sample once
+
+    def lookup(self, pairs: DataFrame) -> DataFrame:
+        """The row of each pair (sample_id, event_id), stored or default; pairs of unknown samples or events give none."""
+        asked = pairs.select("sample_id", "event_id").join(self.events, "event_id").join(self.samples, "sample_id")
+        found = asked.join(self.rows.drop("splice_type"), ["sample_id", "event_id"], "left")
+        counts = [c for c in self.rows.columns if c.startswith(("isoform", "incompatible_"))]
+        own = lambda c: F.lit(False) if not (kinds := [k for k in JUNCTIONS if c in _count_columns(k)]) else F.col("splice_type").isin(*kinds)
+        filled = {c: F.when(F.col("notes").isNull() & own(c), F.lit(0)).otherwise(F.col(c)).alias(c) for c in counts}
+        return found.withColumns(filled).withColumn("notes", F.coalesce("notes", F.lit(CASE_2))).select(*self.rows.columns)
+
+    def case_counts(self) -> DataFrame:
+        """(splice_type, notes, n) over all pairs; those not stored are counted, not listed."""
+        stored_rows = self.rows.groupBy("splice_type", "notes").agg(F.count(F.lit(1)).alias("n"))
+        samples = self.samples.agg(F.count(F.lit(1))).scalar()
+        per_type = self.events.groupBy("splice_type").agg((F.count(F.lit(1)) * samples).alias("all"))
+        held = self.rows.groupBy("splice_type").agg(F.count(F.lit(1)).alias("held"))
+        rest = per_type.join(held, "splice_type", "left").select("splice_type", F.lit(CASE_2).alias("notes"), (F.col("all") - F.coalesce("held", F.lit(0))).alias("n"))
+        return stored_rows.unionByName(rest).groupBy("splice_type", "notes").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def _count_columns(splice_type: str) -> list[str]:
+    own = [f"isoform{n + 1}_{c}" for n, part in enumerate(ISOFORM_JUNCTIONS[splice_type]) for c in part]
+    return own + [f"incompatible_{c}" for c in INCOMPATIBLE[splice_type]]
+
+
+def sparse_psi(
+    se: DataFrame | None, mxe: DataFrame | None, reads: DataFrame, min_reads: int = MIN_READS, uneven: int = UNEVEN, method: str = "mean"
+) -> SparsePsi:
+    """`psi_table` with its default."""
+    present = reads.select("junction_id").distinct()
+    events = [_whole_events(_event_roles(e, t), present, t).withColumn("splice_type", F.lit(t)) for e, t in ((se, "se"), (mxe, "mxe")) if e is not None]
+    return SparsePsi(psi_table(se, mxe, reads, min_reads, uneven, method), reduce(DataFrame.unionByName, events), reads.select("sample_id").distinct())

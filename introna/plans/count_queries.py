@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from introna.functions.columns import r6
@@ -11,6 +13,7 @@ from introna.plans.bindings import Tables, with_sql
 from introna.plans.reference_queries import MERGED_SQL
 from introna.plans.registry import query
 from introna.plans.source_queries import PRIORITIES
+from introna.session import shared_path, stored
 from introna.sources import tables, text
 
 
@@ -98,6 +101,18 @@ def _validate(t: Tables):
     return counts.validate_counts(t.b3(), ["gene_id", "chrom", "start", "end"])
 
 
+@query("stored_cells_join", with_sql("b2 b3", """,
+junctions AS (SELECT cell_id, count(*) AS junction_rows FROM b3 GROUP BY cell_id)
+SELECT cell_id, gene_id, exon_number, round("count", 6) AS "count", junction_rows FROM b2 JOIN junctions USING (cell_id)"""))
+def _stored_join(t: Tables):
+    """Two stored tables joined by cell, without an exchange."""
+    folder, mark = shared_path(t.spark, "cells"), uuid.uuid4().hex
+    exons = counts.store_by_cell(t.b2().select("cell_id", "gene_id", "exon_number", "count"), f"exons_{mark}", f"{folder}/exons", 8)
+    junctions = counts.store_by_cell(t.b3().select("cell_id", "gene_id", "start", "end", "uniq"), f"junctions_{mark}", f"{folder}/junctions", 8)
+    per_cell = junctions.groupBy("cell_id").agg(F.count(F.lit(1)).alias("junction_rows"))
+    return exons.join(per_cell, "cell_id").select("cell_id", "gene_id", "exon_number", r6("count").alias("count"), "junction_rows")
+
+
 TOKENS_SQL = """,
 lists AS (SELECT part_key, gene_sp1, gene_sp2,
   list_distinct(list_filter(list_transform(string_split(coalesce(gene_sp1, ''), ','), lambda x: trim(x)), lambda x: x <> '' AND x <> 'NA')) AS a,
@@ -153,6 +168,23 @@ def _retag_open(t: Tables):
     return barcodes.retag(t.b9())
 
 
+@query("retag_job", with_sql("b9", f"""SELECT {LINE_SQL} || chr(9) || 'CB:Z:' || barcode || chr(9) || 'RG:Z:' || barcode || '-1' AS value, 'body' AS kind, NULL::BIGINT AS n
+FROM b9 WHERE barcode IN (SELECT 'BC' || (s_suppkey * 2) FROM supplier)
+UNION ALL SELECT '@RG' || chr(9) || 'ID:BC' || (s_suppkey * 2) || '-1' || chr(9) || CASE WHEN s_suppkey % 3 = 0 THEN 'SM:known' ELSE 'SM:BC' || (s_suppkey * 2) || '-1' || chr(9) || 'LB:cells' || chr(9) || 'PL:ILLUMINA' END, 'header', NULL FROM supplier
+UNION ALL SELECT c.name, 'counter', c.n FROM (SELECT count(*) AS seen, count(*) FILTER (ok) AS kept FROM (SELECT coalesce(barcode IN (SELECT 'BC' || (s_suppkey * 2) FROM supplier), false) AS ok FROM b9)),
+  LATERAL (VALUES ('seen', seen), ('tagged', kept), ('written', kept), ('filtered_out', seen - kept)) c(name, n)"""))
+def _retag_job(t: Tables):
+    """Header, missing read groups and body written in one pass, read back beside the counters of that pass."""
+    folder = shared_path(t.spark, "retag")
+    key = (F.col("s_suppkey") * 2).cast("string")
+    header = t.read("supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("@RG\tID:BC"), key, F.lit("-1\tSM:known")).alias("value"))
+    counters = barcodes.retag_write(t.b9(), header, folder, allow_list(t), "-1")
+    written = t.spark.read.text(folder)
+    kind = F.when(F.col("value").startswith("@"), "header").otherwise("body")
+    told = t.spark.createDataFrame([(n, "counter", c) for n, c in counters.items()], "value string, kind string, n long")
+    return written.select("value", kind.alias("kind"), F.lit(None).cast("long").alias("n")).unionByName(told)
+
+
 @query("retag_counters", with_sql("b9", """SELECT count(*) AS seen, count(*) FILTER (ok) AS tagged, count(*) FILTER (ok) AS written, count(*) FILTER (NOT ok) AS filtered_out
 FROM (SELECT coalesce(barcode IN (SELECT 'BC' || (s_suppkey * 2) FROM supplier), false) AS ok FROM b9)"""))
 def _retag_counters(t: Tables):
@@ -227,7 +259,8 @@ parts AS (SELECT *, pos AS b, CASE WHEN spliced THEN pos + 49 ELSE pos + 99 END
 
 
 def merged_exons(t: Tables):
-    return exon_merge(exon_prepare(t.b1_exons())).withColumnRenamed("seqname", "chrom")
+    # the range join reads them twice: once for the levels in use
+    return stored(exon_merge(exon_prepare(t.b1_exons())).withColumnRenamed("seqname", "chrom").select("gene_id", "exon_number", "chrom", "start", "end"))
 
 
 def reads(t: Tables):

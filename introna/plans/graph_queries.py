@@ -304,6 +304,25 @@ def _cell_graphs(t: Tables):
     )
 
 
+@query("cell_graph_members", with_sql(BASE, INDEX_SQL + LABEL_SQL + """,
+nodes AS (SELECT cell_id, CAST(node_st + k AS BIGINT) AS pos, round(value, 6) AS value FROM feats JOIN var USING (gene_id, i) JOIN offsets USING (gene_id))
+SELECT cell_id, 'x' AS kind, row_number() OVER (PARTITION BY cell_id ORDER BY pos) - 1 AS place, pos AS a, NULL::BIGINT AS b, value AS w FROM nodes SEMI JOIN labels USING (cell_id)
+UNION ALL SELECT cell_id, 'edge', row_number() OVER (PARTITION BY cell_id ORDER BY "row", col) - 1, "row", col, round(w, 6) FROM scaled SEMI JOIN labels USING (cell_id)
+UNION ALL SELECT cell_id, 'raw', row_number() OVER (PARTITION BY cell_id ORDER BY "row", col) - 1, "row", col, CAST(raw AS DOUBLE) FROM scaled SEMI JOIN labels USING (cell_id)"""))
+def _cell_graph_members(t: Tables):
+    """The arrays of every cell's graph, member by member and in their order."""
+    scaled, raw, nodes = indexed(t)
+    graphs = graph.cell_graphs(nodes, scaled, raw, cell_labels(t))
+
+    def members(kind, array, first, second, weight):
+        second = F.col(f"m.{second}").cast("long") if second else F.lit(None).cast("long")
+        return graphs.select("cell_id", F.posexplode(array).alias("place", "m")).select(
+            "cell_id", F.lit(kind).alias("kind"), F.col("place").cast("long").alias("place"), F.col(f"m.{first}").cast("long").alias("a"), second.alias("b"), r6(f"m.{weight}").alias("w")
+        )
+
+    return members("x", "x", "pos", None, "value").unionByName(members("edge", "edges", "row", "col", "weight")).unionByName(members("raw", "x_adj", "row", "col", "weight"))
+
+
 @query("graph_store_write", with_sql(BASE, INDEX_SQL + """SELECT (SELECT count(DISTINCT cell_id) FROM feats) AS n_cells, count(*) AS n_edges FROM scaled"""))
 def _graph_store(t: Tables):
     """Write the per-cell edge store, then read its manifest."""
@@ -312,7 +331,7 @@ def _graph_store(t: Tables):
     labels = cell_labels(t).select("cell_id", F.col("code").alias("label"))
     folder = shared_path(t.spark, "graphs")
     tables.graph_store_write(tables.graph_store(indexed(t)[0], labels), folder)
-    return t.spark.read.schema("n_cells long, n_edges long").json(f"{folder}/manifest")
+    return tables.graph_store_manifest(t.spark, folder).select("n_cells", "n_edges")
 
 
 @query("edge_audit", with_sql(BASE, GRAPH_SQL + """,

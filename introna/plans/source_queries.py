@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from introna.functions.columns import r6
+from introna.operators.scans import running_before
 from introna.plans.bindings import Tables, with_sql
 from introna.plans.registry import query
 from introna.session import shared_path
@@ -45,6 +46,16 @@ def _gtf_write(t: Tables):
     return text.format_gtf(t.b1().drop("transcript_id", "line_no").withColumn("source", F.lit("merged")))
 
 
+@query("gtf_attribute_values", with_sql("b1", """SELECT line_no - 1 AS line, key, value FROM (
+SELECT line_no, 'gene_id' AS key, gene_id AS value FROM b1 UNION ALL SELECT line_no, 'gene_name', gene_name FROM b1 WHERE gene_name IS NOT NULL
+UNION ALL SELECT line_no, 'transcript_id', transcript_id FROM b1 UNION ALL SELECT line_no, 'exon_number', exon_number FROM b1)"""))
+def _gtf_attribute_values(t: Tables):
+    """Every attribute of every line."""
+    numbered = running_before(t.b1().select("line_no"), ["line_no"], {"line": F.lit(1)})
+    lines = t.b10().filter("line_no IS NOT NULL").join(numbered, "line_no")
+    return text.parse_gtf(lines).select("line", F.explode(text.attribute_map(F.col("attribute"))).alias("key", "value"))
+
+
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from introna.functions.columns import r6
@@ -266,6 +268,38 @@ def _cases(t: Tables):
     return psi_rows(t).groupBy("splice_type", "notes").agg(F.count(F.lit(1)).alias("n"))
 
 
+DENSE_SQL = """,
+known AS (SELECT DISTINCT event_id, splice_type FROM scored), takers AS (SELECT DISTINCT sample_id FROM b5),
+dense AS (SELECT k.event_id, k.splice_type, t.sample_id, s.psi, coalesce(s.notes, 'Case 2: Zero observed reads') AS notes, coalesce(s.a, 0)::BIGINT AS first_reads,
+  CASE WHEN k.splice_type = 'mxe' THEN coalesce(s.x, 0)::BIGINT END AS incompatible_reads
+  FROM known k CROSS JOIN takers t LEFT JOIN scored s ON s.event_id = k.event_id AND s.sample_id = t.sample_id)
+"""
+
+
+def sparse_rows(t: Tables):
+    """The PSI table with its default; the stored rows are read by several steps."""
+    table = splice.sparse_psi(events(t, "se"), events(t, "mxe"), t.b5().select("sample_id", "junction_id", "reads"))
+    return replace(table, rows=stored(table.rows), events=stored(table.events))
+
+
+@query("psi_lookup", with_sql(EVENTS, MEAN_SQL + DENSE_SQL + "SELECT sample_id, event_id, splice_type, first_reads, incompatible_reads, round(psi, 6) AS psi, notes FROM dense"))
+def _psi_lookup(t: Tables):
+    """The default filled in for every sample of every scored event."""
+    table = sparse_rows(t)
+    takers = table.samples.agg(F.collect_set("sample_id")).scalar()  # fifty samples
+    pairs = table.events.select("event_id", F.explode(takers).alias("sample_id"))
+    return table.lookup(pairs).select(
+        "sample_id", "event_id", "splice_type", F.col("isoform1_junction13").alias("first_reads"),
+        F.col("incompatible_junction14").alias("incompatible_reads"), r6("psi").alias("psi"), "notes",
+    )
+
+
+@query("psi_case_counts", with_sql(EVENTS, MEAN_SQL + DENSE_SQL + "SELECT splice_type, notes, count(*) AS n FROM dense GROUP BY ALL"))
+def _case_counts(t: Tables):
+    """Cases over all samples and events, without listing those that are not stored."""
+    return sparse_rows(t).case_counts()
+
+
 @query("psi", with_sql(EVENTS, MEAN_SQL + "SELECT sample_id, event_id, round(psi, 6) AS psi FROM scored"))
 def _psi(t: Tables):
     return psi_rows(t).select("sample_id", "event_id", r6("psi").alias("psi"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,35 +26,63 @@ def cell_id_from_name(name: str) -> str:
     return re.sub(CELL_ID, r"\1\2\3", name, count=1)
 
 
+def count_columns(names: Sequence[str], cells: Sequence[str] | None = None) -> dict[str, int]:
+    """Place of every wanted cell among the count columns of a header."""
+    places: dict[str, int] = {}
+    for place, name in enumerate(names):
+        cell = cell_id_from_name(name)
+        if cell in places:
+            raise ValueError(f"cell {cell!r} is a duplicate: columns {names[places[cell]]} and {name} both name it")
+        places[cell] = place
+    missing = [c for c in cells or () if c not in places]
+    if missing:
+        raise ValueError(f"cells without a count column: {missing[:5]}")
+    return places if cells is None else {c: places[c] for c in cells}
+
+
+def _long_counts(rows: DataFrame, annotation: Sequence[str], values: str, places: dict[str, int]) -> DataFrame:
+    """Positive counts of the wanted places of an array of texts, named by cell."""
+    number = lambda i: F.struct(i.alias("place"), F.get(values, i).try_cast("double").alias("count"))
+    held = F.filter(F.transform(F.lit(sorted(places.values())), number), lambda e: e["count"] > 0)
+    long = rows.select(*[F.col(f"`{a}`") for a in annotation], F.inline(held))
+    # one row per column of the header line
+    named = rows.sparkSession.createDataFrame([(p, c) for c, p in places.items()] or [(None, None)], "place int, cell_id string")
+    return long.join(F.broadcast(named), "place").select(*[F.col(f"`{a}`") for a in annotation], "cell_id", "count")
+
+
 def grouped_counts(wide: DataFrame, annotation: Sequence[str], cells: Sequence[str] | None = None) -> DataFrame:
     """Wide count table to long (annotation, cell_id, count); only positive counts stay.
 
-    Column names are the schema of the file, so the cell ids are derived on the driver; the
-    columns of other cells are cut before the unpivot and never read from a columnar source.
+    Column names are the schema, so the cell ids are derived on the driver; the columns of other cells
+    are cut and never read from a columnar source.
     """
-    by_cell: dict[str, str] = {}
-    for column in wide.columns[len(annotation):]:
-        cell = cell_id_from_name(column)
-        if cell in by_cell:
-            raise ValueError(f"cell {cell!r} is a duplicate: columns {by_cell[cell]} and {column} both name it")
-        by_cell[cell] = column
-    wanted = list(by_cell) if cells is None else list(cells)
-    missing = [c for c in wanted if c not in by_cell]
-    if missing:
-        raise ValueError(f"cells without a count column: {missing[:5]}")
-    quoted = lambda c: F.col(f"`{c}`")
-    number = lambda c: F.coalesce(quoted(c).try_cast("double"), F.lit(0.0))
-    pruned = wide.select(*[quoted(a) for a in annotation], *[number(by_cell[c]).alias(c) for c in wanted])
-    long = pruned.unpivot([f"`{a}`" for a in annotation], [f"`{c}`" for c in wanted], "cell_id", "count")
-    return long.filter(F.col("count") > 0)
+    names = wide.columns[len(annotation):]
+    places = count_columns(names, cells)
+    held = F.array(*[F.col(f"`{names[p]}`").cast("string") for p in sorted(places.values())])
+    packed = wide.select(*[F.col(f"`{a}`") for a in annotation], held.alias("_values"))
+    order = {p: i for i, p in enumerate(sorted(places.values()))}
+    return _long_counts(packed, annotation, "_values", {c: order[p] for c, p in places.items()})
 
 
 def grouped_counts_scan(
     spark: SparkSession, path: str, annotation: Sequence[str] = COUNT_ANNOTATION, cells: Sequence[str] | None = None
 ) -> DataFrame:
-    """Read a wide tab-separated count file (comment lines allowed) as a long table."""
-    wide = spark.read.csv(path, sep="\t", comment="#", header=True, quote="")
-    return grouped_counts(wide, annotation, cells)
+    """Read a wide tab-separated count file (comment lines allowed) as a long table.
+
+    A line is split once and walked by position, so the plan has the same few operators for any number of
+    cells. The files of a folder share one header line.
+    """
+    lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.col("value") != ""))
+    head = lines.first()
+    header = head[0].split("\t") if head is not None else []
+    if header[: len(annotation)] != list(annotation):
+        raise ValueError(f"no header with the columns {', '.join(annotation)}: {path}")
+    places = count_columns(header[len(annotation):], cells)
+    fields = F.split("value", "\t", -1)
+    split = lines.filter(F.col("value") != head[0]).select(fields.alias("_f"))
+    n = len(annotation)
+    rows = split.select(*[F.get("_f", F.lit(i)).alias(a) for i, a in enumerate(annotation)], F.slice("_f", n + 1, F.greatest(F.size("_f") - n, F.lit(0))).alias("_values"))
+    return _long_counts(rows, annotation, "_values", places)
 
 
 def per_cell_counts_scan(
@@ -138,6 +167,48 @@ def graph_manifest(store: DataFrame) -> DataFrame:
     )
 
 
-def graph_store_write(store: DataFrame, path: str) -> None:
-    store.write.mode("overwrite").parquet(f"{path}/cells")
-    graph_manifest(store.sparkSession.read.parquet(f"{path}/cells")).write.mode("overwrite").json(f"{path}/manifest")
+def graph_store_write(store: DataFrame, path: str, commit: bool = True) -> str:
+    """Write a version of the store below ``path``; its manifest, written last, makes it the present one.
+
+    A version is a folder of its own that no later one touches. Until the manifest names it, readers see
+    the version before, whole; so a driver lost on the way leaves no mixture.
+    """
+    version = uuid.uuid4().hex
+    folder = f"{path}/versions/{version}"
+    store.write.parquet(folder)
+    if commit:
+        graph_store_commit(store.sparkSession, path, version)
+    return version
+
+
+def graph_store_commit(spark: SparkSession, path: str, version: str) -> None:
+    made = graph_manifest(spark.read.parquet(f"{path}/versions/{version}"))
+    # appended as one file, which shows only when it is whole; the highest number is the present version
+    known = _manifests(spark, path)
+    number = 0 if known is None else known.agg(F.max("number")).first()[0] + 1
+    made.select(F.lit(number).cast("long").alias("number"), F.lit(version).alias("version"), "n_cells", "n_edges").coalesce(1).write.mode("append").json(f"{path}/manifest")
+
+
+def _manifests(spark: SparkSession, path: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema("number long, version string, n_cells long, n_edges long").json(f"{path}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def graph_store_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(version, n_cells, n_edges) of the present version; an error if there is none."""
+    known = _manifests(spark, path)
+    if known is None:
+        raise ValueError(f"no graph store at {path}")
+    return known.orderBy(F.col("number").desc(), F.col("version").desc()).limit(1).drop("number")
+
+
+def graph_store_read(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of the present version."""
+    version = graph_store_manifest(spark, path).first()["version"]
+    return spark.read.parquet(f"{path}/versions/{version}")

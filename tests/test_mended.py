@@ -78,14 +78,14 @@ def test_compare_by_pair(spark):
     assert got == {("p", "x", "first"), ("p", "y", "both"), ("q", "y", "first"), ("q", "z", "second")}
 
 
-def test_write_by_cell_splits_large_cells(spark, tmp_path):
-    from introna.operators.counts import write_by_cell
+def test_export_by_cell_splits_large_cells(spark, tmp_path):
+    from introna.operators.counts import export_by_cell
 
     rows = spark.createDataFrame([("big", i) for i in range(90)] + [("small", 1)], "cell_id string, count long")
     key = "spark.sql.adaptive.coalescePartitions.enabled"  # else so few rows are put together again
     spark.conf.set(key, "false")
     try:
-        write_by_cell(rows, f"{tmp_path}/cells", rows_per_file=20)
+        export_by_cell(rows, f"{tmp_path}/cells", rows_per_file=20)
     finally:
         spark.conf.set(key, "true")
     files = {d: len([f for f in os.listdir(f"{tmp_path}/cells/{d}") if f.endswith(".parquet")]) for d in os.listdir(f"{tmp_path}/cells") if d.startswith("cell_id")}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from introna.plans import pipelines
 from introna.plans.bindings import Tables
+from introna.sources.tables import graph_store_manifest
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
@@ -31,7 +32,7 @@ def test_graphs(spark, tmp_path):
     junctions = t.b3().select("cell_id", "gene_id", "start", "end", F.col("uniq").alias("count"))
     made = pipelines.generate_graphs(counts, junctions, counts.select("cell_id", "gene_id", "count"), t.exons(), cells, t.genes(), "kind", str(tmp_path), 8)
     sums = made["edge_index"].count()
-    manifest = spark.read.json(f"{tmp_path}/graphs/manifest").first()
+    manifest = graph_store_manifest(spark, f"{tmp_path}/graphs").first()
     assert manifest["n_edges"] == sums and manifest["n_cells"] == cells.count()
 
 
