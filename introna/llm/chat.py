@@ -5,8 +5,9 @@ once as the prompt, and what follows on either side as two completions. A mask n
 completion that count in training: the assistant's texts with their end marks.
 
 Defined results: turns come in the order of their number, repeated numbers by role and text; turns
-without number come first; a null role reads ``unknown``, a null text is empty; marks inside a text are
-broken up, so that no text can forge a turn; a pair of which one conversation does not exist gives no
+without number come first; a null role reads ``unknown``, a null text is empty; marks inside a text or
+a role are broken up and lines of a role joined, so that neither can forge a turn; texts of any length are
+rendered whole; only the four columns are read, whatever further ones are named; a pair of which one conversation does not exist gives no
 row; a pair is usable if both completions hold an assistant turn, so equal conversations are not; empty
 tables give an empty result.
 """
@@ -51,10 +52,10 @@ def preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask, usable."""
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit(1).alias("side"), F.col("rejected_id").alias("conv_id"))))
     wanted = pairs.select("pair_id", sides.alias("s")).select("pair_id", "s.side", "s.conv_id")
-    role = F.coalesce("role", F.lit("unknown"))
+    role = F.replace(F.replace(F.coalesce("role", F.lit("unknown")), F.lit("<|"), F.lit("< |")), F.lit("\n"), F.lit(" "))
     text = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")), F.lit(END))
     line = F.concat(F.lit(START), role, F.lit("\n"), text)
-    trained = F.when(role == TRAINED, F.length(text)).otherwise(0)
+    trained = F.when(F.col("role") == TRAINED, F.length(text)).otherwise(0)
     turns = conversations.select("conv_id", F.struct("turn", "role", "text", line.alias("line"), trained.alias("trained")).alias("t"))
 
     def of(side: int) -> Column:

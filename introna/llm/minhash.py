@@ -15,9 +15,13 @@
 With 40 bands of 7 minima a pair of similarity 0.8 meets in no bucket with probability 8e-5, one of 0.9
 with 1e-11. Hashes of shingles have 64 bits.
 
+Blocks are cut by rows and by bytes of what they hold, down to one document against one.
+
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing; a row
-without doc_id is linked with nothing and kept; rows that share a doc_id are one document; repeated
-texts are one class; an empty table gives an empty result.
+without doc_id is linked with nothing and kept; rows that share a doc_id stand each for their own text:
+the class of a text has the smallest doc_id that any row with it has; repeated texts are one class; texts
+of any length count whole; only doc_id and text are read, and other columns, whatever their names, pass
+through `drop_near_duplicates`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +42,7 @@ from introna.llm.shingles import mixed, shingle_sets
 BANDS, ROWS = 40, 7
 SEED = 17
 BLOCK = 256  # classes per side of a block comparison
+BLOCK_BYTES = 1 << 24  # and bytes of their full sets, unless a single set is larger
 SIGNATURE_SLACK = 12  # percentage points below the threshold that a signature may show
 BROADCAST_IDS = 500_000  # so many ids (8 bytes each) may be broadcast
 
@@ -95,14 +100,22 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its whole set as packed sorted 64-bit hashes."""
+    """doc_id, set_key, size (bytes) and the whole set as packed sorted 64-bit hashes."""
 
     def run(batches):
         for batch in batches:
             packed = [h.tobytes() for h in shingle_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(packed, pa.binary())], ["node", "load"])
+            keys = [xxhash.xxh3_128_digest(p) if p else None for p in packed]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array([len(p) for p in packed], pa.int64()), pa.array(packed, pa.binary()),
+            ], ["doc_id", "set_key", "size", "load"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_key binary, size long, load binary")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, load binary")
+
+def _blocks(rows: Column, size: Column) -> Column:
+    """Blocks for so many rows that hold so many bytes."""
+    return F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
 
 
 def _signature_matches(percent: int):
@@ -212,12 +225,13 @@ def tiles_of(members: DataFrame, loads: DataFrame) -> DataFrame:
     has the blocks of all other members, side 1 those of all members; of two blocks of others, one order is
     enough, and the forests of both orders agree.
     """
-    sizes = members.groupBy("group", "comp").agg(F.count("*").alias("n"))
-    groups = sizes.groupBy("group").agg(F.sum("n").alias("all"), F.max(F.struct("n", F.col("comp"))).alias("main"))
-    groups = groups.select(
-        "group", F.col("main.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
-        F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("others"),
-    ).where("others > 0")
+    sized = members.join(loads.select("node", "size"), "node")
+    sizes = sized.groupBy("group", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    groups = sizes.groupBy("group").agg(F.sum("n").alias("all"), F.sum("size").alias("bytes"), F.max(F.struct("n", "comp", "size")).alias("main"))
+    groups = groups.where("all > main.n").select(
+        "group", F.col("main.comp").alias("main"), _blocks(F.col("all"), F.col("bytes")).alias("blocks"),
+        _blocks(F.col("all") - F.col("main.n"), F.col("bytes") - F.col("main.size")).alias("others"),
+    )
     placed = members.join(groups, "group").withColumn("place", F.xxhash64("node"))
     block = F.pmod("place", F.col("blocks")).cast("int")
     other = F.pmod("place", F.col("others")).cast("int")
@@ -227,19 +241,20 @@ def tiles_of(members: DataFrame, loads: DataFrame) -> DataFrame:
     tiles = sides.select("group", "node", "comp", "side", F.explode(against).alias("t")).select(
         F.xxhash64("group", "t.a", "t.b").alias("tile"), "side", "node", "comp"
     )
-    return tiles.join(loads, "node")
+    return tiles.join(loads.select("node", "load"), "node")
 
 
 def star_tiles(pairs: DataFrame, loads: DataFrame) -> DataFrame:
     """Blocks of (leader, member) pairs: the leader on side 0 of each of its blocks, members on side 1."""
-    blocks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = pairs.join(loads.select("node", "size"), "node")
+    blocks = sized.groupBy("leader").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks"))
     members = pairs.join(blocks, "leader").select(
         F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("tile"), F.lit(1).alias("side"), "node"
     )
     leaders = blocks.select(
         F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")
     ).select(F.xxhash64("node", "i").alias("tile"), F.lit(0).alias("side"), "node")
-    return leaders.union(members).withColumn("comp", F.col("node")).join(loads, "node").select("tile", "side", "node", "comp", "load")
+    return leaders.union(members).withColumn("comp", F.col("node")).join(loads.select("node", "load"), "node").select("tile", "side", "node", "comp", "load")
 
 
 def only(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
@@ -251,11 +266,18 @@ def only(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, set_key."""
     signed = stored(sign(docs, width), "signed")
-    sets = stored(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")), "sets")
-    known = signed.withColumnRenamed("doc_id", "node").join(sets, ["node", "set_key"]).dropDuplicates(["node"])
-    slim = stored(known.select("node", "n_shingles", "bands", F.col("signature").alias("load")), "classes")
+    firsts = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"))
+    firsts = stored(firsts, "set-firsts")
+    # a class is named by its smallest doc_id, or, where several sets have the same, by a number of its own below all ids in use
+    shared = firsts.groupBy("first").count().where("count > 1").select("first", F.lit(True).alias("shared"))
+    own = F.xxhash64("set_key").bitwiseOR(F.lit(-(1 << 63)))
+    sets = firsts.join(shared, "first", "left").select("set_key", "first", F.when(F.col("shared"), own).otherwise(F.col("first")).alias("node"))
+    sets = stored(sets, "sets")
+    known = signed.withColumnRenamed("doc_id", "first").join(sets, ["first", "set_key"]).dropDuplicates(["node"])
+    slim = known.select("node", "n_shingles", "bands", F.col("signature").alias("load"), F.lit(2 * BANDS * ROWS).cast("long").alias("size"))
+    slim = stored(slim, "classes")
 
     keyed = slim.select("node", "n_shingles", F.explode("bands").alias("group"))
     shared = keyed.groupBy("group").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -267,8 +289,10 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     pairs = pairs.where(100 * F.least("size", "n_shingles") >= percent * F.greatest("size", "n_shingles"))
     pairs = pairs.join(slim.select("node", "load"), "node").select("leader", "node", "lead", "load")
     pairs = stored(_look_alike(pairs, percent), "star-pairs")
-    texts = only(docs.where("doc_id is not null"), members.select("node"), "doc_id").dropDuplicates(["doc_id"])
-    loads = stored(full_sets(texts, width), "full-sets")
+    wanted = stored(only(sets, members.select("node"), "node").select("first", "set_key", "node"), "wanted-sets")
+    texts = only(docs.where("doc_id is not null"), wanted.select("first"), "doc_id")
+    loads = full_sets(texts, width).withColumnRenamed("doc_id", "first").join(wanted, ["first", "set_key"]).select("node", "size", "load")
+    loads = stored(loads.dropDuplicates(["node"]), "full-sets")
     first = stored(compare_blocks(star_tiles(pairs, loads), _set_matches(percent), _forest), "links")
     labels = stored(components(first), "labels")
 
@@ -276,17 +300,23 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     labelled = members.select("group", "node").join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("comp"))
     mixed_groups = labelled.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group")
     live = stored(labelled.join(mixed_groups, "group", "left_semi"), "live-buckets")
-    alike = stored(compare_blocks(tiles_of(live, slim.select("node", "load")), _signature_matches(percent), _all_ends), "alike")
+    alike = stored(compare_blocks(tiles_of(live, slim.select("node", "size", "load")), _signature_matches(percent), _all_ends), "alike")
     families = components(alike)
     members = families.withColumnRenamed("component", "group").join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("comp"))
     second = compare_blocks(tiles_of(stored(members, "families"), loads), _set_matches(percent), _forest)
     stars = labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = components(stars.union(second)).withColumnRenamed("node", "class_id")
 
-    named = sets.withColumnRenamed("node", "class_id").join(final, "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id"))
+    named = sets.withColumnRenamed("node", "class_id").join(final, "class_id", "left").select("set_key", "first", F.coalesce("component", "class_id").alias("component"))
+    # components named by a number of their own get the smallest doc_id in them
+    numbers = sets.where("node <> first").select(F.col("node").alias("component"))
+    least = named.join(numbers, "component", "left_semi").groupBy("component").agg(F.min("first").alias("least"))
+    named = named.join(least, "component", "left").select("set_key", F.coalesce("least", "component").alias("component_id"))
     joined = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), "set_key").select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_key"
+    )
 
 
 def _look_alike(pairs: DataFrame, percent: int) -> DataFrame:
@@ -303,13 +333,32 @@ def _look_alike(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "leader long, node long")
 
 
+def with_set_key(rows: DataFrame, width: int) -> DataFrame:
+    """(row, text, set_key) of (row, text)."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("set_key", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            keys = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in shingle_sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "set_key"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component stays; columns as given.
 
-    Rows that share a doc_id count as one document, of which one row stays.
+    A row goes only if a near-copy of its own text stays. Of rows with one doc_id and one set of shingles
+    the one with the smallest text stays; those without words stay all.
     """
     found = stored(classes(docs, width, percent), "near-duplicates")
-    left = only(docs, found.where("not kept").select("doc_id"), "doc_id", "left_anti")
     repeated = stored(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    once = only(left, repeated, "doc_id").dropDuplicates(["doc_id"])
-    return only(left, repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    gone = found.where("not kept").select("doc_id")
+    single = only(only(docs, repeated, "doc_id", "left_anti"), gone, "doc_id", "left_anti").select(*docs.columns)
+    # rows of a repeated doc_id are told apart by their sets
+    several = only(docs, repeated, "doc_id").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    keyed = with_set_key(several, width)
+    kept = found.where("kept and set_key is not null").select(F.col("doc_id").alias("id"), F.col("set_key").alias("key")).distinct()
+    sure = keyed.join(kept, (F.col("row.doc_id") == F.col("id")) & (F.col("set_key") == F.col("key")))
+    one_each = sure.groupBy("id", "key").agg(F.min_by("row", "text").alias("row")).select("row.*")
+    return single.unionByName(one_each).unionByName(keyed.where("set_key is null").select("row.*"))

@@ -36,7 +36,7 @@ CHAT_SQL = """
 WITH turns AS (
     SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i,
-        '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS line,
+        '<|im_start|>' || replace(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(10), ' ') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS line,
         CASE WHEN role = 'assistant' THEN length(replace(coalesce(text, ''), '<|', '< |')) + 11 ELSE 0 END AS trained
     FROM conversations WHERE conv_id IS NOT NULL),
 sides AS (SELECT pair_id, max(i) FILTER (WHERE side = 0) AS n, max(i) FILTER (WHERE side = 1) AS m FROM turns GROUP BY pair_id),
@@ -139,7 +139,7 @@ def op7_toxicity(spark, folder):
 @query("op8_minhash")
 def op8_minhash(spark, folder):
     """Near-duplicate classes of all documents."""
-    return minhash.classes(table(spark, folder, "documents"), width=2, percent=80)
+    return minhash.classes(table(spark, folder, "documents"), width=2, percent=80).drop("set_key")
 
 
 NEAREST_SQL = """

@@ -197,6 +197,26 @@ def test_drop_near_duplicates(spark, monkeypatch):
     assert minhash.classes(frame(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_stand_for_their_own_texts(spark):
+    a, q, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "aqz")
+    rows = [(1, a), (1, q), (2, a), (3, q), (1, ""), (1, " "), (4, z), (4, z), (4, z + " more"), (5, z + " more")]
+    docs = frame(spark, [(i, t, "en", "s", None) for i, t in rows])
+    found = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.classes(docs).collect())
+    assert found == Counter({(1, 1, True): 4, (2, 1, False): 1, (3, 1, False): 1, (4, 4, True): 3, (5, 4, False): 1})
+    left = Counter((r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs).collect())
+    assert left[1, a] == left[1, q] == left[1, ""] == left[1, " "] == left[4, z] == 1
+    assert not {i for i, _ in left} - {1, 4}
+
+
+def test_large_sets_meet_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 1 << 16)
+    base = [f"w{i}" for i in range(200_000)]
+    near = [*base[:60_000], "x", *base[60_001:]]
+    rows = [(7, " ".join(base)), (3, " ".join(near)), (9, " ".join(base[:100_000]))]
+    docs = frame(spark, [(i, t, "en", "s", None) for i, t in rows])
+    assert {r.doc_id: r.component_id for r in minhash.classes(docs).collect()} == {7: 3, 3: 3, 9: 9}
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
