@@ -270,3 +270,66 @@ def test_roles_cannot_forge_turns(spark):
     row = chat.preferences(frame, chat.neighbours_by_id(frame)).first()
     assert row.chosen.count("<|im_start|>") == row.chosen.count("<|im_end|>") == 1 and row.chosen.count("\n") == 2
     assert row.chosen_mask == "" and not row.usable
+
+
+def test_permutations_move_everything_and_keep_formats():
+    for size in (1, 2, 3, 10, 257, 1000):
+        got = [surrogates.permuted("k", "x", i, size) for i in range(size)]
+        assert sorted(got) == list(range(size)) and (size == 1 or all(a != b for a, b in enumerate(got)))
+    spaces = {
+        "ip": [f"172.{16 + i % 16}.{i // 16}.7" for i in range(400)] + [f"8.8.{i}.{i}" for i in range(200)] + [f"239.1.{i}.3" for i in range(200)],
+        "ssn": [f"{i:09d}" for i in range(300)], "phone": [f"+4930{i:04d}" for i in range(300)] + [f"415555{i:04d}" for i in range(300)],
+        "card": [body + next(d for d in "0123456789" if surrogates.card_sum(body + d) == 0) for body in (f"411111111111{i:03d}" for i in range(300))],
+    }
+    for kind, values in spaces.items():
+        made = [surrogates.surrogate("k", kind, v, "", 0) for v in values]
+        assert len(set(made)) == len(set(values)) and not any(a == b for a, b in zip(values, made))
+        for value, new in zip(values, made):
+            if kind == "ip":
+                parts = [[int(x) for x in v.split(".")] for v in (value, new)]
+                assert surrogates._ip_class(sum(x << 24 - 8 * i for i, x in enumerate(parts[0]))) == surrogates._ip_class(sum(x << 24 - 8 * i for i, x in enumerate(parts[1])))
+            else:
+                assert len(new) == len(value) and (kind != "card" or surrogates.card_sum(new) == 0 and new[0] == "4") and (not value.startswith("+") or new[:2] == value[:2])
+    iban = surrogates.surrogate("k", "iban", "GB82WEST12345698765432", "", 0)
+    assert re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", iban) and surrogates.iban_rest(iban) == 1
+
+
+def test_a_full_network_needs_no_second_try(spark):
+    texts = [" ".join(f"192.168.{a}.{b}" for b in range(256)) for a in range(256)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    made = [x for r in surrogates.replace(frame).collect() for x in r.text.split()]
+    assert len(made) == len(set(made)) == 65536 and all(x.startswith("192.168.") for x in made)
+
+
+NAMED = [
+    "Frau Anna Müller und Dr. Anna Müller, Müller sagte; Herr Doktor Müller.", "Dr. Anna and Prof Anna Weber met MR. WEBER.", "Mr John Weber, later Weber and JOHN.",
+    "Dr. Robin Lee, Ms Robin Lee, Mr Robin Lee", "password=AbcDEF12 and password=abcdef12 and token: AbcDEF12", "Dr 田中 太郎, 田中", "Господин Иванов и Доктор Иванов", "Mr محمد علي.", "no names: Müller Weber",
+]
+
+
+def test_coreference_over_a_corpus_equals_a_dictionary(spark):
+    """One dictionary over the corpus: same entity same surrogate, different entities different ones, form by form."""
+    rows = [(i, t, "x", "y") for i, t in enumerate(NAMED)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _tries string, n_entities string")
+    made = {r.doc_id: r for r in surrogates.replace(frame).collect()}
+    assert made[0]._tries == "x"
+    known = {}
+    for i, text in enumerate(NAMED):
+        new, at, shift = made[i].text, 0, 0
+        for start, end, kind, canonical, _ in surrogates.find(text):
+            assert new[at + shift : start + shift] == text[at:start]
+            at = end
+            nxt = next((e[0] for e in surrogates.find(text) if e[0] >= end), len(text))
+            between = text[end:nxt]
+            stop = new.index(between, start + shift) if between and nxt < len(text) else len(new) - len(text[end:])
+            value = new[start + shift : stop]
+            shift = stop - end
+            original = text[start:end]
+            assert value != original and value.isupper() == original.isupper() or kind == "secret"
+            assert surrogates.script_of(value) == surrogates.script_of(original)
+            assert known.setdefault((kind, canonical), value.lower() if kind == "name" else value) == (value.lower() if kind == "name" else value)
+    assert len(set(known.values())) == len(known)
+    assert known["name", "anna"].endswith("a") and known["name", "john"][-1] in "nrsldt"
+    assert made[8].text == NAMED[8]
+    secrets = [v for (kind, _), v in known.items() if kind == "secret"]
+    assert len(set(secrets)) == 2 and all(len(v) == 8 for v in secrets)
