@@ -2,10 +2,12 @@
 
 Documents are encoded once and counted by exact length; the histogram has at most one row per length,
 and suffix sums over it answer every context limit at once: how many documents and tokens there are,
-how many fit, what a truncation would keep, and which share of documents is no longer than the limit.
+how many fit, what a truncation would keep, and which share of documents is no longer than the limit. A limit
+at which no document ends has the sums of the next longer length, found by block.
 
-Defined results: a null or empty text has length 0; repeated rows count one by one; an empty table gives
-an empty result.
+Defined results: a null or empty text has length 0; repeated rows count one by one; texts of any length
+are encoded whole; only the text and the columns of ``by`` are read, so further ones and their names do
+not matter; a limit that is null or negative gives no answer; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,6 +53,23 @@ def limits(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def at(counts: DataFrame, asked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """`limits` at any context limit: one row per group and distinct ``context_limit`` of ``asked``, whether a document has that length or not.
+
+    A limit is put beside the lengths of its block, with no documents of its own, and takes its place in
+    the block's suffix sums; in a group that has no length in that block, the blocks above give them.
+    """
+    wanted = asked.where("context_limit >= 0").select(F.col("context_limit").cast("long").alias("n_tokens")).distinct()
+    # the limits asked for are a stated few; every group is held against them
+    listed = wanted.agg(F.collect_list("n_tokens")).scalar()
+    grid = counts.select(*by).distinct().select(*by, F.explode(listed).alias("n_tokens")) if by else wanted
+    both = counts.select(*by, "n_tokens", "docs", F.lit(False).alias("is_asked")).unionByName(grid.select(*by, "n_tokens", F.lit(0).cast("long").alias("docs"), F.lit(True).alias("is_asked")))
+    merged = both.groupBy(*by, "n_tokens").agg(F.sum("docs").alias("docs"), F.bool_or("is_asked").alias("is_asked"))
+    answers = limits(merged, by).where("total_docs > 0")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by] + [F.col("a.context_limit") == F.col("w.n_tokens")]
+    return answers.alias("a").join(merged.where("is_asked").alias("w"), same, "left_semi")
+
+
 def quantile_lengths(answers: DataFrame, shares: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """The smallest length that holds each share of the documents."""
     found = [F.min(F.when(F.col("quantile") >= s, F.col("context_limit"))).alias(f"q{round(100 * s)}") for s in shares]

@@ -333,3 +333,20 @@ def test_coreference_over_a_corpus_equals_a_dictionary(spark):
     assert made[8].text == NAMED[8]
     secrets = [v for (kind, _), v in known.items() if kind == "secret"]
     assert len(set(secrets)) == 2 and all(len(v) == 8 for v in secrets)
+
+
+def test_token_counts_at_absent_limits(spark):
+    lengths = [(g, n) for g, found in (("a", [0, 3, 3, 10, 5000]), (None, [7, 2000, 2000])) for n in found]
+    counts = spark.createDataFrame(lengths, "g string, n_tokens long").groupBy("g", "n_tokens").count().withColumnRenamed("count", "docs")
+    asked = [0, 1, 3, 9, 10, 1024, 2048, 4096, 5000, 9999]
+    limits = spark.createDataFrame([(x,) for x in [*asked, 10, None, -4]], "context_limit int")
+    for by in ((), ("g",)):
+        rows = token_counts.at(counts.groupBy(*by, "n_tokens").sum("docs").withColumnRenamed("sum(docs)", "docs"), limits, by).collect()
+        groups = ["a", None] if by else ["all"]
+        assert len(rows) == len(groups) * len(asked)
+        for r in rows:
+            own = [n for g, n in lengths if not by or g == r.g]
+            limit = r.context_limit
+            assert (r.docs, r.docs_longer, r.tokens_longer) == (own.count(limit), sum(n > limit for n in own), sum(n for n in own if n > limit))
+            assert (r.total_docs, r.total_tokens, r.truncated_tokens) == (len(own), sum(own), sum(min(n, limit) for n in own))
+    assert token_counts.at(counts.where("docs < 0"), limits).count() == 0
