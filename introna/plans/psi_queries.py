@@ -127,9 +127,9 @@ def _rank_sum_imputed(t: Tables):
     """Rank sums over every cell and kept event, filled entries counted and not written out."""
     rows = values(t)
     clusters = stored(sixty_cells(t, rows))
-    stored = rows.join(psi.kept_events(rows), "event_id", "left_semi").filter("psi IS NOT NULL")
+    held = rows.join(psi.kept_events(rows), "event_id", "left_semi").filter("psi IS NOT NULL")
     implicit = psi.psi_cluster_fill(rows, clusters).select("event_id", F.col("cluster").alias("group"), F.col("fill").alias("psi"), F.col("missing").alias("c"))
-    found = psi.rank_sum_test(stored, clusters.withColumnRenamed("cluster", "group"), implicit=implicit)
+    found = psi.rank_sum_test(held, clusters.withColumnRenamed("cluster", "group"), implicit=implicit)
     return found.select("event_id", "group", "n", r6("z").alias("z"), tail("p_val").alias("p_tail"))
 
 
