@@ -12,12 +12,15 @@ the model behind their evidence has not seen (each half of the training rows by
 
 Bounds: models and curve come from at most ``SAMPLE_CHARS`` characters and ``SAMPLE_DOCS`` documents of
 each class, single documents in hashed order, so that the model may be broadcast: all of them, whole,
-where they fit; else a text counts up to its first 1/64 of ``SAMPLE_CHARS``. Equal rows count once.
+where they fit; else no text counts more than 1/64 of ``SAMPLE_CHARS``, and a longer one gives pieces from
+all over it, chosen by their hash. Equal rows count once.
 
 Defined results: a null, empty or wordless text has only neutral evidence; rows of one doc_id are scored
 each by its text; a doc_id without label, or with a null label, trains nothing; of several labels of one
 doc_id the largest counts; a row without doc_id is not held out; where a class has no labelled rows,
-every score is the smoothed share of toxic labels; an empty table gives an empty result.
+every score is the smoothed share of toxic labels; texts of any length are scored whole; only doc_id and
+text of the documents are read, so further columns and their names do not matter; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from introna.llm.common import hashed, stored
 
 SAMPLE_CHARS, SAMPLE_DOCS = 1 << 24, 1 << 14  # of labelled text, per class
 SHARES = 64  # where a class exceeds its bounds, one document uses at most this part of the characters
+PIECE = r"(?s).{1,512}\S*"  # piece of a text of which a part counts; words stay whole
 HEAD = 5  # letters of a word's head
 TEMPERS, TOPS, NEUTRAL = (0.4, 0.7, 1.0), (1, 3, 6), 20
 PRIOR = 1.0  # weight of the prior that keeps the curve's coefficients small
@@ -87,9 +91,13 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     taken = _within(sized.withColumn("chars", used))
     share = sized.groupBy("toxic").agg(F.count("*").alias("all")).join(taken.groupBy("toxic").agg(F.count("*").alias("some")), "toxic")
     share = share.select("toxic", (F.col("all") / F.col("some")).alias("weight"))
-    chosen = stored(taken.join(share, "toxic").select("doc_id", "digest", "toxic", "fold", "chars", "weight"), "label-sample")  # SAMPLE_DOCS rows per class at most
+    chosen = stored(taken.join(F.broadcast(share), "toxic").select(  # a row per class
+"doc_id", "digest", "toxic", "fold", "chars", "weight"), "label-sample")  # SAMPLE_DOCS rows per class at most
     found = docs.select("doc_id", "text", digest).join(F.broadcast(chosen), ["doc_id", "digest"])
-    found = found.withColumn("text", F.expr("substring(text, 1, chars)")).groupBy("doc_id", "digest", "toxic", "fold", "weight").agg(F.first("text").alias("text"))
+    found = found.groupBy("doc_id", "digest", "toxic", "fold", "weight", "chars").agg(F.first("text").alias("text"))
+    lot = lambda i: F.pmod(F.xxhash64("digest", i), F.lit(1_000_003)) * F.length("text") < F.col("chars") * 1_000_003
+    part = F.array_join(F.filter(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)), lambda _, i: lot(i)), "")
+    found = found.withColumn("text", F.when(F.length("text") > F.col("chars"), part).otherwise(F.col("text"))).drop("chars")
     return stored(found.drop("digest"), "labelled")
 
 
