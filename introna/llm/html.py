@@ -3,16 +3,21 @@
 A small tree builder reads tags, supplies the end tags HTML leaves out and drops what is not shown
 (scripts, styles, hidden elements, closed details, fallbacks, what svg and math only describe or define); the renderer walks the tree without
 recursion. Blocks are kept apart by line breaks or blank lines, list items carry marks and indents,
-table cells stand in aligned columns, preformatted text keeps its spaces.
+table cells stand in aligned columns, preformatted text keeps its spaces. A cell is a block of lines of its
+own, with the lists, paragraphs and tables it holds; inner tables are laid out before outer ones. Cells that
+span rows keep their columns. What is hidden by visibility shows again where an inner element says so.
 
 Defined results: null or empty pages give the empty text; broken markup never fails: unclosed elements
-end with their parent or the page, stray end tags are dropped; tables inside a cell are set in one line;
-repeated rows give equal results; an empty table gives an empty result.
+end with their parent or the page, stray end tags are dropped; pages of any length are read whole;
+repeated rows give equal results; all columns but the page pass through, whatever their names, except
+``text``, which is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
 from collections import Counter
 
@@ -54,14 +59,17 @@ TOKEN = re.compile(
 )
 UNENDED = re.compile(r"<[!?/]")
 SPACES = re.compile(r"[ \t\n\f\r]+")
-HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 
 class Node:
-    __slots__ = ("name", "attributes", "children", "hidden")
+    __slots__ = ("name", "attributes", "children", "hidden", "unseen", "lines")
 
     def __init__(self, name: str, attributes: str = ""):
-        self.name, self.attributes, self.children, self.hidden = name, attributes, [], False
+        self.name, self.attributes, self.children = name, attributes, []
+        self.hidden = self.unseen = False  # with all below it; its own text only
+        self.lines: list[str] = []  # of a table
 
     def get(self, key: str) -> str | None:
         for m in ATTRIBUTE.finditer(self.attributes):
@@ -82,40 +90,58 @@ def is_hidden(node: Node) -> bool:
     return "style" in low and bool(HIDING.search(node.get("style") or ""))
 
 
+def is_unseen(node: Node, parent: Node) -> bool:
+    """Whether an element's own text is invisible: as its style says, else like its parent's."""
+    if "visibility" in node.attributes.lower():
+        told = VISIBILITY.findall(node.get("style") or "")
+        if told:
+            return told[-1].lower() != "visible"
+    return parent.unseen
+
+
+def whole_number(text: str | None, default: int) -> int:
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,9}", text.strip()) else default
+
+
 def parse(page: str) -> Node:
     """The tree of a page, with the end tags that HTML implies."""
     root = Node("html")
     open_, at = [root], 0
     counts: Counter[str] = Counter()  # open elements by name
+    borders: list[int] = []  # places of the open elements that begin or end foreign content
 
     def text(a: int, b: int) -> None:
         if a < b:
             piece = page[a:b]
             if open_[-1].name == "head" and piece.strip(" \t\n\f\r"):
                 drop(len(open_) - 1)
+            if open_[-1].unseen:
+                return
             open_[-1].children.append(html.unescape(piece) if "&" in piece else piece)
 
     def drop(i: int) -> None:
         for node in open_[i:]:
             counts[node.name] -= 1
+        while borders and borders[-1] >= i:
+            borders.pop()
         del open_[i:]
 
-    def close(names, borders) -> None:
-        """End the outermost open element of these names inside the nearest border, with all it holds."""
+    def close(names, limits) -> None:
+        """End the outermost open element of these names inside the nearest limit, with all it holds."""
         if not any(counts[n] for n in names):
             return
         found = 0
         for i in range(len(open_) - 1, 0, -1):
             if open_[i].name in names:
                 found = i
-            elif open_[i].name in borders:
+            elif open_[i].name in limits:
                 break
         if found:
             drop(found)
 
     def in_foreign() -> bool:
         """Whether the innermost element is one of svg or math, not HTML inside them."""
-        return next((n.name in FOREIGN for n in reversed(open_) if n.name in FOREIGN or n.name == "foreignobject"), False)
+        return bool(borders) and open_[borders[-1]].name in FOREIGN
 
     size, last = len(page), page.rfind(">")
     while at < size:
@@ -158,15 +184,19 @@ def parse(page: str) -> Node:
         node = Node(name, m[3])
         foreign = counts["svg"] or counts["math"]
         node.hidden = is_hidden(node) or bool(foreign and name in FOREIGN_UNSHOWN)
+        node.unseen = is_unseen(node, open_[-1])
         open_[-1].children.append(node)
         if m[3].endswith("/") and (name in FOREIGN or foreign and in_foreign()):
             continue  # a slash closes nothing but void and foreign elements
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             stop = end.start() if end else size
-            node.children.append(html.unescape(page[at:stop]) if name in ("textarea", "title") else page[at:stop])
+            if not node.unseen:
+                node.children.append(html.unescape(page[at:stop]) if name in ("textarea", "title") else page[at:stop])
             at = end.end() if end else size
         elif name not in VOID:
+            if name in FOREIGN or name == "foreignobject":
+                borders.append(len(open_))
             open_.append(node)
             counts[name] += 1
     return root
@@ -245,64 +275,104 @@ def _shown(node: Node) -> list:
     return node.children
 
 
-def _table(node: Node) -> tuple[list[str], list[str]]:
-    """Captions, and the rows with their cells padded to the width of their columns."""
+def _rows(node: Node) -> tuple[list[str], list[Node]]:
+    """Captions and other text of a table outside its rows, and the rows."""
     captions, rows = [], []
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        for child in x.children if x.name != "tr" else []:
-            if isinstance(child, str):
-                if child.strip():
-                    captions.append(" ".join(child.split()))
-            elif child.hidden:
-                continue
-            elif child.name == "tr":
-                rows.append(child)
-            elif child.name in ("thead", "tbody", "tfoot"):
-                rows += [c for c in child.children if isinstance(c, Node) and c.name == "tr" and not c.hidden]
-                captions += [" ".join((c if isinstance(c, str) else _inline(c)).split()) for c in child.children if isinstance(c, str) or c.name != "tr"]
-            elif child.name not in ("colgroup", "col"):
-                captions.append(_inline(child))
-    cells: list[list[tuple[str, int]]] = []
-    for row in rows:
-        made, loose = [], []
-        for c in row.children:
-            if isinstance(c, Node) and not c.hidden and c.name in ("td", "th"):
-                span = c.get("colspan") or "1"
-                made.append((_inline(c), min(max(int(span), 1), 1000) if span.isdecimal() and len(span) < 5 else 1))
-            elif isinstance(c, str) and c.strip():
-                loose.append((" ".join(c.split()), 1))
-            elif isinstance(c, Node) and not c.hidden and c.name not in ("td", "th"):
-                loose.append((_inline(c), 1))
-        cells.append([x for x in (*loose, *made) if x[0] or x in made])
+    for child in node.children:
+        if isinstance(child, str):
+            if child.strip():
+                captions.append(" ".join(child.split()))
+        elif child.hidden:
+            continue
+        elif child.name == "tr":
+            rows.append(child)
+        elif child.name in ("thead", "tbody", "tfoot"):
+            rows += [c for c in child.children if isinstance(c, Node) and c.name == "tr" and not c.hidden]
+            captions += [" ".join((c if isinstance(c, str) else _inline(c)).split()) for c in child.children if isinstance(c, str) or c.name != "tr"]
+        elif child.name not in ("colgroup", "col"):
+            captions.append(_inline(child))
+    return [c for c in captions if c], rows
+
+
+def _cells(row: Node) -> list[tuple[list[str], int, int]]:
+    """Lines, columns and rows of every cell; what stands loose in a row comes first, as cells."""
+    made, loose = [], []
+    for c in row.children:
+        if isinstance(c, str):
+            if c.strip():
+                loose.append(([" ".join(c.split())], 1, 1))
+        elif c.hidden:
+            continue
+        elif c.name in ("td", "th"):
+            down = whole_number(c.get("rowspan"), 1)
+            made.append((_render(c).split("\n"), min(max(whole_number(c.get("colspan"), 1), 1), 1000), 1 << 16 if down == 0 else min(max(down, 1), 1 << 16)))
+        elif value := _inline(c):
+            loose.append(([value], 1, 1))
+    return loose + made
+
+
+def _table(node: Node) -> list[str]:
+    """Captions, and the rows with their cells as blocks of lines in aligned columns."""
+    captions, rows = _rows(node)
+    taken: dict[int, int] = {}  # columns that a cell above still fills, and the first row below it
+    placed: list[list[tuple[int, list[str]]]] = []
     widths: dict[int, int] = {}
-    for row in cells:
-        at = 0
-        for value, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), len(value))
-            at += span
-    lines = []
-    for row in cells:
+    for number, row in enumerate(rows):
         at, out = 0, []
-        for value, span in row:
-            width = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-            out.append(value.ljust(width))
-            at += span
-        line = "  ".join(out).rstrip()
-        if line:
-            lines.append(line)
-    return [c for c in captions if c], lines
+        for lines, across, down in _cells(row):
+            while taken.get(at, 0) > number:
+                at += 1
+            out.append((at, lines))
+            if across == 1:
+                widths[at] = max(widths.get(at, 0), *map(len, lines))
+            if down > 1:
+                taken.update(dict.fromkeys(range(at, at + across), number + down))
+            at += across
+        placed.append(out)
+    columns = sorted(widths)
+    upto = [0, *itertools.accumulate(widths[c] for c in columns)]
+    lines = []
+    for out in placed:
+        made = []
+        for i in range(max((len(x) for _, x in out), default=0)):
+            line = ""
+            for at, cell in out:
+                if i < len(cell) and cell[i]:
+                    start = 2 * at + upto[bisect.bisect_left(columns, at)]
+                    line = line.ljust(start) if len(line) + 2 <= start or not line else line + "  "
+                    line += cell[i]
+            made.append(line.rstrip())
+        if any(made):
+            lines += made
+    return captions + lines
+
+
+def _lay_out_tables(root: Node) -> None:
+    """Set the lines of every table, inner ones first."""
+    found, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x.name == "table":
+            found.append(x)
+        stack.extend(c for c in x.children if isinstance(c, Node) and not c.hidden)
+    for table in reversed(found):
+        table.lines = _table(table)
 
 
 def text_of(page: str | None) -> str:
     """All visible text of a page."""
     if not page:
         return ""
+    root = parse(page)
+    _lay_out_tables(root)
+    return _render(root)
+
+
+def _render(root: Node) -> str:
+    """The text below a node, tables as they are laid out."""
     out = Lines()
-    lists: list[list] = []  # open lists: kind and next number
-    stack: list = [(parse(page), 0)]
+    lists: list[list] = []  # open lists: kind, next number and step
+    stack: list = [(root, 0)]
     pre = 0
     while stack:
         x, leaving = stack.pop()
@@ -343,24 +413,25 @@ def text_of(page: str | None) -> str:
             continue
         if name == "table":
             out.gap()
-            captions, lines = _table(x)
-            for line in (*captions, *lines):
+            for line in x.lines:
                 out.line = [line]
-                out.end()
+                out.end(force=True)
             out.gap()
             continue
         mark: object = 1
         if name in ("ul", "ol", "menu", "dir"):
             out.gap() if not lists else out.end()
-            start = x.get("start") if name == "ol" else None
-            lists.append([name, int(start) if start and start.lstrip("-").isdecimal() and len(start) < 10 else 1])
+            backward = name == "ol" and x.get("reversed") is not None
+            items = sum(isinstance(c, Node) and c.name == "li" and not c.hidden for c in x.children) if backward else 1
+            lists.append([name, whole_number(x.get("start"), items), -1 if backward else 1])
             mark = "#" + out.indent
         elif name == "li":
             out.end()
             mark = "#" + out.indent
             if lists and lists[-1][0] == "ol":
-                out.first = f"{lists[-1][1]}. "
-                lists[-1][1] += 1
+                number = whole_number(x.get("value"), lists[-1][1])
+                out.first = f"{number}. "
+                lists[-1][1] = number + lists[-1][2]
             else:
                 out.first = "- "
         elif name == "dd":

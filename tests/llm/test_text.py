@@ -153,6 +153,69 @@ STRAY_QUOTES = [
 ]
 
 
+CELLS = [
+    ("<table><tr><td><p>One</p><ul><li>a<li>b</ul><p>Two</p><td>x<tr><td>y<td>z</table>", "One  x\n\n- a\n- b\n\nTwo\ny    z"),
+    ("<table><tr><td rowspan=2>R<td>a<tr><td>b<tr><td>c<td>d</table>", "R  a\n   b\nc  d"),
+    ("<table><tr><td>a<td rowspan=3>S<td>b<tr><td>c<td>d<tr><td colspan=1>e<td>f<tr><td>g<td>h<td>i</table>", "a  S  b\nc     d\ne     f\ng  h  i"),
+    ("<table><tr><td>l<br>ll<td>r<tr><td>x<td>y</table>", "l   r\nll\nx   y"),
+    ("<table><tr><td><table><tr><td>p<td>q<tr><td>rr<td>s</table><td>o</table>", "p   q  o\nrr  s"),
+    ("<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</p><p>z", "yes\n\nz"),
+    ("<ol reversed><li>a<li>b<li>c</ol><ol><li value=7>d<li>e</ol>", "3. a\n2. b\n1. c\n\n7. d\n8. e"),
+    ("<div style='visibility:collapse'>no<div style='display:none;visibility:visible'>no</div></div>a", "a"),
+    ("<table><tr><td rowspan=0>k<td>1<tr><td>2<tr><td>3</table>", "k  1\n   2\n   3"),
+]
+
+
+def test_html_cells_are_blocks_in_a_grid():
+    for page, want in CELLS:
+        assert html.text_of(page) == want, page
+    deep = "<table><tr><td>" * 1500 + "in" + "</table>" * 1500
+    assert html.text_of(deep) == "in"
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        html.text_of("<svg>" * n + "<path/>" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def plain_grid(rows):
+    """Cells by (row, column), as the table model of HTML places them."""
+    grid = {}
+    for r, row in enumerate(rows):
+        c = 0
+        for word, across, down in row:
+            while (r, c) in grid:
+                c += 1
+            for i in range(down):
+                for j in range(across):
+                    grid[r + i, c + j] = word if (i, j) == (0, 0) else ""
+            c += across
+    return grid
+
+
+def test_html_random_tables_equal_a_plain_grid():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(200):
+        numbers = iter(range(1000))
+        rows = [[(f"w{next(numbers):0{rng.randint(3, 8)}d}", rng.choice([1, 1, 1, 2]), rng.choice([1, 1, 1, 2, 3])) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 5))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{w}" for w, a, d in row) for row in rows) + "</table>"
+        column = {word: c for (_, c), word in plain_grid(rows).items() if word}
+        lines = html.text_of(page).split("\n")
+        assert [re.findall(r"w\d+", line) for line in lines] == [[w for w, *_ in row] for row in rows]
+        # in rows without wide cells, which may push others aside, cells of one column begin below each other
+        starts = {}
+        for line, row in zip(lines, rows):
+            if all(across == 1 for _, across, _ in row):
+                for word, *_ in row:
+                    starts.setdefault(column[word], set()).add(line.index(word))
+        assert all(len(x) == 1 for x in starts.values()), (page, lines)
+
+
 def test_html_stray_quotes_and_short_comments():
     for page, want in STRAY_QUOTES:
         assert html.text_of(page) == want, page
