@@ -5,8 +5,10 @@ Every source gets a share of the mix in proportion to its weight; a source whose
 their weights until no target is above its clamp. Documents are then repeated a whole number of
 times, and a seeded part of them once more, so that the words taken meet the target.
 
-Defined results: a null or empty text has size 0 and takes nothing; a null source is a source of its
-own, last in order; repeated rows count one by one; an empty table gives an empty result.
+Defined results: a null or empty text has size 0, so whatever copies of it the mix holds take no words; a
+null source is a source of its own, last in order; repeated rows count one by one; texts of any length
+count whole; further columns pass through `mix` and, whatever their names, are not read; an empty table
+gives an empty result. The windows over sources hold one row of some 100 bytes per source.
 """
 
 from __future__ import annotations

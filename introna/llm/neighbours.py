@@ -7,9 +7,10 @@ double precision. Each query keeps a heap of its k best over the tile; the heaps
 at the end.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part;
-vectors of different lengths are not compared; rows that share a vec_id are one vector, and a query is
-never its own neighbour; ties go to the smaller vec_id; rows without vec_id take no part; an empty
-table, or one without other vectors, gives no rows.
+vectors of different lengths are not compared; rows that share a vec_id are one vector, the smallest by its
+components in order, and a query is never its own neighbour; ties go to the smaller vec_id; rows without
+vec_id take no part; only vec_id and embedding are read, so further columns and their names do not matter;
+an empty table, or one without other vectors, gives no rows.
 """
 
 from __future__ import annotations
@@ -53,10 +54,19 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _one_each(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row per id, in order of the ids; of several vectors the smallest by its components."""
+    order = np.argsort(ids, kind="stable")
+    if (np.diff(ids[order]) == 0).any():
+        order = np.lexsort((*x.T[::-1], ids))
+    ids, x = ids[order], x[order]
+    first = np.append(True, np.diff(ids) != 0)[: len(ids)]
+    return ids[first], x[first]
+
+
 def _least_copies(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows without repeated ids; of equal vectors the ``keep`` smallest ids, as no more can be among the nearest."""
-    _, first = np.unique(ids, return_index=True)
-    ids, x = ids[first], x[first]
+    ids, x = _one_each(ids, x)
     _, same = np.unique(np.ascontiguousarray(x).view([("", x.dtype)] * x.shape[1]).ravel(), return_inverse=True)
     order = np.lexsort((ids, same))
     start = np.flatnonzero(np.append(True, np.diff(same[order]) != 0))
@@ -67,8 +77,8 @@ def _least_copies(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray
 
 def tile_nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, vec, score) of the k nearest candidates of every query of one tile."""
-    _, first = np.unique(query_ids, return_index=True)
-    query_ids, q = query_ids[first], q[first].astype(np.float64)
+    query_ids, q = _one_each(query_ids, q)
+    q = q.astype(np.float64)
     ids, c = _least_copies(ids, c, k + 1)
     c = c.astype(np.float64)
     q_codes, q_scale, q_stands, q_misses = quantised(q)

@@ -7,7 +7,8 @@ seldom wrong on good documents so outweighs many that bad documents pass. Hard b
 repeated text) come first and are never overruled.
 
 Defined results: a null, empty or wordless text has zero counts, fails the base rules and is not kept;
-repeated rows are judged row by row alike; an empty table gives an empty result.
+repeated rows are judged row by row alike; texts of any length are measured whole; further columns pass
+through `keep_good` and, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

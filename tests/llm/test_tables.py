@@ -272,6 +272,18 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
     assert neighbours.nearest(none, none["vec_id"] % 20 == 0, 7).count() == 0
 
 
+def test_repeated_ids_are_their_smallest_vector(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    twice = [(i, (np.array(v) + d).tolist()) for i, v in rows[::5] for d in (-0.5, 0.5)]
+    least = {i: min([v, *(w for j, w in twice if j == i)]) for i, v in rows}
+    frame_of = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>").repartition(5)
+    got, want = (
+        sorted(tuple(r) for r in neighbours.nearest(df, df["vec_id"] % 20 == 0, 5).collect()) for df in (frame_of(rows + twice), frame_of(list(least.items())))
+    )
+    assert got == want and len(got) == 15
+
+
 def test_bounds_of_int8_products():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(50, 30)) * rng.uniform(0.01, 100, (50, 1)), rng.normal(size=(60, 30))
