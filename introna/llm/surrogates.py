@@ -88,7 +88,7 @@ PATTERNS = {
 #: every digit of re's \d; Arrow's \d and \b know ASCII only
 DIGITS = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isdecimal())
 #: what every match of FINDER holds; texts without it are not searched
-SUSPECT = f"[@:={DIGITS}]|" + "|".join(TITLES)
+SUSPECT = f"[@:={DIGITS}]|(?:^|[^\\pL])(?:" + "|".join(TITLES) + ")\\.?[ \u00a0]"
 FINDER = re.compile("|".join(f"(?P<is_{kind}>{p})" for kind, p in PATTERNS.items()))
 MALE_KEYS, FEMALE_KEYS = ({t.lower() for t in titles} for titles in (MALE, FEMALE))
 NAME_PIECE = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
