@@ -172,3 +172,27 @@ def test_hub_exons_are_not_paired_out(spark):
     pairs = {(i, 10_000) for i in range(5_000)} | {(10_000, 20_000 + i) for i in range(5_000)} | {(7, 15_000), (15_000, 20_003)}
     rows = splice.mutually_exclusive_events(_graph(spark, pairs)).collect()
     assert [(r.exon1, r.exon2, r.exon3, r.exon4) for r in rows] == [("e7", "e10000", "e15000", "e20003")]
+
+
+def test_event_ids_travel_once_a_tile_of_samples(spark):
+    names = splice.JUNCTIONS["se"]
+    se = spark.createDataFrame([("e1", "a", "b", "c"), ("e2", "a", "c", "b")], ", ".join(f"{c} string" for c in ["event_id", *names]))
+    held = [(f"s{i}", j, i + 12 if j == "a" else 20) for i in range(130) for j in "abc" if (i + ord(j)) % 5]
+    reads = spark.createDataFrame(held, "sample_id string, junction_id string, reads long")
+    table = splice.sparse_psi(se, None, reads)
+    assert table.tiles.count() == 2 * 3
+    got = {(r["sample_id"], r["event_id"]): (r["isoform1_junction13"], r["isoform2_junction12"], r["isoform2_junction23"]) for r in table.rows.collect()}
+    sums = {(s, j): n for s, j, n in held}
+    order = {"e1": "abc", "e2": "acb"}
+    assert got == {(f"s{i}", e): tuple(sums.get((f"s{i}", j), 0) for j in order[e]) for i in range(130) for e in order}
+
+
+def test_psi_tables_are_compared_without_a_join_of_their_rows(spark):
+    from introna.operators import psi
+
+    a = spark.createDataFrame([(1, "e", 0.5), (2, "e", None), (3, "e", 0.25), (9, "e", 0.1), (1, "only", 0.3)], "cell_id long, event_id string, psi double")
+    b = spark.createDataFrame([(1, "e", 0.25), (2, "e", None), (3, "f", 0.5), (1, "f", 0.1), (None, "e", 0.2)], "cell_id long, event_id string, psi double")
+    found = psi.compare_psi(a, b)
+    assert "FullOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    row = found.first()
+    assert (row.shared_cells, row.shared_events, row.exact_equal, row.max_abs_diff, row.pearson) == (3, 1, False, 0.25, None)
