@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from introna.functions.checks import require_empty
 from introna.functions.cigar import covered_blocks, introns
-from introna.operators.intervals import range_join
+from introna.operators.intervals import merge_intervals, range_join
 from introna.operators.scans import running_before
+from introna.session import stored
 
 LABEL_PATTERN = "^[A-Za-z0-9_-]+$"
 
@@ -190,22 +191,56 @@ def overlap_counts(
     ``reads``: (chrom, pos, cigar) and the ``by`` columns, one row per alignment; ``features``:
     (chrom, start, end) and ``keep``. A read counts once per distinct ``keep``, so exon counts
     keep the exon's key and gene counts the gene's. Overlaps are found once per distinct
-    alignment shape, then weighted with its number of reads.
+    alignment shape, then weighted with its number of reads. Which pair of a shape and key counts
+    is told from the pair alone, so pairs are summed up where they are found and do not travel.
     """
     shape = ["chrom", "pos", "cigar"]
-    counted = _alignments(reads, by)
+    counted = stored(_alignments(reads, by), "alignments")
     shapes = counted.select(*shape).distinct() if by else counted
     carried = shape if by else [*shape, "n"]
-    blocks = shapes.withColumn("_b", F.explode(covered_blocks(F.col("cigar"), F.col("pos")))).select(
-        *carried, F.col("_b.start").alias("b_start"), F.col("_b.end").alias("b_end")
-    )
-    placed = features.select("chrom", F.col("start").alias("f_start"), F.col("end").alias("f_end"), *keep)
-    pairs = range_join(blocks, placed, ["chrom"], ("b_start", "b_end"), ("f_start", "f_end"), width)
-    once = pairs.select(*carried, *keep).distinct()
+    blocks = shapes.withColumn("_blocks", covered_blocks(F.col("cigar"), F.col("pos")))
+    blocks = blocks.withColumn("_span", F.array_max("_blocks.end") - F.array_min("_blocks.start"))
+    widest = blocks.agg(F.max("_span")).first()[0] or 0
+    reach = min(widest, LONG_SPAN)
+    placed = stored(_with_earlier(features, keep, reach), "features")
+
+    def met(rows: DataFrame) -> DataFrame:
+        each = rows.select(*carried, "_blocks", F.posexplode("_blocks").alias("_i", "_b"))
+        probes = each.select(
+            *carried, "_blocks", F.get("_blocks.end", F.col("_i") - 1).alias("_before"),
+            F.col("_b.start").alias("b_start"), F.col("_b.end").alias("b_end"),
+        )
+        return range_join(probes, placed, ["chrom"], ("b_start", "b_end"), ("f_start", "f_end"), width)
+
+    # of a read's pairs with one key the first counts: no earlier block meets the feature, no earlier feature the read
+    inside = lambda f: F.exists("_blocks", lambda b: (b["start"] <= f["f_end"]) & (f["f_start"] <= b["end"]))
+    first = (F.col("_before").isNull() | (F.col("_before") < F.col("f_start"))) & ((F.size("_earlier") == 0) | ~F.exists("_earlier", inside))
+    once = met(blocks.filter(F.col("_span") <= reach)).filter(first).select(*carried, *keep)
+    if widest > reach:
+        once = once.unionByName(met(blocks.filter(F.col("_span") > reach)).select(*carried, *keep).distinct())
     weighted = once.join(counted, shape) if by else once
     return weighted.groupBy(*by, *keep).agg(F.sum("n").alias("count"))
 
 
+LONG_SPAN = 1 << 16  # reads over more bases are told apart by a distinct, so that lists of earlier features stay short
+
+
+def _with_earlier(features: DataFrame, keep: Sequence[str], reach: int) -> DataFrame:
+    """(chrom, f_start, f_end, keep, _earlier): the merged features of each key, with those before it that a read over ``reach`` bases could also meet."""
+    rows = features.filter("start <= end").select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *keep)
+    rows = merge_intervals(rows, ["chrom", *keep], touching=True)
+    merged = rows.select("chrom", F.col("start").alias("f_start"), F.col("end").alias("f_end"), *keep)
+    place = F.struct("f_start", "f_end")
+    order = Window.partitionBy("chrom", *keep).orderBy("f_start")
+    near = F.collect_list(place).over(order.rangeBetween(-reach, Window.currentRow))
+    # merged features do not overlap, so that one at most begins before these and ends among them
+    before = F.last(place).over(order.rangeBetween(Window.unboundedPreceding, -reach - 1))
+    listed = merged.withColumns({"_near": near, "_one": before})
+    every = F.concat(F.when(F.col("_one").isNull(), F.array().cast("array<struct<f_start:bigint,f_end:bigint>>")).otherwise(F.array("_one")), "_near")
+    earlier = F.filter(every, lambda g: (g["f_start"] < F.col("f_start")) & (g["f_end"] >= F.col("f_start") - reach))
+    return listed.withColumn("_earlier", earlier).drop("_near", "_one")
+
+
 def junction_counts(reads: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Reads per gap of the alignment: (by, chrom, start, end, count), the flanking exon bases."""
     spread = _alignments(reads, by).withColumn("_i", F.explode(introns(F.col("cigar"), F.col("pos"))))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from statistics import NormalDist
 
 import numpy as np
@@ -151,3 +152,31 @@ def test_require_empty_raises(spark):
     assert require_empty(df, df.filter("id > 5"), "no").count() == 3
     with pytest.raises(Exception, match="too large"):
         require_empty(df, df.filter("id > 1"), "too large").collect()
+
+
+def test_overlap_pairs_are_counted_where_they_are_found(spark, monkeypatch):
+    from introna.operators import counts
+
+    rng = random.Random(5)
+    reads = [("c", rng.randint(1, 900), rng.choice(["50M", "20M30N20M", "10M5N10M60N10M", "30M400N5M"])) for _ in range(120)]
+    places = [("c", s, s + rng.randint(0, 90), rng.choice("abcdef")) for s in (rng.randint(1, 1400) for _ in range(90))] + [("c", 300, 200, "a")]
+
+    def covered(pos, cigar):
+        for n, kind in re.findall(r"(\d+)([MN])", cigar):
+            if kind == "M":
+                yield pos, pos + int(n) - 1
+            pos += int(n)
+
+    want = {}
+    for _, pos, cigar in reads:
+        for gene in {g for _, s, e, g in places if any(b <= e and s <= t and s <= e for b, t in covered(pos, cigar))}:
+            want[gene] = want.get(gene, 0) + 1
+    rows, features = spark.createDataFrame(reads, "chrom string, pos long, cigar string"), spark.createDataFrame(places, "chrom string, start long, end long, gene_id string")
+    for limit in (1 << 16, 100):
+        monkeypatch.setattr(counts, "LONG_SPAN", limit)
+        found = counts.overlap_counts(rows, features, ["gene_id"], width=64)
+        assert {r["gene_id"]: r["count"] for r in found.collect()} == want
+    monkeypatch.undo()
+    plan = counts.overlap_counts(rows, features, ["gene_id"], width=64)._jdf.queryExecution().optimizedPlan().toString()
+    # one aggregate sums up, one lists the levels; none makes the pairs distinct
+    assert plan.split("Join")[0].count("Aggregate") == 1
