@@ -202,7 +202,8 @@ def overlap_counts(
     blocks = blocks.withColumn("_span", F.array_max("_blocks.end") - F.array_min("_blocks.start"))
     widest = blocks.agg(F.max("_span")).first()[0] or 0
     reach = min(widest, LONG_SPAN)
-    placed = stored(_with_earlier(features, keep, reach), "features")
+    # packed in files, millions of features look small enough for a broadcast
+    placed = stored(_with_earlier(features, keep, reach), "features").hint("merge")
 
     def met(rows: DataFrame) -> DataFrame:
         each = rows.select(*carried, "_blocks", F.posexplode("_blocks").alias("_i", "_b"))

@@ -181,6 +181,8 @@ def test_event_ids_travel_once_a_tile_of_samples(spark):
     reads = spark.createDataFrame(held, "sample_id string, junction_id string, reads long")
     table = splice.sparse_psi(se, None, reads)
     assert table.tiles.count() == 2 * 3
+    # neither the events nor their tiles are gathered on the driver
+    assert "strategy=merge" in table.lookup(spark.createDataFrame([("s1", "e1")], "sample_id string, event_id string"))._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["sample_id"], r["event_id"]): (r["isoform1_junction13"], r["isoform2_junction12"], r["isoform2_junction23"]) for r in table.rows.collect()}
     sums = {(s, j): n for s, j, n in held}
     order = {"e1": "abc", "e2": "acb"}
