@@ -115,6 +115,47 @@ def test_rank_sum(spark):
     assert row["z"] == pytest.approx(z) and row["p_val"] == pytest.approx(erfc(abs(z) / sqrt(2)), rel=1e-6)
 
 
+def exchanges(df) -> int:
+    """Shuffles of a plan before any of them has run."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+
+
+def test_rank_sum_moves_rows_once(spark, monkeypatch):
+    rng = random.Random(3)
+    data = [(i, e, rng.choice([0.0, 0.25, 0.3, 0.9, 1.0, None])) for i in range(40) for e in ("e1", "e2", "e3")]
+    psis = spark.createDataFrame(data, "cell_id long, event_id string, psi double")
+    groups = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(40)], "cell_id long, group string")
+    extra = spark.createDataFrame([("e1", "a", 0.3, 5), ("e2", "c", 0.95, 2)], "event_id string, group string, psi double, c long")
+    whole = {}
+    for e in ("e1", "e2", "e3"):
+        held = [(v, "abc"[i % 3]) for i, event, v in data if event == e and v is not None]
+        held += [(p, g) for event, g, p, c in extra.collect() for _ in range(c) if event == e]
+        for g in "abc":
+            mine = [v for v, group in held if group == g]
+            ranks = sum(sum(w < v for w, _ in held) + (sum(w == v for w, _ in held) + 1) / 2 for v in mine)
+            n, total = len(mine), len(held)
+            whole[e, g] = n, (ranks - n * (total + 1) / 2) / (n * (total - n) * (total + 1) / 12) ** 0.5
+    for cells in (1 << 16, 1):
+        monkeypatch.setattr(psi, "STRETCH_CELLS", cells)
+        found = psi.rank_sum_test(psis, groups, 4, extra)
+        got = {(r["event_id"], r["group"]): (r["n"], r["z"]) for r in found.collect()}
+        assert got.keys() == whole.keys()
+        assert all(got[k][0] == n and got[k][1] == pytest.approx(z) for k, (n, z) in whole.items())
+    # by event and stretch, then by event
+    assert exchanges(psi.rank_sum_test(psis.coalesce(1), F.broadcast(groups))) <= 2
+
+
+def test_cluster_fill_moves_counts_once(spark):
+    rows = spark.createDataFrame([(i, e, 0.5 if i % 2 else None) for i in range(8) for e in ("e1", "e2")] + [(9, "e1", 0.25)], "cell_id long, event_id string, psi double")
+    clusters = spark.createDataFrame([(i, i % 2) for i in range(9)], "cell_id long, cluster long")
+    got = {(r["event_id"], r["cluster"]): (r["fill"], r["missing"]) for r in psi.psi_cluster_fill(rows, clusters, 5).collect()}
+    assert got == {("e1", 0): (None, 5)}
+    got = {(r["event_id"], r["cluster"]): (r["fill"], r["missing"]) for r in psi.psi_cluster_fill(rows, clusters, 4).collect()}
+    assert got == {("e1", 0): (None, 5), ("e2", 0): (None, 5)}
+    plan = psi.psi_cluster_fill(rows, F.broadcast(clusters), 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(event_id") == 1
+
+
 def test_stouffer_null_rule(spark):
     rows = [("k", "full", 0.01, 1.0, 10), ("k", "full", 0.2, -2.0, 30), ("k", "gap", 0.01, 1.0, None), ("k", "gap", 0.2, 1.0, 30), ("k", "zero", 0.0, 1.0, 5), ("k", "sure", 1.0, 1.0, 5)]
     df = spark.createDataFrame(rows, "cluster string, gene string, p_val double, avg_log2fc double, exon_length long")
