@@ -40,7 +40,8 @@ FACTOR_BITS = 3  # bins of a level are eight times as wide as those of the one b
 LEVELS = 12
 
 
-def _width(level: Column, width: int) -> Column:
+def level_width(level: Column, width: int) -> Column:
+    """How wide the bins of a level are."""
     return F.call_function("shiftleft", F.lit(width).cast("long"), (level * FACTOR_BITS).cast("int"))
 
 
@@ -50,7 +51,7 @@ def bin_level(start: Column, end: Column, width: int) -> Column:
 
 
 def _bins(start: Column, end: Column, level: Column, width: int) -> Column:
-    size = _width(level, width)
+    size = level_width(level, width)
     return F.transform(F.sequence(F.floor(start / size), F.floor(end / size)), lambda b: F.struct(level.alias("level"), b.alias("bin")))
 
 
@@ -81,6 +82,6 @@ def range_join(
     visiting = visiting.select("*", F.col("_v.level").alias("_level"), F.col("_v.bin").alias("_bin")).drop("_levels", "_v")
     later = F.greatest(low, first)
     joined = visiting.join(placed, [*on, "_level", "_bin"]).filter(
-        (low <= last) & (first <= high) & (F.col("_bin") == F.floor(later / _width(F.col("_level"), width)))
+        (low <= last) & (first <= high) & (F.col("_bin") == F.floor(later / level_width(F.col("_level"), width)))
     )
     return joined.drop("_level", "_bin")

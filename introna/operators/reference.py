@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from introna.functions.columns import parse_region, regions_overlap, signed_start
-from introna.operators.intervals import merge_intervals, range_join
+from introna.operators.intervals import bin_level, level_width, merge_intervals, range_join
 from introna.operators.scans import following, running_before, running_before_by
 
 STRETCH = 1 << 16  # bases per stretch when a key is spread along the genome
@@ -23,18 +23,24 @@ def check_annotation(gtf: DataFrame, fields: Sequence[str] = ("gene_id", "exon_n
         raise ValueError(f"annotation has no value for: {', '.join(empty)}")
 
 
+def exon_rows(gtf: DataFrame) -> DataFrame:
+    """Every exon row, with integer coordinates."""
+    return gtf.filter(F.col("feature") == "exon").withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+
+
 def exon_prepare(gtf: DataFrame) -> DataFrame:
     """Exon rows with integer coordinates, the first line of each (gene, start, end)."""
-    exons = gtf.filter(F.col("feature") == "exon").withColumns(
-        {"start": F.col("start").cast("long"), "end": F.col("end").cast("long")}
-    )
+    exons = exon_rows(gtf)
     rest = [c for c in exons.columns if c not in ("gene_id", "start", "end", "line_no")]
     first = exons.groupBy("gene_id", "start", "end").agg(F.min(F.struct("line_no", *rest)).alias("_first"))
     return first.select("gene_id", "start", "end", "_first.*")
 
 
 def exon_merge(exons: DataFrame, block: int = 1 << 20) -> DataFrame:
-    """Non-overlapping exons per gene, numbered 1..n; other columns from the gene's first exon."""
+    """Non-overlapping exons per gene, numbered 1..n; other columns from the gene's first exon.
+
+    Repeats of a (gene, start, end) change nothing, so ``exon_rows`` will do.
+    """
     usable = exons.filter(F.col("start") < F.col("end"))
     merged = merge_intervals(usable, ["gene_id"], block=block)
     numbered = merged.withColumn(
@@ -207,14 +213,30 @@ def annotated_introns(exons: DataFrame) -> DataFrame:
 def gene_of_region(regions: DataFrame, genes: DataFrame, width: int = STRETCH) -> DataFrame:
     """(region_id, gene_ids, gene_names) merged over all same-strand genes that overlap a region.
 
-    ``regions``: (region_id, chrom, start, stop, strand); ``genes``: (chrom, strand, g_start,
-    g_stop, gene_id, gene_name).
+    ``regions``: (region_id, chrom, start, stop, strand), an id having one place; ``genes``: (chrom,
+    strand, g_start, g_stop, gene_id, gene_name).
+
+    A region looks in one block only, that of its start at the level of its length, so its sets are
+    whole where they are found and do not travel. The genes lie, side by side, under every block
+    from which a region can reach them; ``width`` should suit the lengths of both.
     """
-    pairs = range_join(regions, genes, ["chrom", "strand"], ("start", "stop"), ("g_start", "g_stop"), width)
-    # the genes over one position are few by nature, so the two sets stay small
-    return pairs.groupBy("region_id").agg(
-        F.array_sort(F.collect_set("gene_id")).alias("gene_ids"), F.array_sort(F.collect_set("gene_name")).alias("gene_names")
-    )
+    block = ["chrom", "strand", "_level", "_block"]
+    at = lambda position, level: F.floor(position / level_width(level, width))
+    start, stop = F.col("start"), F.col("stop")
+    homes = regions.select("region_id", "chrom", "strand", "start", "stop").filter(start <= stop)
+    homes = homes.withColumn("_level", bin_level(start, stop, width)).withColumn("_block", at(start, F.col("_level")))
+    # a handful of numbers
+    reach = homes.groupBy("_level").agg(F.max(stop - start).alias("reach")).agg(F.collect_list(F.struct("_level", "reach"))).scalar()
+    listed = genes.select("chrom", "strand", "g_start", "g_stop", "gene_id", "gene_name").filter("g_start <= g_stop").withColumn("_r", F.explode(reach))
+    first, last = at(F.col("g_start") - F.col("_r.reach"), F.col("_r._level")), at(F.col("g_stop"), F.col("_r._level"))
+    listed = listed.withColumn("_level", F.col("_r._level")).withColumn("_block", F.explode(F.sequence(first, last))).drop("_r")
+    # the genes over one position are few by nature, so those of a block stay small
+    packed = listed.repartition(*block).groupBy(*block).agg(F.collect_list(F.struct("g_start", "g_stop", "gene_id", "gene_name")).alias("_genes"))
+    met = homes.repartition(*block).dropDuplicates([*block, "region_id", "start", "stop"]).join(packed, block)
+    over = F.filter("_genes", lambda g: (g["g_start"] <= stop) & (g["g_stop"] >= start))
+    found = met.select("region_id", over.alias("_found")).filter(F.size("_found") > 0)
+    values = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.col(f"_found.{c}")))).alias(f"{c}s")
+    return found.select("region_id", values("gene_id"), values("gene_name"))
 
 
 def region_ops(df: DataFrame, name: str, other: str) -> DataFrame:

@@ -23,7 +23,7 @@ merged AS (SELECT s.gene_id, s."start", s."end", row_number() OVER (PARTITION BY
 
 
 def merged(t: Tables):
-    return ref.exon_merge(ref.exon_prepare(t.b1_exons()))
+    return ref.exon_merge(ref.exon_rows(t.b1_exons()))
 
 
 @query("exon_prepare", with_sql("b1", """SELECT gene_id, "start", "end", transcript_id, exon_number, strand FROM b1
@@ -162,7 +162,7 @@ def _gene_of_region(t: Tables):
     genes = merged(t).select(
         F.col("seqname").alias("chrom"), "strand", F.col("start").alias("g_start"), F.col("end").alias("g_stop"), "gene_id", "gene_name"
     )
-    merged_ids = ref.gene_of_region(regions, genes, width=256)
+    merged_ids = ref.gene_of_region(regions, genes, width=512)
     return merged_ids.select(
         "region_id", F.concat_ws(",", "gene_ids").alias("gene_ids"), F.concat_ws(",", "gene_names").alias("gene_names")
     )

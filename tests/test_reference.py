@@ -1,5 +1,7 @@
 """Annotation operators on hand-made genes."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,28 @@ def test_missing_attributes(spark):
     with pytest.raises(ValueError, match="gene_id"):
         ref.check_annotation(gtf)
     assert gtf.select(F.lit(1)).count() == 1
+
+
+def test_gene_of_region_over_levels(spark):
+    rng = random.Random(5)
+    spans = lambda n, widths: [(f"c{rng.randrange(2)}", rng.choice("+-"), a, a + rng.choice(widths)) for a in (rng.randrange(-200, 3000) for _ in range(n))]
+    genes = [(*g, f"g{i % 25}", None if i % 4 == 0 else f"n{i % 7}") for i, g in enumerate(spans(60, [0, 5, 40, 900, 2500, -1]))]
+    regions = [(f"r{i}", *r) for i, r in enumerate(spans(80, [0, 10, 100, 1200, -1]))]
+    table = spark.createDataFrame(regions, "region_id string, chrom string, strand string, start long, stop long")
+    places = spark.createDataFrame(genes, "chrom string, strand string, g_start long, g_stop long, gene_id string, gene_name string")
+    want = {}
+    for name, chrom, strand, a, b in regions:
+        hits = [g for g in genes if g[:2] == (chrom, strand) and a <= b and g[2] <= g[3] and g[2] <= b and g[3] >= a]
+        if hits:
+            want[name] = sorted({g[4] for g in hits}), sorted({g[5] for g in hits if g[5]})
+    found = ref.gene_of_region(table.unionByName(table), places, 64)
+    assert {r["region_id"]: (r["gene_ids"], r["gene_names"]) for r in found.collect()} == want and found.count() == len(want) > 40
+    # the sets of a region are found whole and do not travel
+    assert "hashpartitioning(region_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exon_merge_takes_repeats(spark):
+    rows = [("g1", 1, 10, 20, "a"), ("g1", 0, 10, 20, "b"), ("g1", 2, 15, 30, "c"), ("g1", 3, 40, 50, "d"), ("g2", 4, 5, 6, None), ("g2", 5, 5, 6, "e")]
+    gtf = spark.createDataFrame(rows, "gene_id string, line_no long, start long, end long, gene_name string").withColumn("feature", F.lit("exon"))
+    whole, plain = (ref.exon_merge(f(gtf)).select("gene_id", "start", "end", "exon_number", "gene_name").collect() for f in (ref.exon_prepare, ref.exon_rows))
+    assert sorted(map(tuple, whole), key=str) == sorted(map(tuple, plain), key=str) == [("g1", 10, 30, 1, "b"), ("g1", 40, 50, 2, "b"), ("g2", 5, 6, 1, None)]
