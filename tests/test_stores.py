@@ -159,6 +159,19 @@ def test_pooled_reads_meet_regions_once(spark, monkeypatch):
     assert entered[0] == entered[1] == (4, 2)
 
 
+def test_cells_without_reads_do_not_vote(spark, monkeypatch):
+    reads = spark.createDataFrame([("s1", "r1", "chr1", 100, "10M30N10M"), ("s2", "r2", "chr1", 100, "10M30N10M")], "sample string, name string, chrom string, pos long, cigar string")
+    totals = reads.groupBy("sample").agg(F.count("*").alias("num_seqs"))
+    junctions = spark.createDataFrame([(s, "chr1", 109, 141) for s in ("s1", "s2")], "sample_id string, chrom string, start long, end long")
+    lists = spark.createDataFrame([(f"s{i}", s) for i in range(1, 50) for s in ("s1", "s2")], "main_name string, neighbor string")
+    voted = []
+    vote = neighbors.majority_junctions
+    monkeypatch.setattr(neighbors, "majority_junctions", lambda heard, *rest: (voted.append(heard.count()), vote(heard, *rest))[1])
+    got = neighbors.pool_reads(lists, reads, totals, junctions, 2)
+    assert sorted((r["main_name"], r["name"]) for r in got.collect()) == [(s, r) for s in ("s1", "s2") for r in ("r1", "r2")]
+    assert voted == [4]
+
+
 def test_sparse_psi_equals_the_dense_table(spark):
     columns = [*splice.JUNCTIONS["se"]]
     se = spark.createDataFrame([("e1", "a", "b", "c"), ("e2", "a", "b", "never")], ", ".join(f"{c} string" for c in ["event_id", *columns]))
