@@ -4,6 +4,8 @@ import os
 import subprocess
 import sys
 
+import __spark_entry__ as entry
+
 PLANTED = '''
 import sys, tempfile
 sys.path.insert(0, {root!r}); sys.path.insert(0, {root!r} + "/tools")
@@ -27,3 +29,10 @@ def test_planted_nested_loops_are_found():
     out = subprocess.run([sys.executable, "-c", PLANTED.format(root=root)], capture_output=True, text=True, timeout=300, cwd="/tmp").stdout
     found = [line.split(" ")[1:] for line in out.splitlines() if line.startswith("FOUND")]
     assert found == [["loop", "BroadcastNestedLoopJoin", "True"], ["inner", "BroadcastNestedLoopJoin", "True"], ["clean", "", "True"]]
+
+
+def test_shared_steps_are_read_from_store(spark):
+    """What several steps of these queries read is joined from the line items once, before the plan that is returned."""
+    for name in ("pool_junctions", "pooled_sj_table"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "l_orderkey" not in plan, name
