@@ -42,15 +42,21 @@ weights AS (SELECT *, exon_length / sum(exon_length) OVER (PARTITION BY cluster,
 """
 
 
-def tested(t: Tables):
-    x = mk.log_normalize(t.b7().select("cell_id", "feature_id", "value"))
-    return mk.one_vs_rest_markers(x, t.b7_cells())
+def marker_rows(t: Tables):
+    """B7, read by several steps."""
+    return stored(t.b7())
 
 
-def gene_rows(t: Tables):
+def tested(rows):
+    """One-vs-rest tests of ``marker_rows``."""
+    x = mk.log_normalize(rows.select("cell_id", "feature_id", "value"))
+    return mk.one_vs_rest_markers(x, stored(rows.select("cell_id", "cluster").distinct()))
+
+
+def gene_rows(rows):
     """Markers with their gene; a feature never seen in the cluster loses its test, as a filtered run has it."""
     seen = F.col("pct_1") > 0
-    return tested(t).select(
+    return tested(rows).select(
         "cluster", "feature_id", mk.feature_to_gene(F.col("feature_id")).alias("gene"),
         F.when(seen, F.col("p_val")).alias("p_val"), F.when(seen, F.col("avg_log2fc")).alias("avg_log2fc"),
     )
@@ -58,18 +64,18 @@ def gene_rows(t: Tables):
 
 def placed(t: Tables):
     """Marker rows with exon places; every third gene is known by its name only."""
-    exons = merged(t)
+    exons, counts = stored(merged(t)), marker_rows(t)
     index = adjacency_index(exons, ["gene_id", "start"]).select("gene_id", "exon_st")
     number = F.substring("gene_id", 5, 20).cast("long")
     annotation = exons.join(index, "gene_id").select(
         F.when(number % 3 == 0, F.concat(F.lit("alt"), "gene_id")).otherwise(F.col("gene_id")).alias("gene_id"), "gene_name", "exon_number", "start", "end",
         (F.col("exon_st") + F.col("exon_number")).alias("exon_pos"),
     )
-    features = t.b7().select("feature_id").distinct().select(
+    features = counts.select("feature_id").distinct().select(
         "feature_id", F.substring_index("feature_id", "-", 1).alias("gene_id"), F.substring_index("feature_id", "-", -1).cast("long").alias("k")
     )
     features = features.withColumn("gene_name", F.when(number % 11 != 0, F.concat(F.lit("N"), (number % 37).cast("string"))))
-    return mk.exon_coordinates(stored(gene_rows(t)), features, annotation)
+    return mk.exon_coordinates(stored(gene_rows(counts)), features, annotation)
 
 
 def weighted(t: Tables):
@@ -84,7 +90,7 @@ def _log_normalize(t: Tables):
 @query("one_vs_rest_markers", with_sql("b7", TEST_SQL + """SELECT cluster, feature_id, round(p_val, 6) AS p_val, round(avg_log2fc, 6) AS avg_log2fc, round(pct_1, 6) AS pct_1, round(pct_2, 6) AS pct_2, """ + tail_sql("p_val") + """ AS p_tail,
 round(least(p_val * (SELECT count(*) FROM total), 1), 6) AS p_val_adj FROM tested"""))
 def _markers(t: Tables):
-    return tested(t).select("cluster", "feature_id", tail("p_val").alias("p_tail"), *[r6(c).alias(c) for c in ("p_val", "avg_log2fc", "pct_1", "pct_2", "p_val_adj")])
+    return tested(marker_rows(t)).select("cluster", "feature_id", tail("p_val").alias("p_tail"), *[r6(c).alias(c) for c in ("p_val", "avg_log2fc", "pct_1", "pct_2", "p_val_adj")])
 
 
 @query("feature_to_gene", with_sql("b2", """SELECT DISTINCT gene_name || '/' || exon_number || '-a-' || exon_number AS feature_id, gene_name || '_' || exon_number || '-a' AS gene FROM b2
@@ -132,7 +138,7 @@ plain AS (SELECT cluster, gene, CASE WHEN n > 0 THEN {normal_sf_sql('zz')} END A
 
 @query("stouffer", with_sql("b7", PLAIN_SQL + "SELECT cluster, gene, round(stouffer_p, 6) AS stouffer_p, " + tail_sql("stouffer_p") + " AS p_tail, round(fold, 6) AS mean_abs_log2fc FROM plain"))
 def _stouffer(t: Tables):
-    return mk.stouffer(gene_rows(t)).withColumns({"p_tail": tail("stouffer_p"), **{c: r6(c) for c in ("stouffer_p", "mean_abs_log2fc")}})
+    return mk.stouffer(gene_rows(marker_rows(t))).withColumns({"p_tail": tail("stouffer_p"), **{c: r6(c) for c in ("stouffer_p", "mean_abs_log2fc")}})
 
 
 ADJUST_SQL = PLAIN_SQL + """,
@@ -142,7 +148,7 @@ adjusted AS (SELECT cluster, gene, p, fold, least(p * n, 1) AS bonf, least(min(p
 
 
 def adjusted(t: Tables):
-    genes = stored(mk.stouffer(gene_rows(t)))
+    genes = stored(mk.stouffer(gene_rows(marker_rows(t))))
     return mk.adjust_bh(mk.adjust_bonferroni(genes, "stouffer_p"), "stouffer_p", ["cluster", "gene"])
 
 
@@ -156,14 +162,14 @@ def _adjust(t: Tables):
 
 @query("adjusted_rows", with_sql("b7", ADJUST_SQL + """SELECT cluster, feature_id, gene, round(bonf, 6) AS p_bonferroni FROM dropped LEFT JOIN adjusted USING (cluster, gene)"""))
 def _adjusted_rows(t: Tables):
-    rows = mk.to_rows(gene_rows(t), adjusted(t).select("cluster", "gene", "p_bonferroni"))
+    rows = mk.to_rows(gene_rows(marker_rows(t)), adjusted(t).select("cluster", "gene", "p_bonferroni"))
     return rows.select("cluster", "feature_id", "gene", r6("p_bonferroni").alias("p_bonferroni"))
 
 
 # thresholds chosen so that both lists have members on the test tables
 @query("select_de", with_sql("b7", TEST_SQL + """SELECT cluster, feature_id FROM tested WHERE p_val < 0.05 AND abs(avg_log2fc) > 0.3"""))
 def _select(t: Tables):
-    return mk.select_de(tested(t), "p_val", "avg_log2fc", 0.05, 0.3).select("cluster", "feature_id")
+    return mk.select_de(tested(marker_rows(t)), "p_val", "avg_log2fc", 0.05, 0.3).select("cluster", "feature_id")
 
 
 @query("compare_de", with_sql("b7", TEST_SQL + """,
@@ -174,7 +180,7 @@ SELECT one, two, gene, CASE WHEN b.gene IS NULL THEN 'first' ELSE 'both' END AS
 UNION ALL SELECT one, two, gene, 'second' FROM b ANTI JOIN a USING (one, two, gene)"""))
 def _compare(t: Tables):
     """Every two clusters."""
-    rows = mk.select_de(gene_rows(t), "p_val", "avg_log2fc", 0.05, 0.3).select("cluster", "gene")
+    rows = mk.select_de(gene_rows(marker_rows(t)), "p_val", "avg_log2fc", 0.05, 0.3).select("cluster", "gene")
     return mk.compare_de(*both_sides(t, rows), by=["one", "two"])
 
 
@@ -195,7 +201,7 @@ a AS (SELECT * FROM pairs JOIN terms ON cluster = one), b AS (SELECT * FROM pair
 SELECT one, two, id, coalesce(a.name, b.name) AS name, coalesce(a.category, b.category) AS category, round(coalesce(a.q, 0), 6) AS q_a, round(coalesce(b.q, 0), 6) AS q_b,
 round(CASE WHEN a.q > 0 THEN -log10(a.q) END, 6) AS log_q_a, round(CASE WHEN b.q > 0 THEN -log10(b.q) END, 6) AS log_q_b FROM a FULL JOIN b USING (one, two, id)"""))
 def _enrichment(t: Tables):
-    terms = gene_rows(t).filter("p_val IS NOT NULL").select(
+    terms = gene_rows(marker_rows(t)).filter("p_val IS NOT NULL").select(
         "cluster", F.col("feature_id").alias("id"), F.concat(F.lit("Term "), "gene").alias("name"),
         F.concat(F.lit("C"), (F.substring("gene", 5, 20).cast("long") % 3).cast("string")).alias("category"), F.col("p_val").alias("q"),
     )
