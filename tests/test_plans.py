@@ -33,6 +33,6 @@ def test_planted_nested_loops_are_found():
 
 def test_shared_steps_are_read_from_store(spark):
     """What several steps of these queries read is joined from the line items once, before the plan that is returned."""
-    for name in ("pool_junctions", "pooled_sj_table", "exon_coordinates"):
+    for name in ("pool_junctions", "pooled_sj_table", "exon_coordinates", "cell_graphs", "cell_graph_members"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "l_orderkey" not in plan, name
