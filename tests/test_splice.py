@@ -239,3 +239,22 @@ def test_psi_tables_are_compared_without_a_join_of_their_rows(spark):
     assert "FullOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
     row = found.first()
     assert (row.shared_cells, row.shared_events, row.exact_equal, row.max_abs_diff, row.pearson) == (3, 1, False, 0.25, None)
+
+
+def test_first_values_are_found_where_the_events_lie(spark):
+    """The rows of a PSI table are not shuffled again by cell and event, nor by cell."""
+    names = ["junction13", "junction12", "junction23"]
+    se = spark.createDataFrame([("e1", "a", "b", "c"), ("e2", "a", "c", "b")], ", ".join(f"{c} string" for c in ["event_id", *names]))
+    held = [(f"S{i}.{k}", j, 10 + i + k if i != 3 else 1) for i in range(40) for k in range(2) for j in "abc" if i or k]
+    table = splice.psi_table(se, None, spark.createDataFrame(held, "sample_id string, junction_id string, reads long"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+    assert plan(psi.first_values(table, "sample_id")) == plan(table)
+    cells = spark.createDataFrame([("S0",), ("S1",), ("S1",), ("S3",), ("none",), (None,)], "cell_id string")
+    rows = psi.psi_matrix(table, cells, "sample_id").collect()
+    first = {(r["sample_id"], r["event_id"]): r["psi"] for r in table.collect()}
+    want = [(c, e, first[(f"{c}.{k}", e)], f"{c}.{k}") for c, k in (("S0", 1), ("S1", 0), ("S1", 0), ("S3", 0)) for e in ("e1", "e2")]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(((r["cell_id"], r["event_id"], r["psi"], r["first_seen"]) for r in rows), key=key) == sorted(
+        [*want, ("none", None, None, None), (None, None, None, None)], key=key
+    )
+    assert first[("S3.0", "e1")] is None and first[("S0.1", "e1")] is not None
