@@ -258,3 +258,12 @@ def test_first_values_are_found_where_the_events_lie(spark):
         [*want, ("none", None, None, None), (None, None, None, None)], key=key
     )
     assert first[("S3.0", "e1")] is None and first[("S0.1", "e1")] is not None
+
+
+def test_samples_of_a_junction_lie_together(spark):
+    """Summing the reads deals them by junction, so what follows per junction needs no other exchange."""
+    from introna.plans.bindings import Tables
+
+    reads = Tables(spark, "/root/testdata/sf0.001").b5()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+    assert plan(reads.groupBy("chrom", "a", "b").agg(F.sum("reads"))) == plan(reads) == 1
