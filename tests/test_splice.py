@@ -267,3 +267,17 @@ def test_samples_of_a_junction_lie_together(spark):
     reads = Tables(spark, "/root/testdata/sf0.001").b5()
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
     assert plan(reads.groupBy("chrom", "a", "b").agg(F.sum("reads"))) == plan(reads) == 1
+
+
+def test_cases_cover_every_event_and_sample(spark):
+    """Samples without a read on an event count as well."""
+    from introna.plans import splice_queries
+    from introna.plans.bindings import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    counted = {(r.splice_type, r.notes): r.n for r in splice_queries._cases(t).collect()}
+    samples = t.b5().select("sample_id").distinct().count()
+    for kind in ("se", "mxe"):
+        events = splice_queries.events(t, kind).select("event_id").distinct().count()
+        assert sum(n for (k, _), n in counted.items() if k == kind) == events * samples
+    assert counted[("se", "Case 2: Zero observed reads")] > 0
