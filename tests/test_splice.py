@@ -281,3 +281,26 @@ def test_cases_cover_every_event_and_sample(spark):
         events = splice_queries.events(t, kind).select("event_id").distinct().count()
         assert sum(n for (k, _), n in counted.items() if k == kind) == events * samples
     assert counted[("se", "Case 2: Zero observed reads")] > 0
+
+
+def test_exons_edges_and_events_are_not_gathered_on_the_driver(spark):
+    """They look small in packed files, at any size, so the joins of the graph are dealt out by a hint."""
+    from introna.plans import splice_queries
+    from introna.plans.bindings import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for rows in (splice_queries.edges(t), splice_queries.events(t, "se"), splice_queries.events(t, "mxe")):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_events_that_lack_a_junction_are_left_out_and_listed_once(spark):
+    names = splice.JUNCTIONS["se"]
+    rows = [("e1", "a", "b", "c"), ("e1", "a", "b", "c"), ("e2", "a", "b", "gone"), ("e3", "lost", "b", "gone"), ("e4", None, "b", "c")]
+    se = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ["event_id", *names]))
+    reads = spark.createDataFrame([("s1", j, 20) for j in "abc"], "sample_id string, junction_id string, reads long")
+    table = splice.sparse_psi(se, None, reads)
+    assert [r["event_id"] for r in table.events.collect()] == ["e1"] and [r["event_id"] for r in table.rows.collect()] == ["e1"]
+    # the events are found once, not again for the list of them
+    plan = table.events._jdf.queryExecution().executedPlan().toString()
+    assert "min(junction13" not in plan and "FileScan" in plan
