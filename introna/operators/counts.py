@@ -42,14 +42,17 @@ def combine_sparse_junctions(tables: DataFrame, key: Sequence[str], order: Seque
     Counts that are not positive are skipped (missing is zero in long form); of a key repeated in
     one cell the last row stays; ``row_no`` numbers the keys by first appearance.
     """
-    kept = tables.filter(F.col("count") > 0)
-    place = F.struct(*order)
-    cells = kept.groupBy(*key, "cell_id").agg(
-        F.max(F.struct(place.alias("p"), F.col("count"))).getField("count").alias("count"), F.min(place).alias("_p")
+    key = list(key)
+    kept = tables.filter(F.col("count") > 0).select(*key, "cell_id", "count", F.struct(*order).alias("_p"))
+    # the rows of a key meet once, and what it needs is told there; then its rows travel to their place in the order
+    cells = kept.repartition(*key).groupBy(*key, "cell_id").agg(
+        F.max(F.struct("_p", "count")).getField("count").alias("count"), F.min("_p").alias("_p")
     )
-    rows = cells.groupBy(*key).agg(F.min("_p").alias("_p"))
-    numbered = running_before(rows, ["_p", *key], {"row_no": F.lit(1)}).drop("_p")
-    return cells.drop("_p").join(numbered, list(key))
+    here = Window.partitionBy(*key).orderBy("_p", "cell_id")
+    opened = cells.withColumns({"_first": F.first("_p").over(here), "_opens": (F.row_number().over(here) == 1).cast("long")}).drop("_p")
+    # the count tells nothing more; with it, the bounds of the order are taken from the same rows and no others are shuffled for them
+    numbered = running_before(opened, ["_first", *key, F.col("_opens") == 0, "cell_id", "count"], {"row_no": F.col("_opens")})
+    return numbered.select(*key, "cell_id", "count", (F.col("row_no") - 1 + F.col("_opens")).alias("row_no"))
 
 
 def check_labels(labels: Sequence[str]) -> None:
