@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from introna.functions.columns import r6
 from introna.operators.scans import running_before
-from introna.plans.bindings import Tables, with_sql
+from introna.plans.bindings import LINE_COLUMNS, Tables, with_sql
 from introna.plans.registry import query
 from introna.session import shared_path
 from introna.sources import sequence, tables, text
@@ -51,8 +51,9 @@ SELECT line_no, 'gene_id' AS key, gene_id AS value FROM b1 UNION ALL SELECT line
 UNION ALL SELECT line_no, 'transcript_id', transcript_id FROM b1 UNION ALL SELECT line_no, 'exon_number', exon_number FROM b1)"""))
 def _gtf_attribute_values(t: Tables):
     """Every attribute of every line."""
-    numbered = running_before(t.b1().select("line_no"), ["line_no"], {"line": F.lit(1)})
-    lines = t.b10().filter("line_no IS NOT NULL").join(numbered, "line_no")
+    # numbered as items, which are narrower than their lines and need not be joined with them
+    items = running_before(t.read("lineitem"), LINE_COLUMNS, {"line": F.lit(1)})
+    lines = t.b10(items, ("line",)).filter("line IS NOT NULL")
     return text.parse_gtf(lines).select("line", F.explode(text.attribute_map(F.col("attribute"))).alias("key", "value"))
 
 
