@@ -201,8 +201,8 @@ def annotated_introns(exons: DataFrame) -> DataFrame:
     ``strands`` is the sorted set of strand codes (1 plus, 2 minus, 0 otherwise).
     """
     code = F.when(F.col("strand") == "+", 1).when(F.col("strand") == "-", 2).otherwise(0)
-    distinct = exons.filter("transcript_id IS NOT NULL").select("seqname", "strand", "transcript_id", "start", "end").distinct()
-    ahead = following(distinct, ["seqname", "strand", "transcript_id"], ["start", "end"], STRETCH)
+    rows = exons.filter("transcript_id IS NOT NULL").select("seqname", "strand", "transcript_id", "start", "end")
+    ahead = following(rows, ["seqname", "strand", "transcript_id"], ["start", "end"], STRETCH, distinct=True)
     gaps = ahead.select(
         F.col("seqname").alias("chrom"), (F.col("end") + 1).alias("start"), (F.col("_next.start") - 1).alias("end"), code.alias("code")
     ).filter(F.col("start") <= F.col("end"))
