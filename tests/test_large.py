@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from introna.operators import counts, reference, scans, splice
+from introna.operators import counts, neighbors, reference, scans, splice
 from introna.plans import source_queries
 from introna.plans.bindings import Tables
 from introna.sources import text
@@ -73,3 +73,14 @@ def test_introns_deal_their_exons_once(spark):
     assert plan.count("REPARTITION_BY_COL") <= 2 and "Exchange hashpartitioning(seqname#" in plan
     filters = [line.count("isnotnull") for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter") and "isnotnull(concat(" in line]
     assert len(filters) == 2 and len(set(filters)) == 1  # equal reads, so that one exchange serves both
+
+
+def test_pooled_rows_travel_once(spark):
+    lists = spark.createDataFrame([(a, b) for a in range(6) for b in range(6)], "main_name long, neighbor long")
+    names = "sample_id long, chrom string, start long, end long, strand long, motif long, annotated long, uniq double, multi double, max_overhang long"
+    junctions = spark.createDataFrame([(c, "chr1", s, s + 9, 1, 1, 0, 3.0, 1.0, 5) for c in range(6) for s in range(c % 3, 9, 2)], names)
+    reads = spark.createDataFrame([(c, 10.0 + c) for c in range(6)], "sample_id long, num_seqs double")
+    plan = plan_of(neighbors.pool_junctions(lists, junctions, reads, 6))
+    assert plan.count("REPARTITION_BY_COL") == 1
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(main_name#" in line and "chrom#" in line]
+    assert "Window" in plan  # what a cell keeps is told beside its rows, not joined to them
